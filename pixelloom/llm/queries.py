@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, counts, packing, topk, transport
+from pixelloom.llm import bpe, chat, counts, dedup, packing, pii, quality, topk, toxicity, transport
 from pixelloom.llm.common import table
 
+#: The key of the pseudonyms here; a user of the operator passes their own.
+PII_KEY = b"public key of the registered queries"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +46,15 @@ def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode_bpe(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).drop("text")
@@ -62,11 +74,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
+    return made.select("doc_id", "text", F.size("pii").alias("n_pii"), F.array_join(F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"], p["length"])), " ").alias("spans"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op9_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -74,10 +96,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
+    "op2_order_minhash": op2_order_minhash,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_quality_field": op9_quality_field,
     "op10_token_counts": op10_token_counts,
 }
 
