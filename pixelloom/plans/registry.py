@@ -33,6 +33,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
 
 
-MODULES = ["sources", "frames", "boxes", "pixels", "stencil", "detect", "measure"]
+MODULES = ["sources", "frames", "boxes", "pixels", "stencil", "detect", "measure", "models", "constrain", "fit", "metrics"]
 for _module in MODULES:
     importlib.import_module(f"pixelloom.plans.q_{_module}")
