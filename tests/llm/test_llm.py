@@ -1,0 +1,428 @@
+"""The corpus operators: brute force, round trips, held-out accuracy and the odd rows."""
+
+import datetime
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pixelloom.llm import bpe, chat, counts, dedup, packing, pii, quality, sketch, topk, toxicity, transport
+from pixelloom.llm.common import table
+from pixelloom.llm.queries import ORACLE_SQL, QUERIES
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+WORDS = P.path("word_bpe_49k.json")
+PIECES = P.path("piece_bpe_32k.model")
+ODD = ["", None, " ", "\n\n", "a" * 5000, "hello  world \t x", "né <|endoftext|> </s>[INST] x", "same same", "same same", "Ünïcode 漢字 \x00\x1c ▁▁ _", "word " * 3000]
+
+
+def odd(spark, name="text", extra=""):
+    rows = [(i, t, "kept", i) for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, f"doc_id long, {name} string, note string, {extra or 'other'} long")
+
+
+# --- transport streams
+
+
+def test_stream_round_trip_and_damage():
+    rng = np.random.default_rng(0)
+    for n in (192, 3072, 3264, 122_880):
+        payload = rng.bytes(n)
+        stored = transport.mux(payload)
+        found = transport.demux(stored)
+        assert found.data[transport.DATA_PID] == payload and len(stored) % 188 == 0
+        assert not (found.lost_bytes or found.continuity_errors or found.table_errors)
+        assert [u[1] for u in found.units] == [i * transport.TICKS for i in range(len(found.units))]
+        assert [u[4] for u in found.units] == [i % transport.KEY_EVERY == 0 for i in range(len(found.units))]
+    assert transport.demux(stored[: 188 * 5] + stored[188 * 6 :]).continuity_errors == 1
+    assert transport.demux(stored[: 188 * 5] + stored[188 * 5 : 188 * 6] + stored[188 * 5 :]).duplicates == 1
+    cut = transport.demux(stored[: 188 * 5] + stored[188 * 5 + 10 :])
+    assert cut.lost_bytes and cut.continuity_errors
+    broken = bytearray(stored)
+    broken[15] ^= 1
+    assert transport.demux(bytes(broken)).table_errors == 1
+    assert transport.demux(b"").packets == 0 and transport.demux(rng.bytes(1000)).data == {}
+
+
+def test_stream_operator_on_odd_rows(spark):
+    df = odd(spark, extra="media")
+    rows = transport.read_streams(transport.store_streams(df)).orderBy("doc_id").collect()
+    for r, t in zip(rows, ODD, strict=True):
+        want = (t or "").encode()
+        assert bytes(r.payload) == want.ljust(max(1, -(-len(want) // 192)) * 192, b" ") and r.n_bytes == len(want) and r.note == "kept"
+    assert transport.read_streams(transport.store_streams(df.limit(0))).count() == 0
+    assert transport.random_access_index(transport.read_streams(transport.store_streams(df)), "doc_id").where("pts = 0").count() == len(ODD)
+
+
+# --- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def tik():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load(RANKS).tokens, special_tokens={})
+
+
+def test_bpe_equals_the_library(tik):
+    rng = random.Random(0)
+    letters = "abcdeinst'E .,\n\t 　é漢1<|>\r\x1c"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["ab" * 3000, " " * 999, *ODD]
+    e = bpe.Encoder(bpe.load(RANKS), P.PATTERN, keep=2000)
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        ids, n = e.encode(part)
+        ends = np.cumsum(n)
+        for t, a, b in zip(part, ends - n, ends, strict=True):
+            assert ids[a:b].tolist() == tik.encode_ordinary(t or "")
+        data, _ = e.bpe.decode(ids, n)
+        assert data.tobytes() == "".join(t or "" for t in part).encode()
+
+
+def test_rank_bitmap():
+    s, rng = bpe.RankBitmap(50_256), random.Random(1)
+    held = set()
+    for _ in range(2000):
+        r = rng.randrange(50_256)
+        (s.add if rng.random() < 0.6 else s.discard)(r)
+        (held.add if r in held or s.low[r >> 6] >> (r & 63) & 1 else held.discard)(r)
+        assert s.first() == min(held, default=-1)
+
+
+def test_bpe_operator_on_odd_rows(spark, tik):
+    df = odd(spark, extra="ids")
+    out = bpe.encode_bpe(df, RANKS, P.PATTERN)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(rows[i].ids == tik.encode_ordinary(t or "") and rows[i].note == "kept" for i, t in enumerate(ODD))
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode_bpe(out, RANKS).collect()}
+    assert all(back[i] == (t or "").encode() for i, t in enumerate(ODD))
+    assert bpe.encode_bpe(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+# --- token counts
+
+
+def test_counts_equal_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcé \n\t漢<s></s>▁ ") for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ODD
+    counter = counts.PieceCounter(PIECES, keep=500)
+    assert counter.splits
+    for low in range(0, len(texts), 400):
+        assert counter.counts(texts[low : low + 400]).tolist() == [len(model.encode(t or "")) for t in texts[low : low + 400]]
+    rows = {r.doc_id: r for r in counts.count_tokens(odd(spark, extra="n_tokens"), PIECES, limit=2000).collect()}
+    assert all(rows[i].n_tokens == len(model.encode(t or "")) and rows[i].n_bytes == len((t or "").encode()) for i, t in enumerate(ODD))
+    assert rows[10].over_limit and not rows[0].over_limit
+    assert counts.count_tokens(odd(spark).limit(0), WORDS).count() == 0
+    assert counts.count_tokens(odd(spark), WORDS).where("doc_id = 0").first().n_tokens == 0
+
+
+# --- chat
+
+
+def test_chat_round_trip(spark):
+    marks = ["</s>[INST] ok [/INST]", "<\\\\s> [\\INST] <s>", "<s>[INST] user\nx [/INST]</s>\n", "", None, "\\", "[/INST]</s>"]
+    rows = [(c, t, role, marks[(c + t) % len(marks)]) for c in range(4) for t, role in enumerate(["system", "user", "assistant", "we\\ird\n[INST]", None])]
+    rows += [(9, None, "assistant", "first"), (9, 0, "assistant", "tie b"), (9, 0, "assistant", "tie a"), (None, 0, "user", "no id"), (9, 0, "assistant", "tie a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.read_conversations(chat.format_turns(df.withColumn("formatted", F.lit(1)))).collect()}
+    for c in range(4):
+        turns = [(r[2] or "", r[3] or "") for r in rows if r[0] == c]
+        assert found[c].n_turns == len(turns)
+        assert found[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        trained = "".join(b for a, b in turns if a == "assistant")
+        assert (found[c].loss_chars, found[c].loss_sha256) == (len(trained), hashlib.sha256(trained.encode()).hexdigest())
+    assert found[9].loss_sha256 == hashlib.sha256(b"firsttie atie atie b").hexdigest() and found[None].n_turns == 1
+    assert chat.read_conversations(chat.format_turns(df.limit(0))).count() == 0
+
+
+# --- packing
+
+
+def test_word_tokens_equal_the_library():
+    w = packing.WordTokens(WORDS, keep=3000)
+    assert w.fast
+    rng = random.Random(3)
+    letters = [chr(rng.randrange(1, 0x400)) for _ in range(500)] + list("abc 'sldt\n\t123 é<|endoftext|>") * 20
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ODD
+    ids, n = w.encode(texts)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends, strict=True):
+        assert ids[a:b].tolist() == w.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_patterns_use_every_piece_once():
+    rng = np.random.default_rng(4)
+    for k in (0, 1, 30, 4000):
+        lengths = np.minimum(4096, rng.lognormal(6.3, 1.2, k).astype(int) + 1)
+        histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        used, bins = {}, 0
+        for pattern, copies in packing.patterns(histogram, 4096):
+            assert sum(n * c for n, c in pattern.items()) <= 4096
+            bins += copies
+            for n, c in pattern.items():
+                used[n] = used.get(n, 0) + c * copies
+        assert used == histogram
+        assert bins <= 1.02 * -(-int(lengths.sum()) // 4096) + 1
+
+
+def test_packing_places_pieces_without_gaps(spark):
+    df = odd(spark)
+    pieces = packing.token_pieces(df, WORDS, capacity=64)
+    out = packing.pack(pieces.withColumn("offset", F.lit("clash")), capacity=64, spread=7).collect()
+    assert len(out) == pieces.count()
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 64
+    w = packing.WordTokens(WORDS)
+    for i, t in enumerate(ODD):
+        mine = sorted((r for r in out if r.doc_id == i), key=lambda r: r.piece)
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in mine]).tolist()
+        assert ids == [*w.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert all(r.length == 64 for r in mine[:-1]) and [r.start for r in mine] == [64 * k for k in range(len(mine))]
+    assert packing.pack(pieces.limit(0), capacity=64).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(pieces, capacity=32)
+
+
+# --- personal data
+
+
+def test_permutation_and_formats():
+    key = b"k"
+    for size in (1, 2, 10, 97, 1000):
+        assert sorted(pii.permuted(i, size, key, "t") for i in range(size)) == list(range(size))
+    text = "a.7@mail2.example.com 4521940886194967 4521940886194968 +1 (017) 555-7713 2024-02-29 2023-02-29 97.51.17.173 300.1.1.1 123-45-6789 000-12-3456 DE89370400440532013000 DE89370400440532013001 v4.0.1"
+    made, found = pii.pseudonymised(text, key)
+    assert [f[0] for f in found] == ["email", "card", "phone", "date", "ip", "ssn", "iban"]
+    for same in ("4521940886194968", "2023-02-29", "300.1.1.1", "000-12-3456", "DE89370400440532013001", "v4.0.1"):
+        assert same in made
+    words = dict((f[0], f[3]) for f in found)
+    assert pii.luhn_digit(words["card"][:-1]) == int(words["card"][-1]) and words["card"] != "4521940886194967"
+    assert pii.iban_number(words["iban"][4:] + words["iban"][:4]) % 97 == 1
+    datetime.date.fromisoformat(words["date"])
+    assert pii.pseudonymised("x 4521940886194967 y", key)[0] == f"x {words['card']} y"
+    assert pii.pseudonymised("x 4521940886194967 y", b"other")[0] != f"x {words['card']} y"
+
+
+def test_pii_operator_on_odd_rows(spark):
+    df = odd(spark, extra="pii").union(spark.createDataFrame([(99, "call +1 (017) 555-7713 now", "kept", 1)] * 2, odd(spark, extra="pii").schema))
+    rows = pii.pseudonymise(df, b"k").collect()
+    assert len(rows) == len(ODD) + 2
+    assert all(r.text == ODD[r.doc_id] and r.pii == [] for r in rows if r.doc_id < 99)
+    hits = [r for r in rows if r.doc_id == 99]
+    assert hits[0] == hits[1] and hits[0].pii[0].start == 5 and "555-7713" not in hits[0].text
+    assert pii.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+# --- top-k
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(0, 0.2, (300, 20)), 1)  # many ties
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [1.0, None] * 10), (902, [float("nan")] * 20), (903, [float("inf")] * 20), (904, [1.0] * 3), (905, [1.0] * 3), (906, [])]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("extra", F.lit(1)))
+    found = {}
+    for r in topk.top_k(df.where("vec_id % 10 = 0"), df, k=5, block_rows=64).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = np.floor(np.float64(np.float32(v)) * 256).astype(int)
+    for i in range(0, 300, 10):
+        best = sorted(((-int(q[i] @ q[j]), j) for j in range(300) if j != i))[:5]
+        assert sorted(found[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert not set(found) & {900, 901, 902, 903, 906}
+    assert topk.top_k(df.where("vec_id = 904"), df, k=5).collect()[0].vec_id == 905
+    assert topk.top_k(df.limit(0), df, k=5).count() == 0
+
+
+# --- near duplicates
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def brute(texts, least=0.8):
+    """Classes by longest common subsequences of all pairs of shingle sequences."""
+    seqs = [sketch.shingles(sketch.word_hashes().of(t or "")) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = seqs[i].tolist(), seqs[j].tolist()
+            if not a or not b:
+                same = not a and not b and (texts[i] or "") == (texts[j] or "")
+            else:
+                row = [0] * (len(b) + 1)
+                for x in a:
+                    last = 0
+                    for k, y in enumerate(b):
+                        last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+                same = row[-1] / (len(a) + len(b) - row[-1]) >= least - 1e-12
+            if same:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = list(ODD)
+    passage = words(rng, 60)
+    for base in range(10):
+        w = words(rng, rng.randint(20, 120))
+        texts.append(" ".join(w))
+        for edits in (0, 1, 2, 4, 9):
+            c = list(w)
+            for _ in range(edits):
+                k = rng.randrange(len(c))
+                c[k : k + 1] = rng.choice([[], words(rng, 1), words(rng, 2)])
+            texts.append(" ".join(c) if base % 2 else " ".join(c).upper() + "!")
+    texts += [" ".join(words(rng, 12) + passage + words(rng, 12)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, class_id int")
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts)
+    assert dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_blocks_of_one_group_meet(spark):
+    rng = random.Random(7)
+    w = words(rng, 80)
+    texts = [" ".join([*w[:k], "other", *w[k + 1 :]]) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = dedup.sketched(df, "doc_id", "text").selectExpr("doc_id AS rep", "bands")
+    roots = dedup.components(dedup.links(df, reps, "doc_id", "text", 0.8, block=10))
+    assert {r.root for r in roots.collect()} == {0} and roots.count() == 59
+
+
+def test_alignment_band():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = rng.integers(0, 12, rng.integers(1, 40)).astype(np.uint64)
+        b = a.copy()
+        for _ in range(rng.integers(0, 6)):
+            b = np.delete(b, rng.integers(len(b))) if len(b) > 1 and rng.random() < 0.5 else np.insert(b, rng.integers(len(b) + 1), rng.integers(0, 12))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b):
+                last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+        true = row[-1] / (len(a) + len(b) - row[-1])
+        assert sketch.similarity(a, b, 0.8) == pytest.approx(true if true >= 0.8 - 1e-12 else 0.0)
+
+
+def test_order_minhash_sees_order_and_repeats():
+    s = sketch.shingles(sketch.word_hashes().of(" ".join(words(random.Random(9), 50))))
+    assert (sketch.order_minhash(s, 40) == sketch.order_minhash(s[::-1], 40)).mean() < 0.2
+    assert len(set(sketch.labelled(np.zeros(9, np.uint64)).tolist())) == 9
+
+
+# --- classifiers
+
+
+def accuracy(rows):
+    held = [r for r in rows if r.held_out and r.y is not None]
+    return sum(r.predicted == r.y for r in held) / len(held)
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    labels = table(spark, d, "labels").withColumnRenamed("toxic", "y")
+    rows = QUERIES["op3_toxicity"](spark, d).join(labels, "doc_id", "left").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert accuracy(rows) >= 0.9
+
+
+def test_quality_held_out(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    labels = table(spark, d, "labels").withColumnRenamed("quality", "y")
+    rows = QUERIES["op9_quality_field"](spark, d).join(labels, "doc_id", "left").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert accuracy(rows) >= 0.95
+
+
+def test_classifiers_on_odd_rows_and_without_labels(spark):
+    model = toxicity.train([])
+    scores = [r.score for r in toxicity.score(odd(spark, extra="score"), model).collect()]
+    assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
+    plain = quality.train([("good line.", 1)])
+    scores = [r.score for r in quality.score(odd(spark, extra="score"), plain).collect()]
+    assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
+    assert toxicity.score(odd(spark).limit(0), model).count() == 0 == quality.score(odd(spark).limit(0), plain).count()
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.classify(odd(spark).select("doc_id", "text"), toxicity.fit(empty, labels)).count() == len(ODD)
+    assert quality.classify(odd(spark).select("doc_id", "text"), quality.fit(empty, labels)).count() == len(ODD)
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(10)
+    lengths, pair = np.array([1, 4, 3]), rng.normal(size=(2, 2))
+    unary = rng.normal(size=8)
+    got, pairs, z = quality.forward_backward(unary, lengths, pair)
+    want, want_pairs, want_z, at = np.zeros(8), np.zeros((2, 2)), 0.0, 0
+    for n in lengths:
+        weights, marks, both = [], [], []
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            weights.append(np.exp(sum(unary[at + k] * y[k] for k in range(n)) + sum(pair[y[k], y[k + 1]] for k in range(n - 1))))
+            marks.append(y)
+            c = np.zeros((2, 2))
+            for k in range(n - 1):
+                c[y[k], y[k + 1]] += 1
+            both.append(c)
+        p = np.array(weights) / sum(weights)
+        want[at : at + n] = p @ np.array(marks)
+        want_pairs += np.tensordot(p, np.array(both), 1)
+        want_z += np.log(sum(weights))
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, want_pairs) and np.isclose(z, want_z)
+
+
+# --- registered queries and the pipeline
+
+
+def test_sql_counterparts(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, sf_dir)
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = table(spark, sf_dir, "documents")
+    extra = T.StructType([*docs.schema.fields, T.StructField("x", T.IntegerType())])
+    rows = [(10**6 + i, t, None, None, None, 1) for i, t in enumerate(ODD)] + [(None, "no id at all here", "en", "s", 1, 1)]
+    docs = docs.withColumn("x", F.lit(1)).unionByName(spark.createDataFrame(rows, extra))
+    n = docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == cp.COLUMNS and 0 < docs.count() <= n, name
+        n = docs.count()
+    classes = dedup.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    assert classes.groupBy("class_id").count().where("count > 2").count() == 0
+    packed = cp.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == n
