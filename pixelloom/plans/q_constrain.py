@@ -116,11 +116,22 @@ def two_seds(s, d):
     return seds(s, d).selectExpr("image_id", "source_id", "band", "sed + 10 * length(band) AS bulge", "sed % 977 AS disk")
 
 
-@query("k12_bluer_disk")
+def walk_sql(name: str, new: str, after: str) -> str:
+    """One band after the other; a difference below the last one's is replaced."""
+    low = "n.bulge - n.disk < p.diff AND n.i < n.last"
+    return f"""{name} AS (SELECT image_id, source_id, i, CAST(disk AS DOUBLE) AS new, CAST(bulge - disk AS DOUBLE) AS diff FROM n WHERE i = 0
+ UNION ALL SELECT n.image_id, n.source_id, n.i, CASE WHEN {low} THEN {new} ELSE n.disk END, CASE WHEN {low} THEN {after} ELSE n.bulge - n.disk END FROM {name} p JOIN n ON n.image_id = p.image_id AND n.source_id = p.source_id AND n.i = p.i + 1)"""
+
+
+@query("k12_bluer_disk", over(X.V, X.CATALOG, SEDS, """n AS (SELECT *, (last_value(bulge - disk) OVER w - first) / CAST(last AS DOUBLE) AS slope FROM (SELECT image_id, source_id, band, sed + 10 * length(band) AS bulge, sed % 977 AS disk, row_number() OVER (PARTITION BY image_id, source_id ORDER BY band) - 1 AS i, count(*) OVER (PARTITION BY image_id, source_id) - 1 AS last,
+ first_value(sed + 10 * length(band) - sed % 977) OVER (PARTITION BY image_id, source_id ORDER BY band) AS first FROM sd) WINDOW w AS (PARTITION BY image_id, source_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+    walk_sql("a", "n.bulge - (n.slope * n.i + n.first)", "n.slope * n.i + n.first"), walk_sql("b", "n.disk + p.diff", "p.diff"),
+    select="SELECT n.image_id, n.source_id, n.band, round(a.new, 6) AS mean, round(b.new, 6) AS previous FROM n JOIN a USING (image_id, source_id, i) JOIN b USING (image_id, source_id, i)").replace("WITH ", "WITH RECURSIVE ", 1))
 def k12(s, d):
     t = two_seds(s, d)
     a = K.bluer_disk(t, "mean").withColumnRenamed("disk", "mean")
-    return a.join(K.bluer_disk(t, "previous").withColumnRenamed("disk", "previous"), ["image_id", "source_id", "band"])
+    both = a.join(K.bluer_disk(t, "previous").withColumnRenamed("disk", "previous"), ["image_id", "source_id", "band"])
+    return both.withColumn("mean", F.round("mean", 6)).withColumn("previous", F.round("previous", 6))
 
 
 @query("k13_clip_profile_params", over(X.CATALOG, "p AS (SELECT image_id, source_id, source_id % 3 - 1e0 AS r, source_id % 5 / 3e0 AS e1, source_id % 4 / 3e0 AS e2, source_id % 9 - 3e0 AS nu FROM catalog)", "q AS (SELECT *, CASE WHEN sqrt(e1 * e1 + e2 * e2) >= 1 THEN 1 / (1.1e0 * sqrt(e1 * e1 + e2 * e2)) ELSE 1 END AS f FROM p)",

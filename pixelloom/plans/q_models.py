@@ -51,6 +51,16 @@ def i4b(s, d):
     return O.blend_model(seds(s, d), morphs(s, d), X.v(s, d))
 
 
+def erf_sql(x: str) -> str:
+    """The rational approximation of the error function as SQL."""
+    t = f"(1 / (1 + 0.3275911e0 * abs({x})))"
+    return f"(sign({x}) * (1 - {t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-({x}) * ({x}))))"
+
+
+def part_sql(a: str, sigma: str) -> str:
+    return f"({erf_sql(f'(({a}) + 0.5e0) / ({sigma} * sqrt(2e0))')} - {erf_sql(f'(({a}) - 0.5e0) / ({sigma} * sqrt(2e0))')})"
+
+
 def sigmas(s, d):
     return X.v(s, d).select("image_id", "band").distinct().selectExpr("image_id", "band", "0.8D + length(band) / 10.0D AS sigma")
 
@@ -60,9 +70,10 @@ def i5(s, d):
     return O.gaussian_psf(sigmas(s, d), 11, integrated=False).withColumn("k", F.round("k", 9))
 
 
-@query("i5_gaussian_psf_integrated")
+@query("i5_gaussian_psf_integrated", over(X.V, "g AS (SELECT image_id, band, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, " + part_sql("dy", "sg") + " * " + part_sql("dx", "sg") + " AS k FROM (SELECT DISTINCT image_id, band, 0.8e0 + length(band) / 10e0 AS sg FROM v) CROSS JOIN range(-9, 10) a(dy) CROSS JOIN range(-9, 10) b(dx) WHERE abs(dy) <= ceil(10 * sg) // 2 AND abs(dx) <= ceil(10 * sg) // 2)",
+    select="SELECT image_id, band, dy, dx, round(k / sum(k) OVER (PARTITION BY image_id, band), 8) AS k FROM g"))
 def i5b(s, d):
-    return O.gaussian_psf(sigmas(s, d)).withColumn("k", F.round("k", 9))
+    return O.gaussian_psf(sigmas(s, d)).withColumn("k", F.round("k", 8))
 
 
 @query("i6_moffat_psf", over(X.V, "g AS (SELECT image_id, band, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, pow(1 + (dy * dy + dx * dx) / (a * a), -2.5e0) AS k FROM (SELECT DISTINCT image_id, band, 1 + length(band) / 10e0 AS a FROM v) CROSS JOIN range(-4, 5) x(dy) CROSS JOIN range(-4, 5) y(dx))", select="SELECT image_id, band, dy, dx, round(k / sum(k) OVER (PARTITION BY image_id, band), 9) AS k FROM g"))
@@ -86,7 +97,8 @@ def i8(s, d):
     return O.spergel_profile(shapes(s, d), "9").withColumn("value", F.round("value", 6))
 
 
-@query("i9_point_source_model")
+@query("i9_point_source_model", over(X.CATALOG, "p AS (SELECT image_id, source_id, y + 0.25e0 AS cy, x - 0.25e0 AS cx, CAST(c.y + dy AS INTEGER) AS y, CAST(c.x + dx AS INTEGER) AS x FROM catalog c CROSS JOIN range(-5, 6) a(dy) CROSS JOIN range(-5, 6) b(dx))",
+    select="SELECT image_id, source_id, y, x, round(" + part_sql("y - cy", "1.2e0") + " * " + part_sql("x - cx", "1.2e0") + " / 4, 6) AS value FROM p"))
 def i9(s, d):
     return O.point_source_model(shapes(s, d), 1.2, 11).withColumn("value", F.round("value", 6))
 
