@@ -296,14 +296,19 @@ def center_crop(pixels: DataFrame, ny: int, nx: int) -> DataFrame:
     return moved.where(f"y BETWEEN 0 AND {ny - 1} AND x BETWEEN 0 AND {nx - 1}")
 
 
-def scale_spline_convolve(coeffs: DataFrame, scales: int) -> DataFrame:
-    """Each starlet plane smoothed by a cubic B-spline as wide as its scale, along y, then x."""
+def spline_entries(scales: int) -> list[tuple[int, int, float]]:
+    """(scale, offset, weight) of cubic B-splines that are 2 ** scale wide, of unit sum."""
     entries = []
     for j in range(scales + 1):
         t = np.arange(-(2 ** (j + 1)) + 1, 2 ** (j + 1)) / 2**j
         k = np.where(np.abs(t) <= 1, 2 / 3 - t**2 + np.abs(t) ** 3 / 2, (2 - np.abs(t)) ** 3 / 6)
-        entries += [(j, int(round(d * 2**j)), float(w)) for d, w in zip(t, k / k.sum(), strict=True)]
-    table = coeffs.sparkSession.createDataFrame(entries, "scale int, d int, k double")
+        entries += [(j, round(d * 2**j), float(w)) for d, w in zip(t.tolist(), k / k.sum(), strict=True)]
+    return entries
+
+
+def scale_spline_convolve(coeffs: DataFrame, scales: int) -> DataFrame:
+    """Each starlet plane smoothed by a cubic B-spline as wide as its scale, along y, then x."""
+    table = coeffs.sparkSession.createDataFrame(spline_entries(scales), "scale int, d int, k double")
     keys = (*KEYS, "scale")
     rows = convolve(coeffs, table.selectExpr("scale", "d AS dy", "0 AS dx", "k"), keys=keys)
     return convolve(rows, table.selectExpr("scale", "0 AS dy", "d AS dx", "k"), keys=keys)

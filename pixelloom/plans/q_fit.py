@@ -8,7 +8,7 @@ from pixelloom.operators.pixels import band_noise, spectrum_coadd, sum_coadd, wi
 from pixelloom.plans import fixtures as X
 from pixelloom.plans.q_boxes import first_source
 from pixelloom.plans.q_models import MORPHS, SEDS, morphs, seds
-from pixelloom.plans.q_stencil import convolve_sql
+from pixelloom.plans.q_stencil import convolve_sql, smooth_sql, transform_sql
 from pixelloom.plans.registry import over, query
 
 KERN = X.kernel_sql("v", X.BINOMIAL3)
@@ -89,7 +89,9 @@ def j9(s, d):
     return J.drop_empty(t, m)[0]
 
 
-@query("j10_starlet_source")
+@query("j10_starlet_source", over(*PARTS, "mv AS (SELECT image_id, source_id, comp_id, y, x, m AS value FROM mo)", *transform_sql("mv", 1, 2, "s", "image_id, source_id, comp_id"), "nm AS (SELECT image_id, source_id, comp_id, scale, sqrt(sum(value * value)) AS norm FROM sw GROUP BY ALL)",
+    "kp AS (SELECT sw.*, CASE WHEN scale = 1 OR (value > 0 AND value > 0.05e0 * norm) THEN value ELSE 0 END AS kept FROM sw JOIN nm USING (image_id, source_id, comp_id, scale))", "k1 AS (SELECT image_id, source_id, comp_id, y, x, kept AS value FROM kp WHERE scale = 1)", smooth_sql("k1", "hs", 1, "image_id, source_id, comp_id"),
+    select="SELECT hs.image_id, hs.source_id, hs.comp_id, hs.y, hs.x, round(hs.value + kp.kept, 6) AS m FROM hs JOIN kp ON kp.image_id = hs.image_id AND kp.source_id = hs.source_id AND kp.y = hs.y AND kp.x = hs.x AND kp.scale = 0"))
 def j10(s, d):
     return J.starlet_source(morphs(s, d), 1, 0.05).withColumn("m", F.round("m", 6))
 
