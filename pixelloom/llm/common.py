@@ -70,6 +70,20 @@ def by_bytes(sizes: np.ndarray, target: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The one large cache of a Python worker: making another one lets go of the last.
+
+    Workers are used again by later stages, and caches of different operators would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def map_columns(df: DataFrame, text: str, outputs: list[tuple[str, T.DataType]], kernel: Callable[[pa.Array], list[pa.Array]], batch_bytes: int = 4 << 20, gather_bytes: int = 0) -> DataFrame:
     """``df`` with new columns that ``kernel`` computes from the column ``text``.
 

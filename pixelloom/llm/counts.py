@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pixelloom.llm.common import map_columns, utf8_parts
+from pixelloom.llm.common import held, map_columns, utf8_parts
 
 MARK = "▁"  # the library's word mark
 SPACE_END = re.compile(r"[^\S ] | [^\S ]")  # other white space beside a space
@@ -73,9 +73,8 @@ class PieceCounter:
         return np.array([sum(map(known.__getitem__, row)) for row in rows], np.int64)
 
 
-@lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return held(("pieces", path), lambda: PieceCounter(path))
 
 
 @lru_cache(maxsize=2)

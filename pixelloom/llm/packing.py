@@ -7,7 +7,6 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelloom.llm.bpe import Numbered
-from pixelloom.llm.common import by_bytes, cut, gather, utf8_parts
+from pixelloom.llm.common import by_bytes, cut, gather, held, utf8_parts
 
 LATIN_END = "\u0250"  # below, character classes and case are the same in every Unicode version
 
@@ -32,7 +31,7 @@ class WordTokens:
     piece; words with anything special in them go through the whole library.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,9 +105,8 @@ class WordTokens:
         return gather(self.flat, self.start[index], counts), total[ends] - total[ends - words]
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return held(("words", path), lambda: WordTokens(path))
 
 
 def token_pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:

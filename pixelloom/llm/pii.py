@@ -179,7 +179,7 @@ def secret(value: str, key: bytes) -> str | None:
 KINDS = {"email": email, "iban": iban, "phone": phone, "card": card, "ssn": ssn, "date": date, "ip": ip, "secret": secret}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None when it isn't a valid one of its kind."""
     return KINDS[kind](value, key)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 from pixelloom.llm.bpe import Numbered
+from pixelloom.llm.common import held
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, keeping those of recurring words up to a bounded number."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         self.keep = keep
         self.known = Numbered(lambda w: xxhash.xxh3_64_intdigest(w.encode(errors="replace")))
 
@@ -38,9 +38,8 @@ class WordHashes:
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return held(("hashes",), WordHashes)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:

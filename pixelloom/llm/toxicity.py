@@ -72,23 +72,38 @@ def histogram(text: str, ordinary: bytes, toxic: bytes, width: int) -> np.ndarra
     return np.bincount(np.clip(d, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
 
 
+def grams(b: bytes, k: int) -> np.ndarray:
+    """All runs of k bytes as integers."""
+    a = np.frombuffer(b, np.uint8).astype(np.uint64)
+    v = np.zeros(max(0, len(a) - k + 1), np.uint64)
+    for i in range(k):
+        v = v << np.uint64(8) | a[i : len(a) - k + 1 + i] if len(v) else v
+    return v
+
+
 def gram_counts(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Grams of k bytes as integers, in how many texts each is, how often (at most 4 times a text), and their sum."""
-    values, counts = [], []
+    """Grams of k bytes, in how many texts each is, how often (at most 4 times a text), and their sum."""
+    values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for b in texts:
-        a = np.frombuffer(b, np.uint8).astype(np.uint64)
-        if len(a) >= k:
-            v = np.zeros(len(a) - k + 1, np.uint64)
-            for i in range(k):
-                v = v << np.uint64(8) | a[i : len(a) - k + 1 + i]
-            u, c = np.unique(v, return_counts=True)
-            values.append(u)
-            counts.append(np.minimum(c, 4))
-    if not values:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 1
+        u, c = np.unique(grams(b, k), return_counts=True)
+        values.append(u)
+        counts.append(np.minimum(c, 4))
     u, inverse = np.unique(np.concatenate(values), return_inverse=True)
     c = np.concatenate(counts)
-    return u, np.bincount(inverse), np.bincount(inverse, weights=c), int(c.sum())
+    return u, np.bincount(inverse, minlength=len(u)), np.bincount(inverse, weights=c, minlength=len(u)), max(1, int(c.sum()))
+
+
+def counts_of(wanted: np.ndarray, texts: list[bytes], k: int) -> tuple[np.ndarray, int]:
+    """How often each of the sorted ``wanted`` grams is in the texts (at most 4 times a text), and the sum over all grams."""
+    found, total = np.zeros(len(wanted)), 1
+    for b in texts:
+        u, c = np.unique(grams(b, k), return_counts=True)
+        c = np.minimum(c, 4)
+        total += int(c.sum())
+        at = np.minimum(np.searchsorted(wanted, u), max(len(wanted) - 1, 0))
+        hit = wanted[at] == u if len(wanted) else np.zeros(len(u), bool)
+        found[at[hit]] += c[hit]
+    return found, total
 
 
 def marked_spans(toxic: list[bytes], ordinary: list[bytes], least_ratio: float = 6.0, least_score: float = 8.0, least_share: float = 0.03) -> list[bytes]:
@@ -98,21 +113,15 @@ def marked_spans(toxic: list[bytes], ordinary: list[bytes], least_ratio: float =
         u, df, n, total = gram_counts(toxic, k)
         keep = df >= max(3, least_share * len(toxic))
         u, df, n = u[keep], df[keep], n[keep]
-        other, _, n_other, total_other = gram_counts(ordinary, k)
-        at = np.minimum(np.searchsorted(other, u), max(len(other) - 1, 0))
-        beside = np.where(other[at] == u, n_other[at], 0) if len(other) else np.zeros(len(u))
+        beside, total_other = counts_of(u, ordinary, k)
         ratio = np.log((n + 0.5) / total / ((beside + 0.5) / total_other))
         marked[k] = set(u[(ratio > math.log(least_ratio)) & (ratio * np.sqrt(df) > least_score)].tolist())
     out = []
     for b in toxic:
         covered = np.zeros(len(b) + 1, np.int8)
-        for k, grams in marked.items():
-            if grams and len(b) >= k:
-                a = np.frombuffer(b, np.uint8).astype(np.uint64)
-                v = np.zeros(len(a) - k + 1, np.uint64)
-                for i in range(k):
-                    v = v << np.uint64(8) | a[i : len(a) - k + 1 + i]
-                for i in np.flatnonzero(np.isin(v, np.array(list(grams), np.uint64))).tolist():
+        for k, own in marked.items():
+            if own and len(b) >= k:
+                for i in np.flatnonzero(np.isin(grams(b, k), np.array(list(own), np.uint64))).tolist():
                     covered[i : i + k] = 1
         edges = np.flatnonzero(np.diff(np.concatenate([[0], covered])))
         out.append(b"".join(b[x:y] for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
