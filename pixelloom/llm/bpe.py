@@ -197,7 +197,7 @@ class Numbered(dict):
 class Encoder:
     """Texts to ids, keeping the ids of recurring words up to a bounded number."""
 
-    def __init__(self, bpe: ByteBpe, pattern: str, keep: int = 500_000):
+    def __init__(self, bpe: ByteBpe, pattern: str, keep: int = 300_000):
         self.bpe, self.pattern, self.keep = bpe, regex.compile(pattern), keep
         self.forget()
 
@@ -275,7 +275,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load(path), pattern)
 
 
-def encode_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", batch_bytes: int = 24 << 20) -> DataFrame:
+def encode_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", batch_bytes: int = 8 << 20) -> DataFrame:
     """Add the column ``ids`` (array of int): the byte-level BPE ids of ``text``.
 
     ``ranks`` is the path of a rank file that every executor has (base64 token and
