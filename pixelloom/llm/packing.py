@@ -31,7 +31,7 @@ class WordTokens:
     piece; words with anything special in them go through the whole library.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,23 +105,24 @@ class WordTokens:
         return gather(self.flat, self.start[index], counts), total[ends] - total[ends - words]
 
 
-def word_tokens(path: str) -> WordTokens:
-    return held(("words", path), lambda: WordTokens(path))
+def word_tokens(path: str, keep: int) -> WordTokens:
+    return held(("words", path, keep), lambda: WordTokens(path, keep))
 
 
-def token_pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
+def token_pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, batch_bytes: int = 8 << 20, keep_words: int = 1_000_000) -> DataFrame:
     """doc key, ``piece`` (from 0), ``start``, ``length``, ``ids`` (binary, little-endian unsigned 32-bit).
 
     A document's tokens are the ids of its text and ``end_id``; only longer ones
     are cut, into pieces of ``capacity`` tokens, the last of which may be shorter.
     A null or empty text is the one token ``end_id``. Whole texts are read; a
     repeated row gives its pieces again; null keys are kept; other columns are dropped.
+    A Python worker remembers the ids of at most ``keep_words`` words, for speed only.
     """
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField(key, source.schema["key"].dataType, True), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(vocabulary)
+        tokens = word_tokens(vocabulary, keep_words)
         for batch in batches:
             _, _, sizes = utf8_parts(batch.column(1))
             for part in by_bytes(sizes + 64, batch_bytes):

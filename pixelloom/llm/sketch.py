@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, keeping those of recurring words up to a bounded number."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 300_000):
         self.keep = keep
         self.known = Numbered(lambda w: xxhash.xxh3_64_intdigest(w.encode(errors="replace")))
 
