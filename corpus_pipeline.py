@@ -44,7 +44,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their places in sequences of 4096 tokens."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=600_000)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
