@@ -339,7 +339,7 @@ def check_finite(seds: DataFrame, morphs: DataFrame) -> tuple[DataFrame, DataFra
     return seds.join(bad, COMPONENT, "left_anti"), morphs.join(bad, COMPONENT, "left_anti"), bad
 
 
-def deblend_and_measure(pixels: DataFrame, catalog: DataFrame, truth: DataFrame, psf: DataFrame, bands: list[str], branch: str, max_iter: int = 5) -> DataFrame:
+def deblend_and_measure(pixels: DataFrame, catalog: DataFrame, truth: DataFrame, psf: DataFrame, bands: list[str], branch: str, max_iter: int = 100) -> DataFrame:
     """From pixels to measurement records for all images: initial models, SED solution, fit, magnitudes against the truth.
 
     Sources that were skipped have null magnitudes.

@@ -71,7 +71,7 @@ def g6(s, d):
 
 @query("g7_detect_peaks")
 def g7(s, d):
-    return D.detect_peaks(X.v(s, d), 3, max_iter=3).withColumn("flux", F.round("flux", 3))
+    return D.detect_peaks(X.v(s, d), 3).withColumn("flux", F.round("flux", 3))
 
 
 @query("g8_footprint_image", over(X.BOXES, X.CATALOG, "b AS (SELECT * FROM boxes WHERE image_id < 5)", select="SELECT image_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, (SELECT count(*) FROM b WHERE b.image_id = i.image_id AND gy >= y0 AND gy < y1 AND gx >= x0 AND gx < x1) AS n FROM (SELECT DISTINCT image_id FROM b) i CROSS JOIN range(30) t(gy) CROSS JOIN range(24) u(gx)"))

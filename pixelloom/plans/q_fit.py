@@ -156,28 +156,27 @@ def l5(s, d):
     return J.fista_update(df, 2.0, lambda t: positivity(t), "m")[0].selectExpr("image_id", "band", "y", "x", "round(m, 6) AS m", "round(z, 6) AS z")
 
 
-def one_blend(s, d):
-    one = first_source(s, d).select("image_id", "source_id")
-    pick = lambda t: t.join(one, ["image_id", "source_id"], "left_semi")
-    return pick(seds(s, d)), pick(morphs(s, d)).withColumn("m", F.col("m") / 3.0)
+def blends(s, d):
+    """All sources of the catalogue, with morphologies of maximum 1."""
+    return seds(s, d), morphs(s, d).withColumn("m", F.col("m") / 3.0)
 
 
 @query("l6_fit_blends")
 def l6(s, d):
-    t, m = one_blend(s, d)
-    return J.fit_blends(weighted(s, d), t, m, psf(s, d).withColumn("k", F.col("k") / 16.0), max_iter=3)[2].withColumn("loss", F.round("loss", 1))
+    t, m = blends(s, d)
+    return J.fit_blends(weighted(s, d), t, m, psf(s, d).withColumn("k", F.col("k") / 16.0))[2].withColumn("loss", F.round("loss", 1))
 
 
 @query("l7_fit_multi")
 def l7(s, d):
-    t, m = one_blend(s, d)
+    t, m = blends(s, d)
     w, k = weighted(s, d), psf(s, d).withColumn("k", F.col("k") / 16.0)
-    return J.fit_multi([(w, k), (w.withColumn("value", F.col("value") * 1.1), k)], t, m, max_iter=2)[2].withColumn("loss", F.round("loss", 1))
+    return J.fit_multi([(w, k), (w.withColumn("value", F.col("value") * 1.1), k)], t, m)[2].withColumn("loss", F.round("loss", 1))
 
 
 @query("l8_resize_components")
 def l8(s, d):
-    t, m = one_blend(s, d)
+    t, m = blends(s, d)
     return J.resize_components(t, m, band_noise(X.v(s, d)))
 
 
@@ -190,10 +189,10 @@ def l9(s, d):
 
 @query("l10_fit_blends_wavelet")
 def l10(s, d):
-    t, m = one_blend(s, d)
-    return J.fit_blends_wavelet(weighted(s, d), t, m, psf(s, d).withColumn("k", F.col("k") / 16.0), [1.0, 0.8, 0.5], max_iter=2)[2].withColumn("loss", F.round("loss", 1))
+    t, m = blends(s, d)
+    return J.fit_blends_wavelet(weighted(s, d), t, m, psf(s, d).withColumn("k", F.col("k") / 16.0), [1.0, 0.8, 0.5])[2].withColumn("loss", F.round("loss", 1))
 
 
 @query("l11_deblend_and_measure")
 def l11(s, d):
-    return cut(J.deblend_and_measure(weighted(s, d), X.catalog(s, d), X.truth(s, d), psf(s, d), ["click", "error", "purchase", "signup", "view"], "main", max_iter=2))
+    return cut(J.deblend_and_measure(weighted(s, d), X.catalog(s, d), X.truth(s, d), psf(s, d), ["click", "error", "purchase", "signup", "view"], "main"))

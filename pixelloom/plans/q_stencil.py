@@ -93,17 +93,17 @@ def f7(s, d):
 @query("f8_wavelet_denoise")
 def f8(s, d):
     c = X.v(s, d).groupBy("image_id", F.lit("sum").alias("band"), "y", "x").agg(F.sum("value").alias("value"))
-    return rounded(S.wavelet_denoise(c, 2, max_iter=3), 3)
+    return rounded(S.wavelet_denoise(c, 2), 3)
 
 
 @query("f9_band_wavelets")
 def f9(s, d):
-    return rounded(S.band_wavelets(X.v(s, d), 2, max_iter=3), 3, "scale")
+    return rounded(S.band_wavelets(X.v(s, d), 2), 3, "scale")
 
 
 @query("f9_detect_wavelets")
 def f9b(s, d):
-    return rounded(S.detect_wavelets(X.v(s, d), 3, max_iter=3), 3, "scale")
+    return rounded(S.detect_wavelets(X.v(s, d), 3), 3, "scale")
 
 
 @query("f10_wavelet_layers", over(X.V, BYSUM, *transform_sql("c", 3), select="SELECT image_id, y, x, round(sum(CASE WHEN scale < 3 THEN greatest(value, 0) ELSE 0 END), 4) AS detect, round(sum(CASE WHEN scale < 2 THEN greatest(value, 0) ELSE 0 END), 4) AS bulge, round(sum(CASE WHEN scale = 2 THEN greatest(value, 0) ELSE 0 END), 4) AS disk FROM sw GROUP BY ALL"))
