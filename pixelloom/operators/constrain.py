@@ -149,34 +149,46 @@ def monotonic_weighted(df: DataFrame, centers: DataFrame, weight: str = "angle",
     return joined.groupBy(*k).applyInPandas(sweep, schema)
 
 
-def monotonic_mask(df: DataFrame, centers: DataFrame, variance: float = 0, max_iter: int = 0, by: tuple[str, ...] = BY, col: str = "m") -> DataFrame:
-    """``df`` with ``valid``: pixels that 4-paths from the centre reach with each value below the one before plus ``variance``, and above 0.
+STEPS = "inline(array((-1, 0), (1, 0), (0, -1), (0, 1))) AS (dy, dx)"
 
-    The set grows by frontiers, several steps between two writes. With ``max_iter``
-    rounds, orphans (invalid pixels beside a valid one) are filled from the
-    gradient of valid pixel pairs that lie inwards of them, and become valid where that stays positive; other pixels get 0.
+
+def reached_from(values: DataFrame, centers: DataFrame, variance: float = 0, by: tuple[str, ...] = BY, shared: tuple[str, ...] | None = None) -> DataFrame:
+    """keys, y, x, v: the centre and all pixels that 4-paths from it reach with each value below the one before plus ``variance``, and above 0.
+
+    ``values`` (y, x, v) has the keys, or only those of ``shared``: then components walk over the pixels of one image.
     """
     k = list(by)
-    place = [*k, "y", "x"]
-    steps = "inline(array((-1, 0), (1, 0), (0, -1), (0, 1))) AS (dy, dx)"
-    values = cut(df.select(*place, F.col(col).alias("v")))
-    front = values.join(centers.select(*k, F.col("cy").alias("y"), F.col("cx").alias("x")), place, "left_semi")
+    place, on = [*k, "y", "x"], [*(shared or k), "y", "x"]
+    front = values.join(centers.select(*k, F.col("cy").alias("y"), F.col("cx").alias("x")).distinct(), on).select(*place, "v")
     reached = cut(front)
     front = reached
     while True:
         grown = front
         for _ in range(4):
-            near = front.selectExpr(*k, "y", "x", "v AS from_v", steps).selectExpr(*k, "y + dy AS y", "x + dx AS x", "from_v")
-            front = near.join(values, place).where(f"v < from_v + {variance} AND v > 0").select(*place, "v").distinct().join(grown, place, "left_anti")
+            near = front.selectExpr(*k, "y", "x", "v AS from_v", STEPS).selectExpr(*k, "y + dy AS y", "x + dx AS x", "from_v")
+            front = near.join(values, on).where(f"v < from_v + {variance} AND v > 0").select(*place, "v").distinct().join(grown, place, "left_anti")
             grown = grown.unionByName(front)
         fresh = cut(grown.select(*place, "v").distinct().join(reached, place, "left_anti"))
         if fresh.isEmpty():
-            break
+            return reached
         reached = cut(reached.unionByName(fresh))
         front = fresh
+
+
+def monotonic_mask(df: DataFrame, centers: DataFrame, variance: float = 0, max_iter: int = 0, by: tuple[str, ...] = BY, col: str = "m") -> DataFrame:
+    """``df`` with ``valid``: pixels that 4-paths from the centre reach with each value below the one before plus ``variance``, and above 0.
+
+    The set grows by frontiers, several steps between two writes. With ``max_iter``
+    rounds, orphans (invalid pixels beside a valid one) are filled from the
+    gradient of valid pixel pairs that lie inwards of them, and become valid where that stays positive; other pixels get 0.
+    """
+    k = list(by)
+    place = [*k, "y", "x"]
+    values = cut(df.select(*place, F.col(col).alias("v")))
+    reached = reached_from(values, centers, variance, by)
     for _ in range(max_iter):
-        orphans = reached.selectExpr(*k, "y", "x", steps).selectExpr(*k, "y + dy AS y", "x + dx AS x").distinct().join(values.select(*place), place, "left_semi").join(reached, place, "left_anti")
-        pair = orphans.selectExpr(*place, steps).selectExpr(*place, "y + dy AS y1", "x + dx AS x1", "y + 2 * dy AS y2", "x + 2 * dx AS x2")
+        orphans = reached.selectExpr(*k, "y", "x", STEPS).selectExpr(*k, "y + dy AS y", "x + dx AS x").distinct().join(values.select(*place), place, "left_semi").join(reached, place, "left_anti")
+        pair = orphans.selectExpr(*place, STEPS).selectExpr(*place, "y + dy AS y1", "x + dx AS x1", "y + 2 * dy AS y2", "x + 2 * dx AS x2")
         one = reached.select(*k, F.col("y").alias("y1"), F.col("x").alias("x1"), F.col("v").alias("v1"))
         two = reached.select(*k, F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("v").alias("v2"))
         made = pair.join(one, [*k, "y1", "x1"]).join(two, [*k, "y2", "x2"]).where("v2 > v1").groupBy(*place).agg(F.avg(2 * F.col("v1") - F.col("v2")).alias("v")).where("v > 0")

@@ -7,6 +7,7 @@ Tables: seds (image_id, source_id, comp_id, band, sed), morphs (image_id, source
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -48,14 +49,33 @@ def stamps_of(image: DataFrame, catalog: DataFrame, radius: int) -> DataFrame:
     return cells.join(image.select(IMAGE, "y", "x", "value"), [IMAGE, "y", "x"], "left").select(*SOURCE, F.lit(0).alias("comp_id"), "cy", "cx", "y", "x", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("m"))
 
 
+def grown_stamps(image: DataFrame, catalog: DataFrame, shape: Callable[[DataFrame, DataFrame], DataFrame], radius: int) -> DataFrame:
+    """Components (cy, cx, y, x, m) that ``shape`` makes of stamps; a source's radius doubles while its rim has a positive value.
+
+    ``shape`` gets stamps and centres and must be monotonic: with nothing positive on the rim nothing is outside of it. Past the
+    image's edge stamps are zero, so all sources settle.
+    """
+    left, done = cut(catalog.select(*SOURCE, "y", "x")), None
+    while True:
+        m = stamps_of(image, left, radius)
+        centers = m.select(*COMPONENT, "cy", "cx").distinct()
+        shaped = cut(shape(m.drop("cy", "cx"), centers).join(centers, COMPONENT).select(*COMPONENT, "cy", "cx", "y", "x", "m"))
+        rim = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx"))) == radius
+        wide = cut(shaped.where(rim & (F.col("m") > 0)).select(*SOURCE).distinct())
+        settled = shaped.join(wide, SOURCE, "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if wide.isEmpty():
+            return done
+        left, radius = left.join(wide, SOURCE, "left_semi"), 2 * radius
+
+
 def init_extended(catalog: DataFrame, coadd: DataFrame, psf_shape: DataFrame, thresh: float = 1, radius: int = 10) -> DataFrame:
     """Morphologies from a coadd (value, std): the lesser of mirror pixels, monotonic, cut at thresh x std, scaled to 1, at least the psf's shape near the centre.
 
-    A source without flux gets 1 at its centre.
+    A source without flux gets 1 at its centre. ``radius`` is where stamps begin; they grow as far as the source does.
     """
-    m = stamps_of(coadd, catalog, radius)
-    centers = m.select(*COMPONENT, "cy", "cx").distinct()
-    smooth = constrain.monotonic_weighted(constrain.symmetry_min(m.drop("cy", "cx"), centers, 0.0), centers, "angle")
+    found = grown_stamps(coadd, catalog, lambda m, c: constrain.monotonic_weighted(constrain.symmetry_min(m, c, 0.0), c, "angle"), radius)
+    centers, smooth = found.select(*COMPONENT, "cy", "cx").distinct(), found.drop("cy", "cx")
     noise = coadd.select(IMAGE, "y", "x", "std")
     kept = smooth.join(noise, [IMAGE, "y", "x"], "left").withColumn("m", F.when(F.col("m") > thresh * F.coalesce("std", F.lit(0.0)), F.col("m")).otherwise(0.0)).drop("std")
     scaled = constrain.max_normalised(constrain.center_on(kept, 1e-20), tuple(COMPONENT))
@@ -76,10 +96,21 @@ def layer_by_flux(morphs: DataFrame, percentiles: tuple[float, ...] = (25,)) ->
 
 
 def init_monotonic(detect: DataFrame, catalog: DataFrame, use_mask: bool = True, thresh: float = 0, radius: int = 10) -> DataFrame:
-    """Morphologies from a detection image: what decreases from each centre (or the weighted projection), above ``thresh``, maximum 1; a source without any is left out."""
-    m = stamps_of(detect, catalog, radius)
-    centers = m.select(*COMPONENT, "cy", "cx").distinct()
-    shaped = constrain.monotonic_mask(m.drop("cy", "cx"), centers).drop("valid") if use_mask else constrain.monotonic_weighted(m.drop("cy", "cx"), centers)
+    """Morphologies from a detection image: what decreases from each centre (or the weighted projection), above ``thresh``, maximum 1; a source without any is left out.
+
+    Both run as far as the image goes. The mask's box has the least ladder size (21, 31, ..., from ``radius``) that holds all it reaches.
+    """
+    if use_mask:
+        centers = catalog.select(*SOURCE, F.lit(0).alias("comp_id"), F.col("y").alias("cy"), F.col("x").alias("cx"))
+        values = cut(detect.select(IMAGE, "y", "x", F.col("value").cast("double").alias("v")))
+        reached = constrain.reached_from(values, centers, by=tuple(COMPONENT), shared=(IMAGE,))
+        far = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx")))
+        size = centers.join(reached, COMPONENT, "left").groupBy(*COMPONENT, "cy", "cx").agg((2 * F.coalesce(F.max(far), F.lit(0)) + 1).alias("size"))
+        sized = minimal_boxsize(size, min_size=2 * radius + 1)
+        cells = explode_grid(sized, "cy - boxsize div 2", "cy + boxsize div 2 + 1", "cx - boxsize div 2", "cx + boxsize div 2 + 1")
+        shaped = cells.join(reached, [*COMPONENT, "y", "x"], "left").select(*COMPONENT, "y", "x", F.coalesce("v", F.lit(0.0)).alias("m"))
+    else:
+        shaped = grown_stamps(detect, catalog, constrain.monotonic_weighted, radius).drop("cy", "cx")
     kept = shaped.withColumn("m", F.when(F.col("m") > thresh, F.col("m")).otherwise(0.0))
     return constrain.max_normalised(kept, tuple(COMPONENT)).where("m IS NOT NULL")
 
@@ -97,7 +128,8 @@ def init_sources(pixels: DataFrame, catalog: DataFrame, psf: DataFrame, detect:
     extended = cut(init_monotonic(detect, usable.where("k >= 1")))
     two = layer_by_flux(extended.join(usable.where("k >= 2").select(*SOURCE), SOURCE, "left_semi"))
     one = extended.join(usable.where("k = 1").select(*SOURCE), SOURCE, "left_semi").select(*COMPONENT, "y", "x", "m")
-    shaped = one.unionByName(two.select(*COMPONENT, "y", "x", "m")).where("m > 0")
+    shaped = one.unionByName(two.select(*COMPONENT, "y", "x", "m"))
+    shaped = shaped.join(shaped.where("m > 0").select(*SOURCE).distinct(), SOURCE, "left_semi")
     rest = point.join(shaped.select(*SOURCE).distinct(), SOURCE, "left_anti").select(*COMPONENT, "y", "x", F.col("m").cast("double").alias("m"))
     morphs = cut(shaped.unionByName(rest))
     positive = seds.groupBy(*SOURCE).agg(F.max("sed").alias("top")).where("top > 0").select(*SOURCE)
@@ -256,13 +288,14 @@ def fista_update(df: DataFrame, t: float, prox=None, col: str = "x") -> tuple[Da
 # --- loops -------------------------------------------------------------------
 
 
-def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit all images together: seds, morphs, losses (image_id, it, loss).
 
     Each iteration takes one gradient for all components; the SED step uses the old
     morphology, the morphology step the old SED. Morphologies stay monotonic, above the background (or
     positive), with a floor at the centre and a maximum of 1. An image leaves the loop when its loss
-    changes by less than ``e_rel`` of it. State is written to the checkpoint folder once an iteration.
+    changes by less than ``e_rel`` of it. Boxes are resized every ``resize`` iterations, by the noise ``rms`` or else
+    that of the first observation's weights. State is written to the checkpoint folder once an iteration.
     """
     zero = [F.lit(0.0).alias(n) for n in ("m1", "m2", "m2hat")]
     s = cut(seds.select(*COMPONENT, "band", F.col("sed").cast("double").alias("sed"), *zero))
@@ -270,6 +303,9 @@ def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame,
     if centers is None:
         centers = constrain.middle(m, tuple(COMPONENT))
     centers = cut(centers.select(*COMPONENT, "cy", "cx"))
+    noise = rms
+    if resize and noise is None:
+        noise = observations[0][0].where("weight > 0").groupBy(IMAGE, "band").agg(F.avg(1 / F.sqrt("weight")).alias("rms"))
     done_s, done_m, losses, before = None, None, None, None
     for it in range(max_iter):
         grad, loss = multi_gradient(observations, s.select(*COMPONENT, "band", "sed"), m.select(*COMPONENT, "y", "x", "m"), plane_weights)
@@ -286,8 +322,8 @@ def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame,
             new_m = new_m.drop("m").join(shaped, [*COMPONENT, "y", "x"]).select(*m.columns)
         s, m = cut(new_s), cut(new_m)
         losses = loss if losses is None else losses.unionByName(loss)
-        if resize and it and it % resize == 0 and rms is not None:
-            m = cut(resize_components(s, m, rms))
+        if resize and it and it % resize == 0:
+            m = cut(resize_components(s, m, noise, 1.0 if bg_thresh is None else bg_thresh))
         if before is not None and it > min_iter:
             last = before.select(IMAGE, F.col("loss").alias("was"))
             settled = cut(loss.join(last, IMAGE).where(F.abs(F.col("loss") - F.col("was")) < e_rel * F.abs("loss")).select(IMAGE))
