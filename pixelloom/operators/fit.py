@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, PLACE, cut, explode_grid
 from pixelloom.operators import constrain, measure
 from pixelloom.operators.boxes import minimal_boxsize
@@ -146,11 +147,41 @@ def init_profile(catalog: DataFrame, pixels: DataFrame, profile: DataFrame) -> t
     return seds, profile.select(*SOURCE, F.lit(0).alias("comp_id"), "y", "x", F.col("value").alias("m"))
 
 
-def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted: bool = True) -> DataFrame:
+def conjugate_gradients(matrix: DataFrame, right: DataFrame, tol: float = 1e-10) -> DataFrame:
+    """image_id, band, comp, sol: the least-norm solutions of symmetric systems, one for each image_id, band and root of ``right`` (comp, v).
+
+    ``matrix`` has image_id, band, comp, other, v. Each round is a join and sums over all systems at once, and
+    is written to the checkpoint folder; a system leaves when its residual is below ``tol`` of the right side, and the loop
+    ends after twice as many rounds as the largest system has unknowns.
+    """
+    by = [IMAGE, "band", "root"]
+    norms = right.groupBy(*by).agg(F.sum(F.col("v") * F.col("v")).alias("full"), F.count(F.lit(1)).alias("n"))
+    state = cut(right.join(norms, by).select(*by, "comp", "full", "n", F.lit(0.0).alias("sol"), F.col("v").alias("r"), F.col("v").alias("p"), F.col("full").alias("rr")))
+    rounds = 2 * (state.agg(F.max("n")).first()[0] or 0)
+    done = None
+    for _ in range(rounds + 1):
+        open_ = F.col("rr") > tol * tol * F.col("full")
+        settled = state.where(~open_).select(IMAGE, "band", "comp", "sol")
+        done = settled if done is None else done.unionByName(settled)
+        state = state.where(open_)
+        if state.isEmpty():
+            return done
+        along = state.select(IMAGE, "band", F.col("comp").alias("other"), "p")
+        ap = matrix.join(along, [IMAGE, "band", "other"]).groupBy(IMAGE, "band", "comp").agg(F.sum(F.col("v") * F.col("p")).alias("ap"))
+        moved = cut(state.join(ap, [IMAGE, "band", "comp"]))
+        alpha = moved.groupBy(*by).agg((F.first("rr") / F.nullif(F.sum(F.col("p") * F.col("ap")), F.lit(0.0))).alias("alpha")).select(*by, F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+        moved = cut(moved.join(alpha, by).select(*by, "comp", "full", "n", (F.col("sol") + F.col("alpha") * F.col("p")).alias("sol"), (F.col("r") - F.col("alpha") * F.col("ap")).alias("r"), "p", "rr"))
+        fresh = moved.groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("now"))
+        state = cut(moved.join(fresh, by).select(*by, "comp", "full", "n", "sol", "r", (F.col("r") + F.col("now") / F.col("rr") * F.col("p")).alias("p"), F.col("now").alias("rr")))
+    return done.unionByName(state.select(IMAGE, "band", "comp", "sol"))
+
+
+def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted: bool = True, dense: int = 200) -> DataFrame:
     """Least-squares SEDs of rendered morphologies: (M' W M)^-1 M' W d for each image and band, at least 0.
 
     Components with equal models count once (the least one; the others get 0). Normal matrices are sums
-    over pairs of components that share pixels; each image and band solves one small system.
+    over pairs of components that share pixels. Components that share pixels, if only by way of others, form a group: each group of up to
+    ``dense`` components solves one small system in each band, larger ones by conjugate gradients as joins and sums.
     """
     bands = pixels.select(IMAGE, "band").distinct()
     one = morphs.join(bands, IMAGE).select(*COMPONENT, "band", "y", "x", F.col("m").alias("value"))
@@ -159,10 +190,15 @@ def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted:
     first = mark.groupBy(IMAGE, "mark").agg(F.min("comp").alias("comp"))
     kept = shown.join(first.select(IMAGE, "comp"), [IMAGE, "comp"])
     seen = kept.join(pixels.select(*PLACE, F.col("value").alias("d"), (F.col("weight") if weighted else F.lit(1.0)).alias("w")), PLACE).select(*PLACE, "comp", "value", "d", "w")
-    right = seen.groupBy(IMAGE, "band", "comp").agg(F.sum(F.col("w") * F.col("value") * F.col("d")).cast("double").alias("v")).withColumn("other", F.lit(None).cast(kept.schema["comp"].dataType))
+    right = cut(seen.groupBy(IMAGE, "band", "comp").agg(F.sum(F.col("w") * F.col("value") * F.col("d")).cast("double").alias("v")))
     b = seen.select(*PLACE, F.col("comp").alias("other"), F.col("value").alias("value_b"))
-    left = seen.join(b, PLACE).groupBy(IMAGE, "band", "comp", "other").agg(F.sum(F.col("w") * F.col("value") * F.col("value_b")).cast("double").alias("v"))
-    system = left.unionByName(right).select(IMAGE, "band", F.col("comp.source_id").alias("source_id"), F.col("comp.comp_id").alias("comp_id"), F.col("other.source_id").alias("other_source"), F.col("other.comp_id").alias("other_comp"), "v")
+    left = cut(seen.join(b, PLACE).groupBy(IMAGE, "band", "comp", "other").agg(F.sum(F.col("w") * F.col("value") * F.col("value_b")).cast("double").alias("v")))
+    roots = components(left.select(IMAGE, F.col("comp").alias("a"), F.col("other").alias("b")), (IMAGE,)).select(IMAGE, F.col("node").alias("comp"), "root")
+    every = right.select(IMAGE, "comp").distinct().join(roots, [IMAGE, "comp"], "left").select(IMAGE, "comp", F.coalesce("root", "comp").alias("root"))
+    grouped = cut(every.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(IMAGE, "root"))))
+    of_group = lambda df: df.join(grouped, [IMAGE, "comp"])
+    both = of_group(left).unionByName(of_group(right).withColumn("other", F.lit(None).cast(kept.schema["comp"].dataType))).where(F.col("size") <= dense)
+    system = both.select(IMAGE, "band", "root", F.col("comp.source_id").alias("source_id"), F.col("comp.comp_id").alias("comp_id"), F.col("other.source_id").alias("other_source"), F.col("other.comp_id").alias("other_comp"), "v")
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         mine = part[part.other_source.isna()].sort_values(["source_id", "comp_id"])
@@ -173,7 +209,11 @@ def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted:
         sed = np.linalg.lstsq(a, mine.v.to_numpy(), rcond=1e-10)[0]
         return pd.DataFrame({"image_id": mine.image_id, "source_id": mine.source_id, "comp_id": mine.comp_id, "band": mine.band, "sed": np.maximum(sed, 0)})
 
-    solved = system.groupBy(IMAGE, "band").applyInPandas(solve, "image_id long, source_id long, comp_id int, band string, sed double")
+    solved = system.groupBy(IMAGE, "band", "root").applyInPandas(solve, "image_id long, source_id long, comp_id int, band string, sed double")
+    large = of_group(right).where(F.col("size") > dense).select(IMAGE, "band", "root", "comp", "v")
+    if not large.isEmpty():
+        found = conjugate_gradients(left, large).select(IMAGE, "comp.source_id", "comp.comp_id", "band", F.greatest("sol", F.lit(0.0)).alias("sed"))
+        solved = solved.unionByName(found)
     everyone = morphs.select(*COMPONENT).distinct().join(bands, IMAGE)
     return everyone.join(solved, [*COMPONENT, "band"], "left").select(*COMPONENT, "band", F.coalesce("sed", F.lit(0.0)).alias("sed"))
 
