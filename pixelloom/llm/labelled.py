@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import remainder
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) rows of each class whose crc32 remainder isn't the held-out one.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: tuple[int, int], most_chars: int = 100_000) -> list[tuple[str, int]]:
+    """At most ``per_class`` (of label 0, of label 1) rows (text, label) whose crc32 remainder isn't the held-out one, one row a doc_id.
 
-    Rows are taken in the order of a hash of the id, so the sample is the same in
-    every run. Only the ids travel to the documents, as a broadcast of at most
-    2 x ``per_class`` rows; only the sampled texts come to the driver.
+    The sample bounds what is learned from, not what is scored: labelled rows in the
+    order of a hash of the id, so that it is random and the same in every run. A
+    repeated id gives its least text, an id with both labels counts for neither, and texts of more than
+    ``most_chars`` characters, of which no sample is needed, are passed over. Only ids
+    travel to the documents, as a broadcast of at most the sum of ``per_class``
+    rows; at most as many texts come to the driver.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", modulus) != held_out)).select("doc_id", F.col(label).alias("y")).distinct()
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", modulus) != held_out))
+    usable = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")).where("y = other").select("doc_id", "y")
     order = F.xxhash64("doc_id")
-    ids = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
+    ids = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]).collect()]
     if not ids:
         return []
     wanted = documents.sparkSession.createDataFrame(ids, usable.schema)
-    rows = documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["text"]))]
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -65,5 +70,10 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w
 
 
+def linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log odds of a logistic regression, within reason."""
+    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+
+
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-linear(x, w)))

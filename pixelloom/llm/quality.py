@@ -204,8 +204,8 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", output: str =
     return map_columns(df, text, [(output, T.DoubleType())], kernel, batch_bytes=2 << 20)
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500, modulus: int = 4, held_out: int = 2) -> QualityModel:
-    """Train on at most ``per_class`` labelled rows of each class outside the held-out remainder."""
+def fit(documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2500, 2500), modulus: int = 4, held_out: int = 2) -> QualityModel:
+    """Train on a random sample of at most ``per_class`` labelled rows (bad, good) outside the held-out remainder."""
     return train(labelled_sample(documents, labels, "quality", modulus, held_out, per_class))
 
 

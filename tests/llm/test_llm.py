@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pixelloom.llm import bpe, chat, counts, dedup, packing, pii, quality, sketch, topk, toxicity, transport
 from pixelloom.llm.common import table
+from pixelloom.llm.labelled import labelled_sample
 from pixelloom.llm.queries import ORACLE_SQL, QUERIES
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -339,12 +340,29 @@ def accuracy(rows):
     return sum(r.predicted == r.y for r in held) / len(held)
 
 
+def auc(positive, negative):
+    both = np.concatenate([positive, negative])
+    values, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[at]
+    return (ranks[: len(positive)].sum() - len(positive) * (len(positive) + 1) / 2) / (len(positive) * len(negative))
+
+
 def test_toxicity_held_out(spark, sf_dir):
-    d = sf_dir.replace("sf0.001", "sf0.01")
+    d = sf_dir.replace("sf0.001", "sf0.1")
     labels = table(spark, d, "labels").withColumnRenamed("toxic", "y")
     rows = QUERIES["op3_toxicity"](spark, d).join(labels, "doc_id", "left").collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
-    assert accuracy(rows) >= 0.9
+    toxic, plain = (np.array([r.score for r in rows if r.held_out and r.y == y]) for y in (1, 0))
+    assert auc(toxic, plain) >= 0.85 and (toxic >= 0.7).mean() >= 0.45 and (plain >= 0.7).mean() <= 0.02
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(2000)] + [(1000, "x" * 200), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 3 + [(7, 0), (1000, 1), (None, 1)], "doc_id long, y int")
+    rows = labelled_sample(docs, labels, "y", 3, 1, (10, 4), most_chars=100)
+    assert [sum(y == c for _, y in rows) for c in (0, 1)] == [10, 4] and len({t for t, _ in rows}) == 14
+    every = labelled_sample(docs, labels, "y", 1, 1, (1000, 1000), most_chars=100)
+    assert sorted(every) == sorted((min(f"text {i}" for i in range(2000) if i % 50 == k), k % 2) for k in range(50) if k != 7)
 
 
 def test_quality_held_out(spark, sf_dir):
