@@ -77,9 +77,10 @@ def common_counts(texts: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def linked(ids: list[int], texts: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links (similarity of at least ``least``) among the texts of one block.
+def linked(ids: list[int], texts: list[np.ndarray], asked: list[bool], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links (similarity of at least ``least``) between the texts of one task.
 
+    If some are ``asked`` for and some aren't, only pairs of one of either are compared; else all are.
     The number of common shingles bounds the similarity from above; pairs that
     it leaves are aligned, the most alike first, but for those that are already
     connected.
@@ -90,7 +91,11 @@ def linked(ids: list[int], texts: list[np.ndarray], least: float) -> list[tuple[
     size = np.array([len(t) for t in texts], float)
     common = common_counts(marked)
     bound = common / np.maximum(size[:, None] + size[None, :] - common, 1)
-    rows, cols = np.nonzero(np.triu(bound >= least - 1e-9, 1))
+    able = np.triu(bound >= least - 1e-9, 1)
+    side = np.array(asked)
+    if side.any() and not side.all():
+        able &= side[:, None] != side[None, :]
+    rows, cols = np.nonzero(able)
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -102,7 +107,7 @@ def linked(ids: list[int], texts: list[np.ndarray], least: float) -> list[tuple[
     out = []
     for k in np.argsort(-bound[rows, cols], kind="stable").tolist():
         a, b = int(rows[k]), int(cols[k])
-        if root(a) != root(b) and similarity(texts[a], texts[b], least):
+        if ids[a] != ids[b] and root(a) != root(b) and similarity(texts[a], texts[b], least):
             parent[root(a)] = root(b)
             out.append((ids[a], ids[b]))
     return out
@@ -133,54 +138,89 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def links(df: DataFrame, reps: DataFrame, doc_id: str, text: str, least: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between representatives that share a band, at least a spanning forest of them.
+def counted(df: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """``df`` with ``n``, the rows of its key, and ``first``, the least ``by`` among them; keys of one row go.
 
-    In each bucket the text that is in the largest buckets leads; texts that share a leader
-    form a group, so each two that share a bucket meet. A group is cut into
-    blocks of about ``block`` texts, and each two of its blocks are compared in a task of their own.
+    Counts come together in salted groups, and rows find them by key and salt, so a key that a
+    third of all rows have is spread over ``salts`` tasks.
     """
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(exploded.join(buckets, "bucket"))
-    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    leads = members.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("lead"))
-    groups = cut(members.select("bucket", "rep").join(leads, "bucket").select("lead", "rep").distinct())
-    sizes = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")
-    met = groups.join(sizes, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = met.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-
-    wanted = groups.join(sizes.select("lead"), "lead", "left_semi").select("rep").distinct()
-    source = df.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("first"))
+    whole = parts.groupBy(key).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
+    return salted.join(parts.select(key, "salt").join(whole, key), [key, "salt"]).drop("salt")
+
+
+def compared(tasks: DataFrame, source: DataFrame, text: str, least: float) -> DataFrame:
+    """Links (a, b) found by tasks (lead, i, j) over their texts (rep, asked)."""
+    wanted = source.join(tasks.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text"))
 
     def kernel(column: pa.Array) -> list[pa.Array]:
         return [pa.array([shingles(word_hashes().of(t or "")).tobytes() for t in column.to_pylist()], pa.binary())]
 
-    read = map_columns(source, "text", [("shingles", T.BinaryType())], kernel).drop("text")
-    ready = tasks.join(read, "rep").select("lead", "i", "j", "rep", "shingles").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep")
+    read = map_columns(wanted, "text", [("shingles", T.BinaryType())], kernel).drop("text")
+    ready = tasks.join(read, "rep").select("lead", "i", "j", "rep", "asked", "shingles").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts = None, [], []
+        now, ids, texts, asked = None, [], [], []
         out: list[tuple[int, int]] = []
         for batch in batches:
-            for lead, i, j, rep, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lead, i, j, rep, side, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (lead, i, j) != now:
-                    out += linked(ids, texts, least)
-                    now, ids, texts = (lead, i, j), [], []
+                    out += linked(ids, texts, asked, least)
+                    now, ids, texts, asked = (lead, i, j), [], [], []
                 ids.append(rep)
+                asked.append(side)
                 texts.append(np.frombuffer(data, np.uint64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
                 out = []
-        out = linked(ids, texts, least)
+        out = linked(ids, texts, asked, least)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return ready.mapInArrow(run, schema)
 
 
+def links(df: DataFrame, reps: DataFrame, doc_id: str, text: str, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between representatives that share a band, enough to connect all that are linked.
+
+    The least text of a bucket leads it; texts that share a leader
+    form a group, so each two that share a bucket meet in one. A group of up to ``block`` texts is compared
+    in one task. In a larger one all texts are first compared with the leader, in blocks; only
+    those that aren't linked to it are then compared with the others, block by block: with the size
+    of a group of true copies the work grows in proportion.
+    """
+    source = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    members = counted(reps.select("rep", F.explode("bands").alias("bucket")), "bucket", "rep")
+    groups = cut(counted(members.select(F.col("first").alias("lead"), "rep").distinct(), "lead", "rep").select("lead", "rep", "n"))
+    small = groups.where(F.col("n") <= block).select("lead", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", F.lit(True).alias("asked"))
+    large = groups.where(F.col("n") > block)
+    if large.isEmpty():
+        return compared(small, source, text, least)
+
+    def part(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.ceil(F.col("n") / block)).cast("int")
+
+    blocks = large.withColumn("j", part("rep"))
+    others = blocks.where("rep <> lead").select("lead", F.lit(0).alias("i"), "j", "rep", F.lit(False).alias("asked"))
+    leaders = others.select("lead", "i", "j").distinct().select("lead", "i", "j", F.col("lead").alias("rep"), F.lit(True).alias("asked"))
+    near = cut(compared(others.unionByName(leaders).unionByName(small.withColumn("i", F.lit(-1))), source, text, least))
+    star = near.select(F.explode(F.array(F.struct(F.col("a").alias("lead"), F.col("b").alias("rep")), F.struct(F.col("b").alias("lead"), F.col("a").alias("rep")))).alias("e")).select("e.*").distinct()
+    # Of each large group: what the leader didn't take, in blocks of its own, against every block of the group.
+    left = cut(blocks.where("rep <> lead").join(star, ["lead", "rep"], "left_anti").select("lead", "rep", "n"))
+    if left.isEmpty():
+        return near
+    rest = counted(left.select("lead", "rep").union(left.select("lead", "rep")), "lead", "rep").select("lead", "rep", F.col("n").alias("twice")).distinct()
+    asking = rest.select("lead", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("twice") / 2 / block)).cast("int").alias("i"))
+    own = asking.select("lead", "i").distinct()
+    every = blocks.select("lead", "j").distinct()
+    met = own.join(every, "lead")
+    asked = asking.join(met, ["lead", "i"]).select("lead", "i", "j", "rep", F.lit(True).alias("asked"))
+    answers = blocks.select("lead", "j", "rep").join(met, ["lead", "j"]).select("lead", "i", "j", "rep", F.lit(False).alias("asked"))
+    return near.unionByName(compared(asked.unionByName(answers), source, text, least))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, rep_id, class_id for every row of ``df``: near-duplicate classes.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import xxhash
@@ -92,13 +93,45 @@ def order_minhash(s: np.ndarray, functions: int, sample: int = 2) -> np.ndarray:
     return out
 
 
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many values two sequences share at their starts, and at their ends behind that."""
+    least = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:least] != b[:least])
+    first = int(unlike[0]) if len(unlike) else least
+    left = least - first
+    unlike = np.flatnonzero(a[::-1][:left] != b[::-1][:left])
+    return first, int(unlike[0]) if len(unlike) else left
+
+
+def dense_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Longest common subsequence, bit-parallel: a row of the table is one integer of len(b) bits."""
+    values, at = np.unique(b, return_inverse=True)
+    order, edge = np.argsort(at, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(at))])
+    bits = np.zeros(len(b), np.uint8)
+    masks: dict[int, int] = {}
+    codes = np.searchsorted(values, a)
+    known = values[np.minimum(codes, len(values) - 1)] == a
+    every = (1 << len(b)) - 1
+    row = every
+    for code in codes[known].tolist():
+        if (mask := masks.get(code)) is None:
+            own = order[edge[code] : edge[code + 1]]
+            bits[own] = 1
+            mask = masks[code] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            bits[own] = 0
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & every
+    return len(b) - row.bit_count()
+
+
 def alignment(a: np.ndarray, b: np.ndarray, least: float) -> int:
-    """Length of the longest common subsequence of two shingle sequences, found within a band.
+    """Length of the longest common subsequence of two shingle sequences, or 0 where it falls below ``least`` anyway.
 
     Texts whose in-order overlap reaches ``least`` differ by at most a known number
-    of insertions and deletions, so positions off the diagonal by more can't matter;
-    with fewer common shingles than that the result is only known to be too
-    small and 0 is returned.
+    of insertions and deletions, so only equal shingles within that band of the diagonal
+    are looked up. Their number is counted before they are listed: where texts repeat
+    themselves so much that there are many, a bit-parallel table of the same length takes over. Memory thus
+    follows the texts' lengths, not the product of their repeats.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -106,26 +139,38 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> int:
     need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))
     if min(n, m) < need:
         return 0
-    # Positions in b of each value; only matched pairs near the diagonal take part.
     band = n + m - 2 * need
-    order = np.argsort(b, kind="stable")
-    ranked = b[order]
-    low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
-    hits = high - low
-    if int((hits > 0).sum()) < need:
+    first, last = common_ends(a, b)
+    ends = first + last
+    a, b = a[first : n - last], b[first : m - last]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return ends if ends >= need else 0
+    # Positions of each value in b are a run of sorted (value, position) keys; the band cuts a part of it.
+    values, at = np.unique(b, return_inverse=True)
+    keys = at * (m + 1) + np.arange(m)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    code = np.minimum(np.searchsorted(values, a), len(values) - 1)
+    rows = np.flatnonzero(values[code] == a)
+    if len(rows) + ends < need:
         return 0
-    rows = np.repeat(np.arange(n), hits)
-    cols = order[np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))]
-    near = np.abs(rows - cols) <= band
-    rows, cols = rows[near], cols[near]
-    if not len(rows):
+    base = code[rows] * (m + 1)
+    low = np.searchsorted(keys, base + np.maximum(rows - band, 0), "left")
+    high = np.searchsorted(keys, base + np.minimum(rows + band, m - 1), "right")
+    hits = np.maximum(high - low, 0)
+    if int((hits > 0).sum()) + ends < need:
         return 0
+    total = int(hits.sum())
+    if total > 8 * (n + m):
+        found = dense_common(a, b) + ends
+        return found if found >= need else 0
+    cols = order[np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(total)]
+    rows = np.repeat(rows, hits)
     # Longest increasing run of columns, rows ascending and columns descending within a row.
     seq = cols[np.lexsort((-cols, rows))]
     if len(seq) == len(np.unique(rows)) and (np.diff(seq) > 0).all():
-        return len(seq)
-    from bisect import bisect_left
-
+        return len(seq) + ends
     tails: list[int] = []
     for c in seq.tolist():
         k = bisect_left(tails, c)
@@ -133,7 +178,7 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> int:
             tails.append(c)
         else:
             tails[k] = c
-    return len(tails)
+    return len(tails) + ends
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
