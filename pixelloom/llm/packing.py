@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelloom.llm.bpe import Numbered
-from pixelloom.llm.common import by_bytes, cut, gather, held, utf8_parts
+from pixelloom.llm.common import by_bytes, cut, gather, held, utf8_parts, without
 
 LATIN_END = "\u0250"  # below, character classes and case are the same in every Unicode version
 
@@ -66,7 +66,7 @@ class WordTokens:
     def ids_of(self, word: str) -> list[int]:
         if not (self.fast and max(word, default="") < LATIN_END) or "<" in word and any(s in word for s in self.special):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
+        if word[-1:] in (".", ",") and word[-2:-1].lower().isalpha():  # a mark after what stays a letter is a piece of its own
             return self.known(word[:-1]) + self.known(word[-1])
         if word.isalpha() and word != (lower := word.lower()):
             return self.known(lower)
@@ -290,18 +290,21 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, spread
 
     Only the histogram of lengths, at most ``capacity`` counts, comes to the
     driver; the patterns found there are as bounded, and each piece finds its place by its rank
-    among those of its length. Ranks come from salted groups (one salt for each ``spread`` rows), so a
-    length that a third of all pieces have is no hot group. Offsets have no gaps.
+    among those of its length. Ranks come from groups of at most ``spread`` neighbouring rows of one
+    input partition, so a length that a third of all pieces have is no hot group, nor are equal rows. Offsets have no gaps.
     Pieces with a null length or one outside 1..capacity raise an error; repeated
     rows are pieces of their own; an empty table stays empty; columns called
-    ``sequence_id`` or ``offset`` are replaced, others pass through.
+    ``sequence_id`` or ``offset`` are replaced, others pass through; columns called ``pack_row``,
+    ``pack_salt``, ``pack_rank`` or ``pack_before`` raise an error.
     """
-    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "pack_salt", "pack_rank", "pack_before")]
-    pieces = cut(pieces.select(*[f"`{c}`" for c in kept]))
+    if clash := {c.lower() for c in pieces.columns} & {"pack_row", "pack_salt", "pack_rank", "pack_before"}:
+        raise ValueError(f"columns {sorted(clash)} are taken by pack")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    own = without(pieces, ("sequence_id", "offset"))
+    pieces = cut(own.withColumn("pack_row", F.monotonically_increasing_id()))
     counted = {r[0]: r[1] for r in pieces.groupBy(F.col(length).cast("long")).count().collect()}
     if any(n is None or not 1 <= n <= capacity for n in counted):
         raise ValueError(f"a piece's length is null or outside 1..{capacity}")
-    total = sum(counted.values())
     found = patterns(counted, capacity)
     slots, sequences = [], 0
     for pattern, copies in found:
@@ -318,14 +321,12 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, spread
     for k, v in length_base.items():
         starts[k] = v
 
-    salts = max(1, -(-total // spread))
-    salted = pieces.withColumn("pack_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept if not isinstance(pieces.schema[c].dataType, T.MapType)]), F.lit(salts)))
-    orderable = [F.col(f"`{c}`") for c in kept if not isinstance(pieces.schema[c].dataType, T.MapType)]
+    salted = pieces.withColumn("pack_salt", F.floor(F.col("pack_row") / spread))
     sizes = salted.groupBy(length, "pack_salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(length, "pack_salt", (F.sum("n").over(Window.partitionBy(length).orderBy("pack_salt")) - F.col("n")).alias("pack_before"))
-    ranked = salted.withColumn("pack_rank", F.row_number().over(Window.partitionBy(length, "pack_salt").orderBy(*orderable)).cast("long") - 1)
+    ranked = salted.withColumn("pack_rank", F.row_number().over(Window.partitionBy(length, "pack_salt").orderBy("pack_row")).cast("long") - 1)
     joined = ranked.join(before, [length, "pack_salt"]).select(*[f"`{c}`" for c in kept], (F.col("pack_rank") + F.col("pack_before")).alias("pack_rank"))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*own.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     where = kept.index(next(c for c in kept if c.lower() == length.lower()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
