@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,27 +27,52 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 LATIN_LOWER = "".join(c for c in map(chr, range(0xDF, 0x100)) if c.islower())
 LATIN_UPPER = "".join(c for c in map(chr, range(0xC0, 0xDF)) if c.isupper())
 ALPHABETS = {c: a for a in (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER) for c in a}
-HEX = "0123456789abcdef"
+SMALL = 1 << 40  # permutations of fewer values are made free of fixed points
+
+
+@lru_cache(maxsize=20_000)
+def alphabet(c: str) -> str:
+    """What a character may turn into: the ten digits of its script, or the letters of its kind among the 256 code points around it.
+
+    Empty for other characters and for letters that are the only ones of their kind there.
+    """
+    if c in ALPHABETS:
+        return ALPHABETS[c]
+    kind, first = unicodedata.category(c), ord(c) & ~0xFF
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.digit(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if kind not in ("Ll", "Lu", "Lo", "Lt", "Lm"):
+        return ""
+    own = "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind and x not in ALPHABETS)
+    return own if len(own) > 1 else ""
+
 
 PATTERN = re.compile(
     r"(?P<email>[^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b)"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w+])(?:\+|00(?=[1-9]))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,8}){1,6}(?!\w)"
+    r"|(?<![\w+.,-])0\d(?:[ .-]\d\d){4}(?![\w.-])"
+    r"|(?<![\w+.,-])\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]?\d{3,5}(?![\w.-]))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{1,7}|\d{4}([ -])\d{6}\6\d{5})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
+    r"|(?P<token>(?<![^\W_])(?:A[KS]IA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,64}|xox[abprs](?:-[A-Za-z0-9]{8,64}){1,4}|sk-[A-Za-z0-9-]{20,64})(?![\w-]))"
+    r"|(?P<assigned>(?<![^\W_])(?i:password|passwd|pwd|secret|api[_-]?key|(?:access|auth)[_-]?token)[\"']?[ \t]*[=:][ \t]*[\"']?(?=[^\s\"',;]*\d)[^\s\"',;]{6,128})"
     r"|(?P<secret>(?<![^\W_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![^\W_]))"
 )
 
 
 def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0..size-1: alternating Feistel rounds on a near-square grid, walking on while outside."""
+    """A keyed permutation of 0..size-1: alternating Feistel rounds on a near-square grid, walking on while outside.
+
+    Below ``SMALL`` values it has no fixed point (where there are two values at least); above, one is out of the question.
+    """
     if size < 2:
         return x
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     width = (max(a, b).bit_length() + 71) // 8
 
@@ -53,20 +80,42 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
         data = f"{tweak}|{size}|{k}|{value}".encode()
         return int.from_bytes(hashlib.shake_256(key + data).digest(width), "big") % modulus
 
-    while True:
-        left, right = divmod(x, b)
-        for k in range(0, ROUNDS, 2):
-            left = (left + mixed(right, k, a)) % a
-            right = (right + mixed(left, k + 1, b)) % b
-        x = left * b + right
-        if x < size:
-            return x
-
-
-def characters(value: str, key: bytes, tweak: str, fixed: str = "") -> str:
-    """Permute all letters and digits of ``value`` within their alphabets at once; the rest, and ``fixed``, stay."""
-    where = [(i, ALPHABETS[c]) for i, c in enumerate(value) if c in ALPHABETS and c not in fixed]
-    shape = "".join("0aA1B"[(DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER).index(a)] for _, a in where)
+    def through(x: int) -> int:
+        while True:
+            left, right = divmod(x, b)
+            for k in range(0, ROUNDS, 2):
+                left = (left + mixed(right, k, a)) % a
+                right = (right + mixed(left, k + 1, b)) % b
+            x = left * b + right
+            if x < size:
+                return x
+
+    def back(x: int) -> int:
+        while True:
+            left, right = divmod(x, b)
+            for k in range(ROUNDS - 2, -1, -2):
+                right = (right - mixed(left, k + 1, b)) % b
+                left = (left - mixed(right, k, a)) % a
+            x = left * b + right
+            if x < size:
+                return x
+
+    if size > SMALL:
+        return through(x)
+    # A cyclic shift, seen through the permutation, leaves no value where it is.
+    return back((through(x) + 1 + mixed(0, ROUNDS, size - 1)) % size)
+
+
+def characters(value: str, key: bytes, tweak: str) -> str | None:
+    """Permute all letters and digits of ``value`` within their alphabets at once; the rest stay.
+
+    None when there is nothing to permute.
+    """
+    where = [(i, a) for i, c in enumerate(value) if (a := alphabet(c))]
+    if not where:
+        return None
+    known = (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER)
+    shape = "".join("0aA1B"[known.index(a)] if a in known else f"<{ord(a[0]):x}>" for _, a in where)
     x, size = 0, 1
     for i, a in where:
         x, size = x * len(a) + a.index(value[i]), size * len(a)
@@ -75,7 +124,8 @@ def characters(value: str, key: bytes, tweak: str, fixed: str = "") -> str:
     for i, a in reversed(where):
         x, d = divmod(x, len(a))
         out[i] = a[d]
-    return "".join(out)
+    made = "".join(out)
+    return made if made != value else None
 
 
 def luhn_digit(digits: str) -> int:
@@ -91,11 +141,20 @@ def into(shape: str, symbols: str) -> str:
 
 
 def card(value: str, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", value)
+    digits = "".join(str(int(c)) for c in value if c.isdecimal())
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or set(digits) == {"0"}:
         return None
-    body = digits[0] + characters(digits[1:-1], key, "card")
-    return into(value, body + str(luhn_digit(body)))
+    made = characters(digits[1:-1], key, "card")
+    if made is None:
+        return None
+    return into(value, in_script(value, digits[0] + made + str(luhn_digit(digits[0] + made))))
+
+
+def in_script(like: str, digits: str) -> str:
+    """ASCII digits written with the digits that ``like`` begins with."""
+    first = next((c for c in like if c.isdecimal()), "0")
+    zero = ord(first) - int(first)
+    return "".join(chr(zero + int(c)) for c in digits)
 
 
 def iban_number(symbols: str) -> int:
@@ -107,14 +166,27 @@ def iban(value: str, key: bytes) -> str | None:
     if not 15 <= len(plain) <= 34 or iban_number(plain[4:] + plain[:4]) % 97 != 1:
         return None
     account = characters(plain[4:], key, "iban")
+    if account is None:
+        return None
     check = 98 - iban_number(account + plain[:2] + "00") % 97
     return into(value, f"{plain[:2]}{check:02d}{account}")
 
 
 def phone(value: str, key: bytes) -> str | None:
-    lead = re.match(r"\+\d{1,3}", value)
-    at = lead.end() if lead else 0
-    return value[:at] + characters(value[at:], key, "phone")
+    """Numbers of 8 to 15 digits (E.164) or national ones of 9 to 13; a country code and a national zero stay."""
+    lead = re.match(r"(?:\+|00)\d{1,3}", value)
+    # Country codes have one digit in zones 1 and 7, else two or three; what lies behind the first mark isn't one.
+    digits = sum(c.isdecimal() for c in value) - (2 if value[:2] == "00" and lead else 0)
+    if not (8 <= digits <= 15 if lead else 9 <= digits <= 13):
+        return None
+    at = 0
+    if lead:
+        code = lead[0].lstrip("+")[2 if value[:2] == "00" else 0 :]
+        at = lead.end() - (len(code) - 1 if code[0] in "17" else max(0, len(code) - 2) if value[lead.end() : lead.end() + 1].isdecimal() else 0)
+    elif re.match(r"\(?0", value):
+        at = value.index("0") + 1
+    made = characters(value[at:], key, "phone")
+    return None if made is None else value[:at] + made
 
 
 def ssn(value: str, key: bytes) -> str | None:
@@ -131,7 +203,15 @@ def ssn(value: str, key: bytes) -> str | None:
         area, group = divmod(rest, 99)
         made = f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
         if number(made) >= 0:
-            return made
+            return in_place(value, made)
+
+
+def in_place(value: str, made: str) -> str | None:
+    """``made`` with the digits of the value's script; None when nothing changed."""
+    first = next(c for c in value if c.isdecimal())
+    zero = ord(first) - int(first)
+    out = "".join(chr(zero + int(c)) if c.isdecimal() else c for c in made)
+    return out if out != value else None
 
 
 def date(value: str, key: bytes) -> str | None:
@@ -150,22 +230,30 @@ def date(value: str, key: bytes) -> str | None:
         padded = any(len(p) == 2 and p[0] == "0" for p in parts) or all(len(p) >= 2 for p in parts)
         for i, v in ((year, made.year), (month, made.month), (day, made.day)):
             out[i] = f"{v:02d}" if padded else str(v)
-        return mark.join(out)
+        return in_place(value, mark.join(out))
     return None
 
 
 def ip(value: str, key: bytes) -> str | None:
     octets = [int(p) for p in value.split(".")]
-    if any(o > 255 for o in octets) or any(len(p) > 1 and p[0] == "0" for p in value.split(".")):
+    if any(o > 255 for o in octets) or any(len(p) > 1 and int(p[0]) == 0 for p in value.split(".")):
         return None
     x = permuted(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip")
-    return ".".join(map(str, x.to_bytes(4, "big")))
+    return in_place(value, ".".join(map(str, x.to_bytes(4, "big"))))
 
 
 def email(value: str, key: bytes) -> str | None:
     local, _, domain = value.rpartition("@")
     host, _, top = domain.rpartition(".")
-    return f"{characters(local, key, 'email')}@{characters(host, key, 'host')}.{top}"
+    made = characters(local, key, "email"), characters(host, key, "host")
+    return None if made == (None, None) else f"{made[0] or local}@{made[1] or host}.{top}"
+
+
+def token(value: str, key: bytes) -> str | None:
+    """A service's key: its kind's prefix stays."""
+    lead = re.match(r"A[KS]IA|AIza|gh[pousr]_|[sr]k_(?:live|test)_|xox[abprs]-|sk-", value).end()
+    made = characters(value[lead:], key, f"token|{value[:lead]}")
+    return None if made is None else value[:lead] + made
 
 
 def secret(value: str, key: bytes) -> str | None:
@@ -176,12 +264,19 @@ def secret(value: str, key: bytes) -> str | None:
     return made.upper() if value.upper() == value else made
 
 
-KINDS = {"email": email, "iban": iban, "phone": phone, "card": card, "ssn": ssn, "date": date, "ip": ip, "secret": secret}
+def assigned(value: str, key: bytes) -> str | None:
+    """What is assigned to a name such as ``password``, but for the marks at its end; the name stays."""
+    at = re.match(r"[\w-]+[\"']?[ \t]*[=:][ \t]*[\"']?", value).end()
+    made = characters(value[at:], key, "assigned")
+    return None if made is None else value[:at] + made
+
+
+KINDS = {"email": email, "iban": iban, "phone": phone, "card": card, "ssn": ssn, "date": date, "ip": ip, "token": token, "assigned": assigned, "secret": secret}
 
 
 @lru_cache(maxsize=50_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
-    """The pseudonym of a value, or None when it isn't a valid one of its kind."""
+    """The pseudonym of a value, never the value itself; None when it isn't a valid one of its kind or can't be permuted."""
     return KINDS[kind](value, key)
 
 
@@ -200,7 +295,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
     return ("".join([*parts, text[at:]]), found) if found else (text, found)
 
 
-HINT = re.compile(r"[\d@]")
+HINT = re.compile(r"[\d@]|gh[pousr]_|xox[abprs]-|AIza|A[KS]IA|[sr]k_|sk-")
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -218,6 +313,9 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
         made = [(None, []) if t is None else pseudonymised(t, key) if HINT.search(t) else (t, []) for t in column.to_pylist()]
         return [pa.array([t for t, _ in made], pa.string()), pa.array([[dict(zip(("kind", "start", "length", "pseudonym"), f, strict=True)) for f in found] for _, found in made], kind)]
 
-    out = map_columns(df, text, [("pseudonymised_text", T.StringType()), (spans, T.ArrayType(entry))], kernel)
-    names = [c for c in out.columns if c != "pseudonymised_text"]
-    return out.select(*[out["pseudonymised_text"].alias(c) if c == text else f"`{c}`" for c in names])
+    made_text, taken = "pseudonymised_text", {c.lower() for c in df.columns}
+    while made_text in taken:
+        made_text += "_"
+    out = map_columns(df, text, [(made_text, T.StringType()), (spans, T.ArrayType(entry))], kernel)
+    names = [c for c in out.columns if c != made_text]
+    return out.select(*[out[made_text].alias(c) if c == text else f"`{c}`" for c in names])
