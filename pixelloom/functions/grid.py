@@ -13,10 +13,13 @@ PLACE = [IMAGE, "band", "y", "x"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a new one under /tmp where it names none, as in tests."""
+    """The checkpoint folder that the session names; a new one under /tmp only where all of Spark is one process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return context.getCheckpointDir()
 
 

@@ -9,7 +9,7 @@ from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, cut
 from pixelloom.operators.boxes import box_overlap_join
 
-ROW = 65536  # a region is named by y * ROW + x of its first pixel
+ROW = 65536  # a region is named by y * ROW + x of its first pixel, in wider images by y * (their largest x + 1) + x
 
 
 def label_components(pixels: DataFrame, thresh: float | str = 0, keys: tuple[str, ...] = (IMAGE,)) -> DataFrame:
@@ -20,9 +20,10 @@ def label_components(pixels: DataFrame, thresh: float | str = 0, keys: tuple[str
     """
     k = list(keys)
     lit = pixels.where(F.col("value") > (F.col(thresh) if isinstance(thresh, str) else F.lit(thresh))).select(*k, "y", "x", "value")
+    lit = lit.join(lit.groupBy(*k).agg(F.greatest(F.lit(ROW), F.max("x") + 1).cast("long").alias("row")), k)
     line = Window.partitionBy(*k, "y").orderBy("x")
     # Consecutive columns share x - rank, and so name their run.
-    marked = cut(lit.withColumn("gap", F.col("x") - F.row_number().over(line)).withColumn("run", F.col("y").cast("long") * ROW + F.min("x").over(Window.partitionBy(*k, "y", "gap"))).drop("gap"))
+    marked = cut(lit.withColumn("gap", F.col("x") - F.row_number().over(line)).withColumn("run", F.col("y").cast("long") * F.col("row") + F.min("x").over(Window.partitionBy(*k, "y", "gap"))).drop("gap", "row"))
     here = marked.select(*k, "y", "x", F.col("run").alias("a"))
     below = marked.select(*k, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("b"))
     roots = components(here.join(below, [*k, "y", "x"]).select(*k, "a", "b").distinct(), keys).withColumnRenamed("node", "run")
@@ -78,6 +79,19 @@ def scale_footprints(coeffs: DataFrame, scales: int, min_area: int = 4) -> tuple
     return footprints(coeffs.where(F.col("scale") < scales), 0, min_area, (IMAGE, "scale"))
 
 
+def footprint_overlap_join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (IMAGE,), salts: int = 16) -> DataFrame:
+    """keys, a_id, b_id, n: footprints (tables keys, label, y, x) that share pixels, and how many.
+
+    An equi-join on the pixel; counts come together in parts first, so a huge pair of footprints is no hot key.
+    Repeated pixels of a footprint count once.
+    """
+    k = list(keys)
+    left = a.select(*k, "y", "x", F.col("label").alias("a_id")).distinct()
+    right = b.select(*k, "y", "x", F.col("label").alias("b_id")).distinct()
+    parts = left.join(right, [*k, "y", "x"]).groupBy(*k, "a_id", "b_id", F.pmod(F.col("y"), F.lit(salts)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy(*k, "a_id", "b_id").agg(F.sum("n").alias("n"))
+
+
 def blend_structures(table: DataFrame, fp_pixels: DataFrame) -> DataFrame:
     """image_id, struct_id, scale, y, x: for each scale-2 footprint the distinct peaks of it and of the scale 0 and 1 footprints whose boxes it overlaps."""
     part = lambda cond: table.where(cond).withColumn("box_id", F.struct("scale", "label"))

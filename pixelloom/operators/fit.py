@@ -81,7 +81,7 @@ def init_extended(catalog: DataFrame, coadd: DataFrame, psf_shape: DataFrame, th
     kept = smooth.join(noise, [IMAGE, "y", "x"], "left").withColumn("m", F.when(F.col("m") > thresh * F.coalesce("std", F.lit(0.0)), F.col("m")).otherwise(0.0)).drop("std")
     scaled = constrain.max_normalised(constrain.center_on(kept, 1e-20), tuple(COMPONENT))
     shape = psf_shape.groupBy("dy", "dx").agg(F.max("k").alias("k"))
-    floor = shape.withColumn("floor", F.col("k") / F.max("k").over(Window.partitionBy())).select("dy", "dx", "floor")
+    floor = shape.join(F.broadcast(shape.agg(F.max("k").alias("top")))).withColumn("floor", F.col("k") / F.col("top")).select("dy", "dx", "floor")
     at = scaled.join(centers, COMPONENT).withColumn("dy", F.col("y") - F.col("cy")).withColumn("dx", F.col("x") - F.col("cx"))
     return at.join(F.broadcast(floor), ["dy", "dx"], "left").select(*COMPONENT, "y", "x", F.greatest("m", F.coalesce("floor", F.lit(0.0))).alias("m"))
 
@@ -332,8 +332,8 @@ def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame,
     """Fit all images together: seds, morphs, losses (image_id, it, loss).
 
     Each iteration takes one gradient for all components; the SED step uses the old
-    morphology, the morphology step the old SED. Morphologies stay monotonic, above the background (or
-    positive), with a floor at the centre and a maximum of 1. An image leaves the loop when its loss
+    morphology, the morphology step the old SED. Morphologies stay monotonic, above the background that the new SED
+    gives (or positive), with a floor at the centre and a maximum of 1. An image leaves the loop when its loss
     changes by less than ``e_rel`` of it. Boxes are resized every ``resize`` iterations, by the noise ``rms`` or else
     that of the first observation's weights. State is written to the checkpoint folder once an iteration.
     """
@@ -352,15 +352,15 @@ def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame,
         grad, loss = cut(grad.join(s.select(IMAGE).distinct(), IMAGE, "left_semi")), cut(loss.join(s.select(IMAGE).distinct(), IMAGE, "left_semi").withColumn("it", F.lit(it)))
         gs = s.join(grad_sed(grad, m), [*COMPONENT, "band"], "left").fillna(0.0, ["g"]).join(relative_step(s, "sed", sed_step, 1e-12), COMPONENT)
         gm = m.join(grad_morph(grad, s, m), [*COMPONENT, "y", "x"], "left").fillna(0.0, ["g"]).join(relative_step(m, "m", morph_step, 1e-12), COMPONENT)
-        new_s = adaptive_update(gs, it, scheme, "sed").withColumn("sed", F.greatest("sed", F.lit(1e-20) if constrained else F.col("sed"))).select(*s.columns)
+        new_s = cut(adaptive_update(gs, it, scheme, "sed").withColumn("sed", F.greatest("sed", F.lit(1e-20) if constrained else F.col("sed"))).select(*s.columns))
         new_m = adaptive_update(gm, it, scheme, "m").select(*m.columns)
         if constrained:
             new_m = cut(new_m)
             shaped = constrain.monotonic_weighted(new_m.select(*COMPONENT, "y", "x", "m"), centers)
-            shaped = constrain.positivity(shaped) if bg_thresh is None or rms is None else constrain.background_cut(s, shaped, rms, bg_thresh)
+            shaped = constrain.positivity(shaped) if bg_thresh is None or rms is None else constrain.background_cut(new_s, shaped, rms, bg_thresh)
             shaped = constrain.max_normalised(constrain.center_on(shaped, 1e-20), tuple(COMPONENT))
             new_m = new_m.drop("m").join(shaped, [*COMPONENT, "y", "x"]).select(*m.columns)
-        s, m = cut(new_s), cut(new_m)
+        s, m = new_s, cut(new_m)
         losses = loss if losses is None else losses.unionByName(loss)
         if resize and it and it % resize == 0:
             m = cut(resize_components(s, m, noise, 1.0 if bg_thresh is None else bg_thresh))

@@ -1,7 +1,7 @@
 """Stencils: starlet wavelets as window functions, convolution and resampling as joins with sums.
 
-Window stencils need dense grids (``densify``): lag counts rows, not coordinates. Windows are
-partitioned by image, band and row or column, so a single huge image spreads over many tasks.
+Window stencils need dense grids (``densify``), as lag counts rows, not coordinates; a gap in a row or
+column of pixels raises an error. Windows are partitioned by image, band and row or column, so a single huge image spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -17,16 +17,20 @@ KEYS = (IMAGE, "band")
 
 
 def smoothed(df: DataFrame, col: str, scale: int, out: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``out``: ``col`` smoothed by (1, 4, 6, 4, 1) / 16 with gaps of 2 ** scale along y, then x; zero outside."""
+    """``out``: ``col`` smoothed by (1, 4, 6, 4, 1) / 16 with gaps of 2 ** scale along y, then x; zero outside.
+
+    A plane with gaps, where a row's neighbour isn't the next pixel, raises an error: ``densify`` it first.
+    """
     step = 2**scale
 
-    def along(c: Column, w: Window) -> Column:
+    def along(c: Column, axis: str, w: Window) -> Column:
         near = F.lag(c, step, 0.0).over(w) + F.lead(c, step, 0.0).over(w)
         far = F.lag(c, 2 * step, 0.0).over(w) + F.lead(c, 2 * step, 0.0).over(w)
-        return (far + 4 * near + 6 * c) / 16
+        gap = F.col(axis) - F.lag(axis, 1).over(w) != 1
+        return F.when(gap, F.raise_error(F.lit(f"the plane has gaps along {axis}: densify it first")).cast("double")).otherwise((far + 4 * near + 6 * c) / 16)
 
-    rows = df.withColumn("row_pass", along(F.col(col).cast("double"), Window.partitionBy(*keys, "x").orderBy("y")))
-    return rows.withColumn(out, along(F.col("row_pass"), Window.partitionBy(*keys, "y").orderBy("x"))).drop("row_pass")
+    rows = df.withColumn("row_pass", along(F.col(col).cast("double"), "y", Window.partitionBy(*keys, "x").orderBy("y")))
+    return rows.withColumn(out, along(F.col("row_pass"), "x", Window.partitionBy(*keys, "y").orderBy("x"))).drop("row_pass")
 
 
 def bspline_smooth(pixels: DataFrame, scale: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -18,14 +18,14 @@ def finished(df: DataFrame) -> DataFrame:
 
 def v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-band cubes of 30 x 24 pixels from the events, dense."""
-    e = table(spark, sf_dir, "events").selectExpr("user_id % 5 AS image_id", "event_type AS band", "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS INT) AS y", "CAST(hour(ts) AS INT) AS x", "CAST(round(value * 100) AS BIGINT) AS v")
+    e = table(spark, sf_dir, "events").selectExpr("user_id div 6 AS image_id", "event_type AS band", "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS INT) AS y", "CAST(hour(ts) AS INT) AS x", "CAST(round(value * 100) AS BIGINT) AS v")
     sums = e.groupBy("image_id", "band", "y", "x").agg(F.sum("v").alias("value"))
     grid = e.select("image_id", "band").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return finished(grid.join(sums, ["image_id", "band", "y", "x"], "left"))
 
 
 V = """
-ve AS (SELECT user_id % 5 AS image_id, event_type AS band, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS y,
+ve AS (SELECT user_id // 6 AS image_id, event_type AS band, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS y,
   CAST(hour(ts) AS INTEGER) AS x, CAST(round(value * 100) AS BIGINT) AS v FROM events),
 v AS (SELECT g.image_id, g.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CAST(coalesce(s.value, 0) AS BIGINT) AS value,
   CAST(1 + coalesce(s.value, 0) AS BIGINT) AS variance, (gy + gx) % 17 = 0 AS masked
@@ -35,14 +35,14 @@ v AS (SELECT g.image_id, g.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) A
 
 def l(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: E743
     """Three-band density images of 50 x 50 pixels from the line items, dense."""
-    e = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 20 AS image_id", "l_returnflag AS band", "CAST(l_quantity AS INT) - 1 AS y", "least(49, CAST(floor(l_extendedprice / 2100) AS INT)) AS x")
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey div 5 AS image_id", "l_returnflag AS band", "CAST(l_quantity AS INT) - 1 AS y", "least(49, CAST(floor(l_extendedprice / 2100) AS INT)) AS x")
     sums = e.groupBy("image_id", "band", "y", "x").agg(F.count(F.lit(1)).alias("value"))
     grid = e.select("image_id", "band").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(49))))
     return finished(grid.join(sums, ["image_id", "band", "y", "x"], "left"))
 
 
 L = """
-le AS (SELECT l_suppkey % 20 AS image_id, l_returnflag AS band, CAST(l_quantity AS INTEGER) - 1 AS y, least(49, CAST(floor(l_extendedprice / 2100) AS INTEGER)) AS x FROM lineitem),
+le AS (SELECT l_suppkey // 5 AS image_id, l_returnflag AS band, CAST(l_quantity AS INTEGER) - 1 AS y, least(49, CAST(floor(l_extendedprice / 2100) AS INTEGER)) AS x FROM lineitem),
 l AS (SELECT g.image_id, g.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CAST(coalesce(s.value, 0) AS BIGINT) AS value,
   CAST(1 + coalesce(s.value, 0) AS BIGINT) AS variance, (gy + gx) % 17 = 0 AS masked
   FROM (SELECT DISTINCT image_id, band FROM le) g CROSS JOIN range(50) a(gy) CROSS JOIN range(50) b(gx)
@@ -62,23 +62,22 @@ e AS (SELECT vec_id AS image_id, 'e' AS band, CAST(i // 8 AS INTEGER) AS y, CAST
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source centres on grid V from the suppliers; the lowest source of each centre."""
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 5 AS image_id", "s_suppkey AS source_id", "CAST(17 * s_suppkey % 30 AS INT) AS y", "CAST(7 * s_suppkey % 24 AS INT) AS x")
-    return s.groupBy("image_id", "y", "x").agg(F.min("source_id").alias("source_id")).select("image_id", "source_id", "y", "x")
+    """Source centres on grid V from the suppliers, four to an image: two pairs of close neighbours."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey div 4 AS image_id", "s_suppkey AS source_id", "CAST(17 * (s_suppkey div 2) % 28 + 2 * (s_suppkey % 2) AS INT) AS y", "CAST(7 * (s_suppkey div 2) % 22 + s_suppkey % 2 AS INT) AS x")
 
 
 CATALOG = """
-catalog AS (SELECT image_id, min(source_id) AS source_id, y, x FROM (SELECT s_suppkey % 5 AS image_id, s_suppkey AS source_id,
-  CAST(17 * s_suppkey % 30 AS INTEGER) AS y, CAST(7 * s_suppkey % 24 AS INTEGER) AS x FROM supplier) GROUP BY image_id, y, x)"""
+catalog AS (SELECT s_suppkey // 4 AS image_id, s_suppkey AS source_id, CAST(17 * (s_suppkey // 2) % 28 + 2 * (s_suppkey % 2) AS INTEGER) AS y,
+  CAST(7 * (s_suppkey // 2) % 22 + s_suppkey % 2 AS INTEGER) AS x FROM supplier)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from the orders."""
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey % 20 AS image_id", "o_orderkey AS box_id", "CAST(o_custkey % 40 AS INT) AS y0", "CAST(o_custkey % 40 + 1 + o_orderkey % 9 AS INT) AS y1", "CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 AS INT) AS x0", "CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 1 + o_custkey % 7 AS INT) AS x1")
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey div 600 AS image_id", "o_orderkey AS box_id", "CAST(o_custkey % 40 AS INT) AS y0", "CAST(o_custkey % 40 + 1 + o_orderkey % 9 AS INT) AS y1", "CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 AS INT) AS x0", "CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 1 + o_custkey % 7 AS INT) AS x1")
 
 
 BOXES = """
-boxes AS (SELECT o_orderkey % 20 AS image_id, o_orderkey AS box_id, CAST(o_custkey % 40 AS INTEGER) AS y0, CAST(o_custkey % 40 + 1 + o_orderkey % 9 AS INTEGER) AS y1,
+boxes AS (SELECT o_orderkey // 600 AS image_id, o_orderkey AS box_id, CAST(o_custkey % 40 AS INTEGER) AS y0, CAST(o_custkey % 40 + 1 + o_orderkey % 9 AS INTEGER) AS y1,
   CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 AS INTEGER) AS x0, CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 1 + o_custkey % 7 AS INTEGER) AS x1 FROM orders)"""
 
 
@@ -118,7 +117,7 @@ def kernel_sql(source: str, entries: list[tuple[int, int, int]]) -> str:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An affine frame for each image of V: identity, doubled or rotated by image number."""
-    ids = table(spark, sf_dir, "events").selectExpr("user_id % 5 AS image_id").distinct()
+    ids = table(spark, sf_dir, "events").selectExpr("user_id div 6 AS image_id").distinct()
     return ids.selectExpr("image_id", "30 AS ny", "24 AS nx", *FRAME_COLUMNS)
 
 
@@ -129,7 +128,7 @@ FRAME_COLUMNS = [
     "CASE image_id % 3 WHEN 0 THEN 1.0D WHEN 1 THEN 2.0D ELSE 0.8D END AS pc22",
     "CAST(12 AS DOUBLE) AS crpix1",
     "CAST(15 AS DOUBLE) AS crpix2",
-    "CAST(100 + image_id AS DOUBLE) AS crval1",
+    "CAST(100 + image_id % 200 AS DOUBLE) AS crval1",
     "CAST(10 AS DOUBLE) AS crval2",
 ]
-FRAMES = "frames AS (SELECT image_id, 30 AS ny, 24 AS nx, " + ", ".join(c.replace("D WHEN", " WHEN").replace("D ELSE", " ELSE").replace("D END", " END").replace("CASE", "CAST(CASE").replace("END AS", "END AS DOUBLE) AS") for c in FRAME_COLUMNS) + " FROM (SELECT DISTINCT user_id % 5 AS image_id FROM events))"
+FRAMES = "frames AS (SELECT image_id, 30 AS ny, 24 AS nx, " + ", ".join(c.replace("D WHEN", " WHEN").replace("D ELSE", " ELSE").replace("D END", " END").replace("CASE", "CAST(CASE").replace("END AS", "END AS DOUBLE) AS") for c in FRAME_COLUMNS) + " FROM (SELECT DISTINCT user_id // 6 AS image_id FROM events))"

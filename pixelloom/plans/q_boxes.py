@@ -2,20 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from pixelloom.functions.grid import explode_grid
 from pixelloom.operators import boxes as B
+from pixelloom.operators import detect as D
 from pixelloom.plans import fixtures as X
 from pixelloom.plans.registry import over, query
 
 BOX = "image_id, box_id, y0, y1, x0, x1"
 ODD = "odd AS (SELECT image_id, box_id, y0, y1, x0, x1 FROM boxes WHERE box_id % 2 = 1)"
 GROWN = "grown AS (SELECT image_id, box_id, y0 + 2 AS y0, y1 + 2 AS y1, x0 + 1 AS x0, x1 + 1 AS x1 FROM boxes)"
-CORNERS = "corner AS (SELECT image_id, max(y0) AS y0, max(y0) + 6 AS y1, max(x0) AS x0, max(x0) + 5 AS x1, max(box_id) AS box_id FROM boxes WHERE image_id < 5 GROUP BY image_id)"
-
-
-def some_boxes(s, d):
-    """One box for each image of V."""
-    b = X.boxes(s, d).where("image_id < 5")
-    return b.groupBy("image_id").agg(F.max("y0").alias("y0"), F.max("x0").alias("x0"), F.max("box_id").alias("box_id")).selectExpr("image_id", "y0", "y0 + 6 AS y1", "x0", "x0 + 5 AS x1", "box_id")
+CELLS = "cell AS (SELECT image_id, box_id, y0, x0, gy, unnest(range(x0, x1)) AS gx FROM (SELECT *, unnest(range(y0, y1)) AS gy FROM boxes))"
 
 
 @query("c1_box_from_data", over(X.L, select="""SELECT image_id, band, CAST(coalesce(min(y) FILTER (value > 2), 0) AS INTEGER) AS y0, CAST(coalesce(max(y) FILTER (value > 2) + 1, 0) AS INTEGER) AS y1,
@@ -37,17 +33,16 @@ def c3(s, d):
     return B.box_contains(X.catalog(s, d), X.boxes(s, d)).select("image_id", "source_id", "box_id")
 
 
-@query("c4_box_extract", over(X.V, X.BOXES, CORNERS, select="""SELECT c.image_id, c.box_id, v0.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, coalesce(v.value, 0) AS value
- FROM corner c JOIN (SELECT DISTINCT image_id, band FROM v) v0 USING (image_id) CROSS JOIN range(6) a(gy) CROSS JOIN range(5) b(gx)
- LEFT JOIN v ON v.image_id = c.image_id AND v.band = v0.band AND v.y = c.y0 + gy AND v.x = c.x0 + gx"""))
+@query("c4_box_extract", over(X.V, X.BOXES, CELLS, select="""SELECT c.image_id, c.box_id, v0.band, CAST(gy - y0 AS INTEGER) AS y, CAST(gx - x0 AS INTEGER) AS x, coalesce(v.value, 0) AS value
+ FROM cell c JOIN (SELECT DISTINCT image_id, band FROM v) v0 USING (image_id) LEFT JOIN v ON v.image_id = c.image_id AND v.band = v0.band AND v.y = gy AND v.x = gx"""))
 def c4(s, d):
-    return B.box_extract(X.v(s, d), some_boxes(s, d), 0).withColumn("value", F.col("value").cast("long"))
+    return B.box_extract(X.v(s, d), X.boxes(s, d), 0).withColumn("value", F.col("value").cast("long"))
 
 
 @query("c5_box_insert", over(X.V, X.BOXES, select="""SELECT v.image_id, v.band, v.y, v.x, CAST(v.value + coalesce(n, 0) AS BIGINT) AS value FROM v LEFT JOIN (SELECT v.image_id, v.band, v.y, v.x, count(*) * max(v.value) AS n
- FROM v JOIN boxes b ON v.image_id = b.image_id AND v.y >= b.y0 AND v.y < b.y1 AND v.x >= b.x0 AND v.x < b.x1 WHERE b.box_id % 7 = 0 GROUP BY ALL) s USING (image_id, band, y, x)"""))
+ FROM v JOIN boxes b ON v.image_id = b.image_id AND v.y >= b.y0 AND v.y < b.y1 AND v.x >= b.x0 AND v.x < b.x1 GROUP BY ALL) s USING (image_id, band, y, x)"""))
 def c5(s, d):
-    v, b = X.v(s, d), X.boxes(s, d).where("box_id % 7 = 0")
+    v, b = X.v(s, d), X.boxes(s, d)
     return B.box_insert(v, B.box_extract(v, b), b, how="add").select("image_id", "band", "y", "x", F.col("value").cast("long").alias("value"))
 
 
@@ -98,30 +93,32 @@ def c12(s, d):
 
 
 @query("c13_box_overlap_join", over(X.BOXES, select="""SELECT a.image_id, a.box_id AS a_id, b.box_id AS b_id FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1
- WHERE a.box_id // 20 % 2 = 0 AND b.box_id // 20 % 2 = 1"""))
+ WHERE a.box_id < b.box_id"""))
 def c13(s, d):
     b = X.boxes(s, d)
-    return B.box_overlap_join(b.where("box_id div 20 % 2 = 0"), b.where("box_id div 20 % 2 = 1"))
+    return B.box_overlap_join(b, b).where("a_id < b_id")
 
 
-@query("c15_minimal_boxsize", over(X.BOXES, select="SELECT box_id, CAST((y1 - y0) * (x1 - x0) AS INTEGER) AS size, CAST(21 + 10 * ceil(greatest(0, (y1 - y0) * (x1 - x0) - 21) / 10.0) AS INTEGER) AS boxsize FROM boxes"))
-def c15(s, d):
-    return B.minimal_boxsize(X.boxes(s, d).selectExpr("box_id", "CAST((y1 - y0) * (x1 - x0) AS INT) AS size"))
+SHARED = "px AS (SELECT *, box_id % 2 AS side FROM cell)"
 
 
-ONE = "one AS (SELECT image_id, min(source_id) AS source_id, min_by(y, source_id) AS cy, min_by(x, source_id) AS cx FROM catalog GROUP BY image_id)"
+@query("c14_footprint_overlap_join", over(X.BOXES, CELLS, SHARED, select="SELECT a.image_id, a.box_id AS a_id, b.box_id AS b_id, count(*) AS n FROM px a JOIN px b ON a.image_id = b.image_id AND a.gy = b.gy AND a.gx = b.gx WHERE a.side = 0 AND b.side = 1 GROUP BY ALL"))
+def c14(s, d):
+    cells = explode_grid(X.boxes(s, d), "y0", "y1", "x0", "x1").select("image_id", F.col("box_id").alias("label"), "y", "x")
+    return D.footprint_overlap_join(cells.where("label % 2 = 0"), cells.where("label % 2 = 1"))
 
 
-def first_source(s, d):
-    return X.catalog(s, d).groupBy("image_id").agg(F.min("source_id").alias("source_id"), F.min_by("y", "source_id").alias("y"), F.min_by("x", "source_id").alias("x"))
+@query("c15_minimal_boxsize", over(X.BOXES, select="SELECT box_id, CAST((y1 - y0) * (x1 - x0) AS INTEGER) AS size, CAST(21 + 10 * ceil(greatest(0, (y1 - y0) * (x1 - x0) - 21) / 10.0) AS INTEGER) AS boxsize FROM boxes"))
+def c15(s, d):
+    return B.minimal_boxsize(X.boxes(s, d).selectExpr("box_id", "CAST((y1 - y0) * (x1 - x0) AS INT) AS size"))
 
 
-@query("c16_trim_and_center", over(X.V, X.CATALOG, ONE, f"""m AS (SELECT o.image_id, o.source_id, o.cy, o.cx, v.y, v.x, v.value FROM one o JOIN v USING (image_id) WHERE band = 'click'),
+@query("c16_trim_and_center", over(X.V, X.CATALOG, f"""m AS (SELECT o.image_id, o.source_id, o.y AS cy, o.x AS cx, v.y, v.x, v.value FROM catalog o JOIN v USING (image_id) WHERE band = 'click'),
  r AS (SELECT image_id, source_id, cy, cx, max(CASE WHEN value > 30000 THEN greatest(abs(y - cy), abs(x - cx)) ELSE 0 END) AS reach FROM m GROUP BY ALL),
  z AS (SELECT *, CAST(21 + 10 * ceil(greatest(0, 2 * reach + 1 - 21) / 10.0) AS INTEGER) AS boxsize FROM r)""", select="""SELECT z.image_id, z.source_id, z.boxsize, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CAST(coalesce(CASE WHEN m.value > 30000 THEN m.value END, 0) AS BIGINT) AS value
- FROM z CROSS JOIN range(-60, 90) a(gy) CROSS JOIN range(-60, 90) b(gx) LEFT JOIN m ON m.image_id = z.image_id AND m.y = gy AND m.x = gx WHERE gy BETWEEN z.cy - z.boxsize // 2 AND z.cy + z.boxsize // 2 AND gx BETWEEN z.cx - z.boxsize // 2 AND z.cx + z.boxsize // 2"""))
+ FROM z CROSS JOIN range(-60, 90) a(gy) CROSS JOIN range(-60, 90) b(gx) LEFT JOIN m ON m.image_id = z.image_id AND m.source_id = z.source_id AND m.y = gy AND m.x = gx WHERE gy BETWEEN z.cy - z.boxsize // 2 AND z.cy + z.boxsize // 2 AND gx BETWEEN z.cx - z.boxsize // 2 AND z.cx + z.boxsize // 2"""))
 def c16(s, d):
-    one = first_source(s, d)
+    one = X.catalog(s, d)
     m = X.v(s, d).where("band = 'click'").join(one.select("image_id", "source_id"), "image_id").select("image_id", "source_id", "y", "x", "value")
     return B.trim_and_center(m, one, 30000).withColumn("value", F.col("value").cast("long"))
 

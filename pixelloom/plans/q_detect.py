@@ -74,11 +74,11 @@ def g7(s, d):
     return D.detect_peaks(X.v(s, d), 3).withColumn("flux", F.round("flux", 3))
 
 
-@query("g8_footprint_image", over(X.BOXES, X.CATALOG, "b AS (SELECT * FROM boxes WHERE image_id < 5)", select="SELECT image_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, (SELECT count(*) FROM b WHERE b.image_id = i.image_id AND gy >= y0 AND gy < y1 AND gx >= x0 AND gx < x1) AS n FROM (SELECT DISTINCT image_id FROM b) i CROSS JOIN range(30) t(gy) CROSS JOIN range(24) u(gx)"))
+@query("g8_footprint_image", over(X.BOXES, "b AS (SELECT * FROM boxes)", select="SELECT image_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, (SELECT count(*) FROM b WHERE b.image_id = i.image_id AND gy >= y0 AND gy < y1 AND gx >= x0 AND gx < x1) AS n FROM (SELECT DISTINCT image_id FROM b) i CROSS JOIN range(30) t(gy) CROSS JOIN range(24) u(gx)"))
 def g8(s, d):
     from pixelloom.functions.grid import explode_grid
 
-    b = X.boxes(s, d).where("image_id < 5")
+    b = X.boxes(s, d)
     inside = explode_grid(b, "y0", "y1", "x0", "x1").select("image_id", "box_id", "y", "x")
     return D.footprint_image(inside, b.select("image_id").distinct().selectExpr("image_id", "0 AS y0", "30 AS y1", "0 AS x0", "24 AS x1"))
 

@@ -6,7 +6,6 @@ from pixelloom.functions.grid import cut
 from pixelloom.operators import fit as J
 from pixelloom.operators.pixels import band_noise, spectrum_coadd, sum_coadd, with_weights
 from pixelloom.plans import fixtures as X
-from pixelloom.plans.q_boxes import first_source
 from pixelloom.plans.q_models import MORPHS, SEDS, morphs, seds
 from pixelloom.plans.q_stencil import convolve_sql, smooth_sql, transform_sql
 from pixelloom.plans.registry import over, query
@@ -72,8 +71,8 @@ ONE = "o AS (SELECT image_id, min(source_id) AS source_id FROM catalog GROUP BY
 @query("j8_fit_seds", over(*PARTS, KERN, ONE, "w AS (SELECT *, CASE WHEN masked THEN 0 ELSE 1e0 / variance END AS weight FROM v)", "mm AS (SELECT image_id, band, p.y + dy AS y, p.x + dx AS x, sum(m * k) AS m FROM mo p JOIN o USING (image_id, source_id) JOIN kern USING (image_id) GROUP BY ALL)",
     select="SELECT o.image_id, o.source_id, CAST(0 AS INTEGER) AS comp_id, mm.band, round(greatest(0, sum(weight * m * value) / sum(weight * m * m)), 4) AS sed FROM mm JOIN o USING (image_id) JOIN w ON w.image_id = mm.image_id AND w.band = mm.band AND w.y = mm.y AND w.x = mm.x AND mm.y >= (SELECT min(y) FROM mo q WHERE q.image_id = mm.image_id AND q.source_id = o.source_id) AND mm.y <= (SELECT max(y) FROM mo q WHERE q.image_id = mm.image_id AND q.source_id = o.source_id) AND mm.x >= (SELECT min(x) FROM mo q WHERE q.image_id = mm.image_id AND q.source_id = o.source_id) AND mm.x <= (SELECT max(x) FROM mo q WHERE q.image_id = mm.image_id AND q.source_id = o.source_id) GROUP BY ALL"))
 def j8(s, d):
-    one = first_source(s, d)
-    m = morphs(s, d).join(one.select("image_id", "source_id"), ["image_id", "source_id"], "left_semi")
+    one = X.catalog(s, d).groupBy("image_id").agg(F.min("source_id").alias("source_id"))
+    m = morphs(s, d).join(one, ["image_id", "source_id"], "left_semi")
     return J.fit_seds(weighted(s, d), m, psf(s, d)).withColumn("sed", F.round("sed", 4))
 
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pixelloom.operators import boxes as B
 from pixelloom.operators import frames as O
 from pixelloom.plans import fixtures as X
-from pixelloom.plans.q_boxes import CORNERS, some_boxes
 from pixelloom.plans.registry import over, query
 
 
@@ -78,8 +78,8 @@ def b8(s, d):
     return O.common_frame(o, "union", 2).withColumn("channels", F.concat_ws(",", "channels"))
 
 
-@query("b9_project_to_frame", over(X.V, X.BOXES, CORNERS, select="""SELECT c.image_id, v0.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, coalesce(v.value, 0) AS value
- FROM corner c JOIN (SELECT DISTINCT image_id, band FROM v) v0 USING (image_id) CROSS JOIN range(6) a(gy) CROSS JOIN range(5) b(gx)
- LEFT JOIN v ON v.image_id = c.image_id AND v.band = v0.band AND v.y = c.y0 + gy AND v.x = c.x0 + gx"""))
+@query("b9_project_to_frame", over(X.V, X.BOXES, "f AS (SELECT image_id, min(y0) AS y0, max(y1) AS y1, min(x0) AS x0, max(x1) AS x1 FROM boxes GROUP BY ALL)", select="""SELECT f.image_id, v0.band, CAST(gy - y0 AS INTEGER) AS y, CAST(gx - x0 AS INTEGER) AS x, coalesce(v.value, 0) AS value
+ FROM f JOIN (SELECT DISTINCT image_id, band FROM v) v0 USING (image_id) CROSS JOIN range(60) a(gy) CROSS JOIN range(60) b(gx)
+ LEFT JOIN v ON v.image_id = f.image_id AND v.band = v0.band AND v.y = gy AND v.x = gx WHERE gy >= y0 AND gy < y1 AND gx >= x0 AND gx < x1"""))
 def b9(s, d):
-    return O.project_to_frame(X.v(s, d), some_boxes(s, d).drop("box_id")).selectExpr("image_id", "band", "CAST(y AS INT) AS y", "CAST(x AS INT) AS x", "CAST(value AS BIGINT) AS value")
+    return O.project_to_frame(X.v(s, d), B.box_union_agg(X.boxes(s, d), ["image_id"])).selectExpr("image_id", "band", "CAST(y AS INT) AS y", "CAST(x AS INT) AS x", "CAST(value AS BIGINT) AS value")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pixelloom.operators import models as O
 from pixelloom.operators.frames import frame_of
 from pixelloom.plans import fixtures as X
-from pixelloom.plans.q_boxes import first_source
 from pixelloom.plans.registry import over, query
 
 PYRAMID = ", ".join(f"({dy}, {dx}, {3 - max(abs(dy), abs(dx))})" for dy in range(-2, 3) for dx in range(-2, 3))
@@ -27,10 +26,10 @@ def i1(s, d):
     return O.component_model(seds(s, d), morphs(s, d))
 
 
-@query("i2_cube_model", over(X.V, X.CATALOG, select="SELECT c.image_id, source_id, band, v.y + c.y AS y, v.x + c.x AS x, v.value FROM catalog c JOIN v USING (image_id) WHERE v.y < 3 AND v.x < 3"))
+@query("i2_cube_model", over(X.V, X.CATALOG, select="SELECT c.image_id, source_id, band, v.y + c.y AS y, v.x + c.x AS x, v.value FROM catalog c JOIN v USING (image_id)"))
 def i2(s, d):
     c = X.catalog(s, d)
-    cubes = c.select("image_id", "source_id").join(X.v(s, d).where("y < 3 AND x < 3"), "image_id").selectExpr("image_id", "source_id", "band", "y", "x", "value AS m")
+    cubes = c.select("image_id", "source_id").join(X.v(s, d), "image_id").selectExpr("image_id", "source_id", "band", "y", "x", "value AS m")
     return O.cube_model(cubes, c.selectExpr("image_id", "source_id", "y AS y0", "x AS x0"))
 
 
@@ -103,10 +102,10 @@ def i9(s, d):
     return O.point_source_model(shapes(s, d), 1.2, 11).withColumn("value", F.round("value", 6))
 
 
-@query("i10_integrate_profile", over(X.CATALOG, "o AS (SELECT image_id, min(source_id) AS source_id, min_by(y, source_id) AS y, min_by(x, source_id) AS x FROM catalog GROUP BY image_id)", "w(o, w) AS (VALUES (-0.5e0, 0.25e0), (0e0, 0.5e0), (0.5e0, 0.25e0))",
+@query("i10_integrate_profile", over(X.CATALOG, "o AS (SELECT * FROM catalog)", "w(o, w) AS (VALUES (-0.5e0, 0.25e0), (0e0, 0.5e0), (0.5e0, 0.25e0))",
     select="SELECT image_id, source_id, y, x, sum((pow(y + a.o, 2) + 2 * pow(x + b.o, 2)) * a.w * b.w) AS value FROM o CROSS JOIN w a CROSS JOIN w b GROUP BY image_id, source_id, y, x"))
 def i10(s, d):
-    return O.integrate_profile(first_source(s, d).select("image_id", "source_id", "y", "x"), lambda y, x: y * y + 2 * x * x, 3)
+    return O.integrate_profile(X.catalog(s, d), lambda y, x: y * y + 2 * x * x, 3)
 
 
 @query("i11_random_components")

@@ -47,7 +47,7 @@ def d6(s, d):
  round(sum(value * CASE k WHEN 1 THEN 0.333e0 / 1.667e0 WHEN 2 THEN 1 / 1.667e0 WHEN 3 THEN 0.333e0 / 1.667e0 ELSE 0 END), 3) AS g, round(sum(value * CASE k WHEN 0 THEN 1 / 1.667e0 WHEN 1 THEN 0.667e0 / 1.667e0 ELSE 0 END), 3) AS b FROM k GROUP BY ALL"""))
 def d7(s, d):
     v = X.v(s, d)
-    names = sorted(r[0] for r in v.select("band").distinct().limit(7).collect())
+    names = sorted(r[0] for r in v.select("band").distinct().collect())
     return P.to_rgb_linear(v, names).selectExpr("image_id", "y", "x", *[f"round({c}, 3) AS {c}" for c in "rgb"])
 
 

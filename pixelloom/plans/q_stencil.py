@@ -67,7 +67,7 @@ def f5(s, d):
     return rounded(S.starlet_reconstruct(S.starlet_transform(X.v(s, d), 3), 3), 4).withColumn("value", F.col("value") + 0)
 
 
-@query("f6_starlet_norm", over("f AS (SELECT DISTINCT l_suppkey % 20 AS image_id FROM lineitem)", "u AS (SELECT image_id, 'unit' AS band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CASE WHEN gy = 25 AND gx = 25 THEN 1e0 ELSE 0e0 END AS value FROM f CROSS JOIN range(50) a(gy) CROSS JOIN range(50) b(gx))",
+@query("f6_starlet_norm", over("f AS (SELECT DISTINCT l_suppkey // 5 AS image_id FROM lineitem)", "u AS (SELECT image_id, 'unit' AS band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CASE WHEN gy = 25 AND gx = 25 THEN 1e0 ELSE 0e0 END AS value FROM f CROSS JOIN range(50) a(gy) CROSS JOIN range(50) b(gx))",
     *transform_sql("u", 3), select="SELECT image_id, scale, round(sqrt(sum(value * value)), 9) AS norm FROM sw GROUP BY ALL"))
 def f6(s, d):
     return S.starlet_norm(frame_of(X.l(s, d)), 3).withColumn("norm", F.round("norm", 9))
