@@ -150,15 +150,20 @@ def counted(df: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
     return salted.join(parts.select(key, "salt").join(whole, key), [key, "salt"]).drop("salt")
 
 
-def compared(tasks: DataFrame, source: DataFrame, text: str, least: float) -> DataFrame:
-    """Links (a, b) found by tasks (lead, i, j) over their texts (rep, asked)."""
+def with_shingles(tasks: DataFrame, source: DataFrame, text: str) -> DataFrame:
+    """Tasks (lead, i, j) over texts (rep, asked) with the shingles of each text."""
     wanted = source.join(tasks.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text"))
 
     def kernel(column: pa.Array) -> list[pa.Array]:
         return [pa.array([shingles(word_hashes().of(t or "")).tobytes() for t in column.to_pylist()], pa.binary())]
 
     read = map_columns(wanted, "text", [("shingles", T.BinaryType())], kernel).drop("text")
-    ready = tasks.join(read, "rep").select("lead", "i", "j", "rep", "asked", "shingles").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep")
+    return tasks.join(read, "rep").select("lead", "i", "j", "rep", "asked", "shingles")
+
+
+def compared(tasks: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) found by tasks ``with_shingles``."""
+    ready = tasks.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "rep")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,7 @@ def links(df: DataFrame, reps: DataFrame, doc_id: str, text: str, least: float,
     small = groups.where(F.col("n") <= block).select("lead", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", F.lit(True).alias("asked"))
     large = groups.where(F.col("n") > block)
     if large.isEmpty():
-        return compared(small, source, text, least)
+        return compared(with_shingles(small, source, text), least)
 
     def part(column: str) -> F.Column:
         return F.pmod(F.xxhash64(column), F.ceil(F.col("n") / block)).cast("int")
@@ -205,20 +210,23 @@ def links(df: DataFrame, reps: DataFrame, doc_id: str, text: str, least: float,
     blocks = large.withColumn("j", part("rep"))
     others = blocks.where("rep <> lead").select("lead", F.lit(0).alias("i"), "j", "rep", F.lit(False).alias("asked"))
     leaders = others.select("lead", "i", "j").distinct().select("lead", "i", "j", F.col("lead").alias("rep"), F.lit(True).alias("asked"))
-    near = cut(compared(others.unionByName(leaders).unionByName(small.withColumn("i", F.lit(-1))), source, text, least))
+    ready = cut(with_shingles(others.unionByName(leaders).unionByName(small.withColumn("i", F.lit(-1))), source, text))
+    near = cut(compared(ready, least))
     star = near.select(F.explode(F.array(F.struct(F.col("a").alias("lead"), F.col("b").alias("rep")), F.struct(F.col("b").alias("lead"), F.col("a").alias("rep")))).alias("e")).select("e.*").distinct()
     # Of each large group: what the leader didn't take, in blocks of its own, against every block of the group.
     left = cut(blocks.where("rep <> lead").join(star, ["lead", "rep"], "left_anti").select("lead", "rep", "n"))
     if left.isEmpty():
         return near
-    rest = counted(left.select("lead", "rep").union(left.select("lead", "rep")), "lead", "rep").select("lead", "rep", F.col("n").alias("twice")).distinct()
-    asking = rest.select("lead", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("twice") / 2 / block)).cast("int").alias("i"))
+    twice = counted(left.select("lead", "rep").union(left.select("lead", "rep")), "lead", "rep").select("lead", "rep", F.col("n").alias("twice")).distinct()
+    asking = twice.select("lead", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("twice") / 2 / block)).cast("int").alias("i"))
     own = asking.select("lead", "i").distinct()
     every = blocks.select("lead", "j").distinct()
     met = own.join(every, "lead")
     asked = asking.join(met, ["lead", "i"]).select("lead", "i", "j", "rep", F.lit(True).alias("asked"))
     answers = blocks.select("lead", "j", "rep").join(met, ["lead", "j"]).select("lead", "i", "j", "rep", F.lit(False).alias("asked"))
-    return near.unionByName(compared(asked.unionByName(answers), source, text, least))
+    texts = ready.where("i = 0").join(left.select("lead").distinct(), "lead", "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
+    rest = asked.unionByName(answers).join(texts, "rep").select("lead", "i", "j", "rep", "asked", "shingles")
+    return near.unionByName(compared(rest, least))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
