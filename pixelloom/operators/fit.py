@@ -19,7 +19,7 @@ from pixelloom.functions.grid import IMAGE, PLACE, cut, explode_grid
 from pixelloom.operators import constrain, measure
 from pixelloom.operators.boxes import minimal_boxsize
 from pixelloom.operators.models import COMPONENT, SOURCE, blend_model, component_model
-from pixelloom.operators.stencil import convolve, convolve_adjoint, starlet_reconstruct, starlet_transform
+from pixelloom.operators.stencil import convolve, convolve_adjoint, resampled, resampled_adjoint, starlet_reconstruct, starlet_transform
 
 # --- initial models --------------------------------------------------------
 
@@ -236,24 +236,34 @@ def starlet_source(morphs: DataFrame, scales: int, thresh: float = 5e-3) -> Data
 # --- gradients and steps ----------------------------------------------------
 
 
-def likelihood_gradient(pixels: DataFrame, seds: DataFrame, morphs: DataFrame, kernels: DataFrame, plane_weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+def likelihood_gradient(pixels: DataFrame, seds: DataFrame, morphs: DataFrame, kernels: DataFrame, plane_weights: list[float] | None = None, mapped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """image_id, band, y, x, g: the gradient of the loss by the model; and each image's loss, the sum of w r^2 / 2.
 
+    With ``mapped`` (see ``resample_weights``) the model lies on another grid than ``pixels``: it is resampled before
+    the convolution, and the gradient taken back to the model's grid.
+
     With ``plane_weights`` the residual is cut into generation-1 starlet planes, which count by these weights.
     """
-    model = convolve(blend_model(seds, morphs, pixels), kernels).withColumnRenamed("value", "model_value")
+    seen = blend_model(seds, morphs, pixels) if mapped is None else observed(seds, morphs, pixels, mapped)
+    model = convolve(seen, kernels).withColumnRenamed("value", "model_value")
     r = F.coalesce("model_value", F.lit(0.0)) - F.col("value")
     rest = pixels.join(model, PLACE, "left").select(*PLACE, (F.col("weight") * r).alias("value"), (F.col("weight") * r * r / 2).alias("loss"))
     loss = rest.groupBy(IMAGE).agg(F.sum("loss").alias("loss"))
     if plane_weights is not None:
         planes = starlet_transform(rest, len(plane_weights) - 1, generation=1)
         rest = planes.groupBy(*PLACE).agg(F.sum(F.element_at(F.array(*[F.lit(float(w)) for w in plane_weights]), F.col("scale") + 1) * F.col("value")).alias("value"))
-    return convolve_adjoint(rest, kernels).withColumnRenamed("value", "g"), loss
+    grad = convolve_adjoint(rest, kernels)
+    return (grad if mapped is None else resampled_adjoint(grad, mapped)).withColumnRenamed("value", "g"), loss
+
 
+def observed(seds: DataFrame, morphs: DataFrame, pixels: DataFrame, mapped: DataFrame) -> DataFrame:
+    """The blend model resampled onto the dense grid of ``pixels``."""
+    return pixels.select(*PLACE).join(resampled(blend_model(seds, morphs), mapped), PLACE, "left").select(*PLACE, F.coalesce("value", F.lit(0.0)).alias("value"))
 
-def multi_gradient(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame, morphs: DataFrame, plane_weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Gradient and loss summed over several observations (pixels, kernels) of the same images."""
-    parts = [likelihood_gradient(p, seds, morphs, k, plane_weights) for p, k in observations]
+
+def multi_gradient(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs: DataFrame, plane_weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Gradient and loss summed over several observations of the same images: (pixels, kernels), or (pixels, kernels, resample weights) on other grids."""
+    parts = [likelihood_gradient(p, seds, morphs, k, plane_weights, *mapped) for p, k, *mapped in observations]
     if len(parts) == 1:
         return parts[0]
     grad, loss = parts[0]
@@ -328,9 +338,12 @@ def fista_update(df: DataFrame, t: float, prox=None, col: str = "x") -> tuple[Da
 # --- loops -------------------------------------------------------------------
 
 
-def fit_multi(observations: list[tuple[DataFrame, DataFrame]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_multi(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit all images together: seds, morphs, losses (image_id, it, loss).
 
+    An observation is (pixels, kernels), or (pixels, kernels, weights) where its grid isn't the model's: ``resample_weights``
+    of the mapping from its pixels to the model's.
+
     Each iteration takes one gradient for all components; the SED step uses the old
     morphology, the morphology step the old SED. Morphologies stay monotonic, above the background that the new SED
     gives (or positive), with a floor at the centre and a maximum of 1. An image leaves the loop when its loss

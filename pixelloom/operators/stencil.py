@@ -252,13 +252,43 @@ def shift_image(pixels: DataFrame, shifts: DataFrame, kernel: str = "lanczos") -
     return df.select(*KEYS, "y", "x", "value")
 
 
-def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True) -> DataFrame:
+def resample_weights(mapping: DataFrame, window: int = 3) -> DataFrame:
+    """image_id, ty, tx, y, x, w: by how much each source pixel near a target pixel counts for it, windowed sincs along both axes.
+
+    ``mapping`` as in ``resample``. A target pixel has at most (2 window) ** 2 of them, whatever the
+    rotation; the same table serves ``resampled`` and its adjoint, as equi-joins on a pixel.
+    """
+    cells = explode_grid(mapping, "0", "ny", "0", "nx", "ty", "tx").selectExpr(IMAGE, "ty", "tx", "m_yy * ty + m_yx * tx + m_y0 AS ay", "m_xy * ty + m_xx * tx + m_x0 AS ax")
+    sinc = lambda t: F.when(F.abs(t) < 1e-12, 1.0).otherwise(F.sin(np.pi * t) / (np.pi * t))
+    for axis, at in (("y", "ay"), ("x", "ax")):
+        cells = cells.withColumn(axis, F.explode(F.sequence((F.floor(at) - (window - 1)).cast("int"), (F.floor(at) + window).cast("int"))))
+    near = cells.where(f"abs(ay - y) < {window} AND abs(ax - x) < {window}")
+    ty, tx = F.col("ay") - F.col("y"), F.col("ax") - F.col("x")
+    return near.select(IMAGE, "ty", "tx", "y", "x", (sinc(ty) * sinc(ty / window) * sinc(tx) * sinc(tx / window)).alias("w"))
+
+
+def resampled(pixels: DataFrame, weights: DataFrame) -> DataFrame:
+    """Images on the target grid of ``resample_weights``; target pixels without any source pixel get no row."""
+    met = pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value")).join(weights, [IMAGE, "y", "x"])
+    return met.groupBy(*KEYS, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+
+
+def resampled_adjoint(pixels: DataFrame, weights: DataFrame) -> DataFrame:
+    """The gradient of ``resampled``: images of the target grid on the source grid."""
+    back = weights.selectExpr(IMAGE, "ty AS y", "tx AS x", "y AS ty", "x AS tx", "w")
+    return resampled(pixels, back)
+
+
+def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True, window: int | None = 3) -> DataFrame:
     """Sinc interpolation on another grid.
 
     ``mapping`` has image_id, the target's ny, nx and the matrix m_yy, m_yx, m_xy, m_xx, m_y0, m_x0 that takes
     target pixels to source pixels. Aligned grids (m_yx = m_xy = 0) take a row pass and a
-    column pass; rotated ones weigh each source pixel for each target pixel.
+    column pass; rotated ones take the source pixels within ``window`` along both axes, by windowed sincs. Without
+    a window each source pixel counts for each target pixel: exact, and for small images only.
     """
+    if not aligned and window is not None:
+        return resampled(pixels, resample_weights(mapping, window))
     sinc = lambda t: F.when(F.abs(t) < 1e-12, 1.0).otherwise(F.sin(np.pi * t) / (np.pi * t))
     source = pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value"))
     if aligned:
@@ -271,7 +301,7 @@ def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True) -> Dat
     return source.join(cells, IMAGE).groupBy(*KEYS, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("value") * weight).alias("value"))
 
 
-def render(model: DataFrame, kinds: DataFrame, kernels: DataFrame, mapping: DataFrame | None, boxes: DataFrame) -> DataFrame:
+def render(model: DataFrame, kinds: DataFrame, kernels: DataFrame, mapping: DataFrame | None, boxes: DataFrame, aligned: bool = True) -> DataFrame:
     """A model as each image's observation sees it: null, convolve or resample and convolve, then cut to its box.
 
     ``kinds`` has image_id, kind (see ``match_kind``). Images of different kinds take their own branch of the plan.
@@ -281,7 +311,7 @@ def render(model: DataFrame, kinds: DataFrame, kernels: DataFrame, mapping: Data
     of = lambda k: model.join(kinds.where(F.col("kind") == k).select(IMAGE), IMAGE, "left_semi").select(*KEYS, "y", "x", F.col("value").cast("double").alias("value"))
     out = of("null").unionByName(convolve(of("convolve"), kernels).withColumn("value", F.col("value").cast("double")))
     if mapping is not None:
-        out = out.unionByName(convolve(resample(of("resample"), mapping), kernels))
+        out = out.unionByName(convolve(resample(of("resample"), mapping, aligned), kernels))
     return project_to_frame(out, boxes)
 
 

@@ -193,6 +193,30 @@ def f18(s, d):
     return rounded(S.resample(v, m), 3)
 
 
+LANCZOS = "(" + SINC + ") * (" + SINC.format(t="({t}) / 3e0") + ")"
+
+
+@query("f18_resample_rotated", over(X.V, "c AS (SELECT image_id, CAST(gy AS INTEGER) AS ty, CAST(gx AS INTEGER) AS tx, 0.8e0 * gy - 0.6e0 * gx + 8.5e0 AS ay, 0.6e0 * gy + 0.8e0 * gx + 2.25e0 AS ax FROM (SELECT DISTINCT image_id FROM v) CROSS JOIN range(20) a(gy) CROSS JOIN range(20) b(gx))",
+    select="SELECT image_id, band, ty AS y, tx AS x, round(sum(value * " + LANCZOS.format(t="ay - y") + " * " + LANCZOS.format(t="ax - x") + "), 3) + 0 AS value FROM c JOIN v USING (image_id) WHERE abs(ay - y) < 3 AND abs(ax - x) < 3 GROUP BY image_id, band, ty, tx"))
+def f18b(s, d):
+    v = X.v(s, d)
+    m = v.select("image_id").distinct().selectExpr("image_id", "20 AS ny", "20 AS nx", "0.8D AS m_yy", "-0.6D AS m_yx", "0.6D AS m_xy", "0.8D AS m_xx", "8.5D AS m_y0", "2.25D AS m_x0")
+    return rounded(S.resample(v, m, aligned=False), 3).withColumn("value", F.col("value") + 0)
+
+
+RESAMPLED = ["r AS (SELECT image_id, band, CAST(g AS INTEGER) AS ty, x, sum(value * " + SINC.format(t="(2e0 * g + 0.5) - y") + ") AS value FROM v CROSS JOIN range(14) a(g) GROUP BY ALL)",
+    "rv AS (SELECT image_id, band, ty AS y, CAST(g AS INTEGER) AS x, sum(value * " + SINC.format(t="(2e0 * g + 0.25) - x") + ") AS value FROM r CROSS JOIN range(11) a(g) GROUP BY image_id, band, ty, g)"]
+
+
+@query("f19_render_resampled", over(X.V, X.kernel_sql("v", X.BINOMIAL3), *RESAMPLED, "m AS (SELECT image_id, band, p.y + dy AS y, p.x + dx AS x, sum(value * k) AS value FROM rv p JOIN kern USING (image_id, band) GROUP BY ALL)",
+    select="SELECT image_id, band, y - 2 AS y, x - 3 AS x, round(value, 2) + 0 AS value FROM m WHERE y BETWEEN 2 AND 11 AND x BETWEEN 3 AND 8"))
+def f19b(s, d):
+    v = X.v(s, d)
+    m = v.select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
+    boxes = m.selectExpr("image_id", "2 AS y0", "12 AS y1", "3 AS x0", "9 AS x1")
+    return rounded(S.render(v, m.selectExpr("image_id", "'resample' AS kind"), X.kernel(v, X.BINOMIAL3), m, boxes), 2).withColumn("value", F.col("value") + 0)
+
+
 @query("f19_render", over(X.V, X.kernel_sql("v", X.BINOMIAL3), convolve_sql("v", "m"), select="SELECT image_id, band, y - 2 AS y, x - 3 AS x, CAST(CASE WHEN image_id % 2 = 0 THEN v.value ELSE m.value END AS DOUBLE) AS value FROM v JOIN m USING (image_id, band, y, x) WHERE y BETWEEN 2 AND 11 AND x BETWEEN 3 AND 12"))
 def f19(s, d):
     v = X.v(s, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +59,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def save_measurements(new: DataFrame, path: str, keys: tuple[str, ...] = ("set_id", "branch", "blend_id", "source_id")) -> None:
     """Upsert records into the table at ``path``, partitioned by set and branch; only touched partitions are written again."""
-    spark = new.sparkSession
-    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    try:
+        there = new.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         merged = upsert(new.limit(0), new, list(keys))
     else:
         touched = new.select("set_id", "branch").distinct()
-        merged = upsert(spark.read.parquet(path).join(touched, ["set_id", "branch"], "left_semi"), new, list(keys))
+        merged = upsert(there.join(touched, ["set_id", "branch"], "left_semi"), new, list(keys))
     cut(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id", "branch").parquet(path)
 
 

@@ -297,3 +297,42 @@ def test_constrained_fits_of_a_blend(spark, how):
     assert np.allclose([[found[c, b] for b in "gr"] for c in (0, 1)], want_s, rtol=1e-9)
     found = {(r.source_id, r.y, r.x): r.m for r in got_m.collect()}
     assert np.allclose([found[c, i, j] for c in (0, 1) for i, j in at], want_m.ravel(), rtol=1e-8, atol=1e-12)
+
+
+def test_fit_over_two_resolutions(spark):
+    y, x = np.mgrid[:12, :12]
+    shapes = np.array([np.exp(-((y - a) ** 2 + (x - b) ** 2) / 5.0) for a, b in ((5, 5), (6, 7))])
+    true = np.array([[20.0], [9.0]])
+    # The second grid is rotated, and half as fine.
+    place = {"m_yy": 1.6, "m_yx": -1.2, "m_xy": 1.2, "m_xx": 1.6, "m_y0": 4.5, "m_x0": 0.25}
+    sinc = lambda t: np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0)
+    ty, tx = np.mgrid[:5, :5]
+    ay, ax = place["m_yy"] * ty + place["m_yx"] * tx + place["m_y0"], place["m_xy"] * ty + place["m_xx"] * tx + place["m_x0"]
+    matrix = sinc(ay[..., None, None] - y) * sinc(ax[..., None, None] - x)
+    fine = np.einsum("cb,cyx->byx", true, shapes)[0]
+    coarse = np.tensordot(matrix, fine, 2)
+    seds, morphs = true * 0.6, shapes**0.8
+    at, low = list(np.ndindex(12, 12)), list(np.ndindex(5, 5))
+    frame = lambda a, cells: spark.createDataFrame([(1, "b", i, j, float(a[i, j]), 1.0) for i, j in cells], "image_id long, band string, y int, x int, value double, weight double")
+    mapping = spark.createDataFrame([(1, 5, 5, *place.values())], "image_id long, ny int, nx int, " + ", ".join(f"{n} double" for n in place))
+    weights = stencil.resample_weights(mapping)
+    kernel = spark.createDataFrame([(1, "b", 0, 0, 1.0)], "image_id long, band string, dy int, dx int, k double")
+    start = spark.createDataFrame([(1, c, 0, "b", float(seds[c, 0])) for c in (0, 1)], SEDS)
+    shaped = spark.createDataFrame([(1, c, 0, i, j, float(morphs[c, i, j])) for c in (0, 1) for i, j in at], MORPHS)
+    got = fit.fit_multi([(frame(fine, at), kernel), (frame(coarse, low), kernel, weights)], start, shaped, max_iter=4, e_rel=1e-12, resize=None, constrained=False)[2]
+
+    state = [[np.zeros_like(v) for _ in range(3)] for v in (seds, morphs)]
+    losses = []
+    for it in range(4):
+        model = np.einsum("cb,cyx->byx", seds, morphs)[0]
+        rest = model - fine, np.tensordot(matrix, model, 2) - coarse
+        losses.append(sum((r**2).sum() for r in rest) / 2)
+        grad = rest[0] + np.einsum("uvyx,uv->yx", matrix, rest[1])
+        steps = 0.01 * seds.mean(axis=1)[:, None], 0.01 * morphs.mean(axis=(1, 2))[:, None, None]
+        moved = []
+        for v, g, step, m in zip((seds, morphs), ((morphs * grad).sum(axis=(1, 2))[:, None], seds[:, :, None] * grad), steps, state, strict=True):
+            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
+            m[2] = np.maximum(m[2], m[1])
+            moved.append(v - step * m[0] / (np.sqrt(m[2]) + 1e-8) / (10 if it == 0 else 1))
+        seds, morphs = moved
+    assert np.allclose([r.loss for r in got.orderBy("it").collect()], losses, rtol=1e-9)
