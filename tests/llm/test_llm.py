@@ -398,15 +398,15 @@ def test_alignment_of_texts_that_repeat_themselves():
 def test_large_group_with_texts_unlike_its_leader(spark):
     rng = random.Random(13)
     w = words(rng, 100)
-    texts = [" ".join([*w[:k], *words(rng, 1), *w[k + 1 :]]) for k in [rng.randrange(100) for _ in range(400)]]
+    texts = [" ".join([*w[:k], *words(rng, 1), *w[k + 1 :]]) for k in [rng.randrange(100) for _ in range(120)]]
     chain = list(w)  # each like the one before, the last ones unlike the first
     for k in range(0, 100, 4):
         chain[k : k + 2] = words(rng, 2)
         texts.append(" ".join(chain))
-    texts += [" ".join([*w[:50], *words(rng, 50)]) for _ in range(30)]
+    texts += [" ".join([*w[:50], *words(rng, 50)]) for _ in range(10)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     reps = dedup.sketched(df, "doc_id", "text").selectExpr("doc_id AS rep", "array(7L) AS bands")
-    found = {r.node: r.root for r in dedup.components(dedup.links(df, reps, "doc_id", "text", 0.8, block=16)).collect()}
+    found = {r.node: r.root for r in dedup.components(dedup.links(df, reps, "doc_id", "text", 0.8, block=32)).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == brute(texts)
 
 
