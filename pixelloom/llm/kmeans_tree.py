@@ -241,10 +241,9 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: floa
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest found, by the largest inner product.
 
     Both inputs are ``usable`` tables. The number of leaf visits is the least at which ``calibrate`` queries (taken by a hash of their ids) find
-    ``recall`` of their true neighbours, which one whole scan tells. A first search visits an eighth of the leaves and gives each
-    query's k-th score as a bound; a second visits the rest, and returns only what reaches the bound. A
-    query whose leaves hold too few rows goes on to further leaves, and one that still has fewer than ``k`` searches all of them, so it gets all
-    candidates where there are fewer. A vector of a width that the tree's sample lacks is searched exactly. Only vectors of the query's width are candidates, none with its id; repeated rows
+    ``recall`` of their true neighbours, which one whole scan tells. A query's search widens in three rounds: the leaves that hold a few times ``k`` rows, an
+    eighth of the visits, all visits; each passes on its k-th score as a bound, and the next returns only what reaches it. A
+    query that still has fewer than ``k`` searches all leaves, so it gets all candidates where there are fewer. A vector of a width that the tree's sample lacks is searched exactly. Only vectors of the query's width are candidates, none with its id; repeated rows
     are all candidates; an id is asked once, with its least vector; ties go to the smaller id; other columns are dropped, empty tables give an empty result.
     Rows and units are read again where an executor is lost.
     """
@@ -255,22 +254,24 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: floa
     counts = {r.leaf: r.n for r in where.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}  # as many as the tree has leaves
     asked = [(r.vec_id, np.array(r.v)) for r in queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(calibrate).collect()]
     visits = widened(true_ranks(held, trees, counts, asked, k), recall)
-    first = -(-visits // 8)
+    enough = 4 * k + 1
 
-    def plan(low: int, high: int, enough: int):
+    def plan(low: int, high: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 leaves = []
                 for v in batch.column("v"):
                     tree = trees.get(len(v))
-                    leaves.append((tree.ranked(v.values.to_numpy(), high, counts, enough) if tree else [0])[low:])
+                    v = v.values.to_numpy()
+                    before = len(tree.ranked(v, low, counts, enough)) if tree and low else low
+                    leaves.append((tree.ranked(v, high, counts, enough) if tree else [0])[before:])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "leaves"])
 
         return run
 
-    def visited(bounded: DataFrame, low: int, high: int, enough: int = 0) -> DataFrame:
-        """Candidates of the leaves after the ``low``-th up to the ``high``-th of each query (and on until they hold ``enough`` rows), at or above its bound."""
-        order = bounded.select("vec_id", "v").mapInArrow(plan(low, high, enough), "query_id long, leaves array<int>")
+    def visited(bounded: DataFrame, low: int, high: int) -> DataFrame:
+        """Candidates of the leaves after the ``low``-th up to the ``high``-th of each query (either goes on until they hold ``enough`` rows), at or above its bound."""
+        order = bounded.select("vec_id", "v").mapInArrow(plan(low, high), "query_id long, leaves array<int>")
         met = order.select("query_id", F.explode("leaves").alias("leaf")).join(where, "leaf").groupBy("query_id", "unit").agg(F.collect_list("leaf").alias("leaves"))
         sent = met.join(bounded.withColumnRenamed("vec_id", "query_id"), "query_id")
         none = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -306,10 +307,13 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: floa
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    start = cut(top(visited(queries.withColumn("bound", F.lit(None).cast("double")), 0, first)).select("query_id", "vec_id", "score"))
-    bounds = start.groupBy("query_id").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-    bounded = queries.join(bounds, "vec_id", "left")
-    near = cut(top(start.unionByName(visited(bounded, first, visits, 4 * k + 1))))
+    near = cut(top(visited(queries.withColumn("bound", F.lit(None).cast("double")), 0, 1)))
+    done = 1
+    for limit in sorted({-(-visits // 8), visits} - {1}):
+        bounds = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        bounded = queries.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        near = cut(top(near.drop("rank").unionByName(visited(bounded, done, limit))))
+        done = limit
     few = near.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = cut(queries.join(few, "vec_id", "left_anti"))
     if short.isEmpty():
