@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions.blend import How
 from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, PLACE, cut, explode_grid
-from pixelloom.operators import constrain, measure
+from pixelloom.operators import blocks, constrain, measure
 from pixelloom.operators.boxes import minimal_boxsize
 from pixelloom.operators.models import COMPONENT, SOURCE, blend_model, component_model
 from pixelloom.operators.stencil import convolve, convolve_adjoint, resampled, resampled_adjoint, starlet_reconstruct, starlet_transform
@@ -338,7 +339,7 @@ def fista_update(df: DataFrame, t: float, prox=None, col: str = "x") -> tuple[Da
 # --- loops -------------------------------------------------------------------
 
 
-def fit_multi(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_multi(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit all images together: seds, morphs, losses (image_id, it, loss).
 
     An observation is (pixels, kernels), or (pixels, kernels, weights) where its grid isn't the model's: ``resample_weights``
@@ -348,8 +349,35 @@ def fit_multi(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs
     morphology, the morphology step the old SED. Morphologies stay monotonic, above the background that the new SED
     gives (or positive), with a floor at the centre and a maximum of 1. An image leaves the loop when its loss
     changes by less than ``e_rel`` of it. Boxes are resized every ``resize`` iterations, by the noise ``rms`` or else
-    that of the first observation's weights. State is written to the checkpoint folder once an iteration.
+    that of the first observation's weights. ``scheme`` is one of ``SCHEMES`` or ``fista``.
+
+    More options, on the model's own grid: ``prox_iter`` proximal sub-iterations, ``center_radius`` (the monotonic centre follows the brightest
+    pixel within it), ``use_mask`` (pixels that decrease from the centre keep their value), ``edge_pull`` (boxes also grow where an edge's first
+    moment pulls outwards), ``scales`` and ``thresh`` (starlet planes are the parameters, thresholded by their norms), ``tile`` and ``local``
+    (see ``blocks.continued``).
     """
+    if any(mapped for _, _, *mapped in observations):
+        if more:
+            raise ValueError(f"not for observations on other grids: {sorted(more)}")
+        return fit_mapped(observations, seds, morphs, centers, rms, max_iter, e_rel, min_iter, scheme, sed_step, morph_step, bg_thresh, constrained, plane_weights, resize)
+    state = fit_state(observations, blocks.started(seds, morphs, centers, rms if rms is not None else weight_noise(observations[0][0]), more.get("scales")), max_iter, e_rel=e_rel, min_iter=min_iter, scheme=scheme, sed_step=sed_step, morph_step=morph_step, bg_thresh=bg_thresh, constrained=constrained, plane_weights=plane_weights, resize=resize, cut=bg_thresh is not None and rms is not None, **more)
+    return blocks.seds_of(state), blocks.morphs_of(state), blocks.losses_of(state)
+
+
+def weight_noise(pixels: DataFrame) -> DataFrame:
+    """image_id, band, rms: the mean deviation that the positive weights say."""
+    return pixels.where("weight > 0").groupBy(IMAGE, "band").agg(F.avg(1 / F.sqrt("weight")).alias("rms"))
+
+
+def fit_state(observations: list[tuple[DataFrame, DataFrame]], state: DataFrame, max_iter: int = 20, tile: int = 256, local: int = 10, **how) -> DataFrame:
+    """Go on with a saved or new state (``blocks.started``, ``blocks.joined_by``) up to ``max_iter`` iterations in all; the new state can be saved as Parquet."""
+    if how.get("scheme", "amsgrad") not in (*SCHEMES, "fista"):
+        raise ValueError(how["scheme"])
+    return blocks.continued(state, observations, How(**how), max_iter, tile, local)
+
+
+def fit_mapped(observations: list[tuple[DataFrame, ...]], seds: DataFrame, morphs: DataFrame, centers: DataFrame | None = None, rms: DataFrame | None = None, max_iter: int = 20, e_rel: float = 1e-4, min_iter: int = 1, scheme: str = "amsgrad", sed_step: float = 0.01, morph_step: float = 0.01, bg_thresh: float | None = None, constrained: bool = True, plane_weights: list[float] | None = None, resize: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``fit_multi`` with observations on other grids than the model's: each iteration as joins and sums, its state written to the checkpoint folder."""
     zero = [F.lit(0.0).alias(n) for n in ("m1", "m2", "m2hat")]
     s = cut(seds.select(*COMPONENT, "band", F.col("sed").cast("double").alias("sed"), *zero))
     m = cut(morphs.select(*COMPONENT, "y", "x", F.col("m").cast("double").alias("m"), *zero))
