@@ -50,6 +50,12 @@ def densify(pixels: DataFrame, fill: dict[str, object] | None = None) -> DataFra
     return joined.select(*PLACE, *[F.coalesce(F.col(c), F.lit(fill.get(c))).alias(c) if c in fill else F.col(c) for c in pixels.columns if c not in PLACE])
 
 
+def uniform(seed: int, salt: str, *columns: str) -> F.Column:
+    """A number in (0, 1) that only depends on the seed, the salt and the row's columns, on any cluster and partitioning."""
+    name = F.concat_ws(":", F.lit(f"{seed}:{salt}"), *[F.col(c).cast("string") for c in columns])
+    return (F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
+
+
 def split_rank(by: list[str], order: list) -> F.Column:
     """row_number over a partition, as a column."""
     from pyspark.sql import Window

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions import blend
 from pixelloom.functions.grid import IMAGE, cut
 
 BY = (IMAGE, "source_id", "comp_id")
@@ -113,40 +114,70 @@ def monotonic_nearest(df: DataFrame, centers: DataFrame, min_gradient: float = 0
     return df.join(state.select(*k, "y", "x", "best"), [*k, "y", "x"]).withColumn(col, F.col("best")).drop("best")
 
 
-def monotonic_weighted(df: DataFrame, centers: DataFrame, weight: str = "angle", min_gradient: float = 0, by: tuple[str, ...] = BY, col: str = "m") -> DataFrame:
+def moved_centers(df: DataFrame, centers: DataFrame, radius: int, by: tuple[str, ...] = BY, col: str = "m") -> DataFrame:
+    """keys, cy, cx: the brightest pixel within ``radius`` rows and columns of each centre; ties take the lowest y, then x; without a pixel there it stays."""
+    at = centers.select(*by, "cy", "cx")
+    near = df.join(at, list(by)).where((F.abs(F.col("y") - F.col("cy")) <= radius) & (F.abs(F.col("x") - F.col("cx")) <= radius))
+    best = near.groupBy(*by).agg(F.max_by(F.struct("y", "x"), F.struct(F.col(col), -F.col("y"), -F.col("x"))).alias("best"))
+    return at.join(best, list(by), "left").select(*by, F.coalesce("best.y", "cy").alias("cy"), F.coalesce("best.x", "cx").alias("cx"))
+
+
+def monotonic_weighted(df: DataFrame, centers: DataFrame, weight: str = "angle", min_gradient: float = 0, by: tuple[str, ...] = BY, col: str = "m", center_radius: int = 0, use_mask: bool = False) -> DataFrame:
     """Each pixel at most (1 - g) times the weighted mean of its strictly closer neighbours, from the inside out.
 
-    Each component is one small group; its pixels are settled ring by ring.
+    With ``center_radius`` a centre first moves to the brightest pixel near it; with ``use_mask`` pixels that 4-paths
+    from the centre reach, each value below the one before, keep their value. Components are rows of lists, many to an Arrow batch; the rings and weights of a box are made once for
+    each shape and centre.
     """
     k = list(by)
-    joined = df.join(centers.select(*k, "cy", "cx"), k).select(*k, "y", "x", F.col(col).cast("double").alias(col), "cy", "cx")
-    names = [*k, "y", "x", col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in names)
-
-    def sweep(part: pd.DataFrame) -> pd.DataFrame:
-        y, x = part.y.to_numpy(), part.x.to_numpy()
-        cy, cx = int(part.cy.iloc[0]), int(part.cx.iloc[0])
-        y0, x0 = y.min() - 1, x.min() - 1
-        grid = np.full((y.max() - y0 + 2, x.max() - x0 + 2), np.nan)
-        grid[y - y0, x - x0] = part[col]
-        ry, rx = y - cy, x - cx
-        d2 = ry**2 + rx**2
-        for r in np.unique(d2)[1 if (d2 == 0).any() else 0 :]:
-            at = np.flatnonzero(d2 == r)
-            total, mean = np.zeros(len(at)), np.zeros(len(at))
-            for dy, dx in NEIGHBOURS:
-                cos = -(dy * ry[at] + dx * rx[at]) / math.sqrt(float(r * (dy * dy + dx * dx)))
-                value = grid[y[at] + dy - y0, x[at] + dx - x0]
-                fits = ((ry[at] + dy) ** 2 + (rx[at] + dx) ** 2 < r) & (np.abs(cos) > 1e-12) & ~np.isnan(value)
-                w = np.where(fits, 1.0 if weight == "flat" else cos, 0.0)
-                total += w
-                mean += w * np.where(fits, value, 0.0)
-            limit = np.where(total > 0, mean / np.where(total > 0, total, 1) * (1 - min_gradient), np.inf)
-            spot = (y[at] - y0, x[at] - x0)
-            grid[spot] = np.minimum(grid[spot], limit)
-        return part.assign(**{col: grid[y - y0, x - x0]})[names]
-
-    return joined.groupBy(*k).applyInPandas(sweep, schema)
+    if center_radius:
+        centers = moved_centers(df, centers, center_radius, by, col)
+    joined = df.join(centers.select(*k, "cy", "cx"), k).select(*k, "y", "x", F.col(col).cast("double").alias("v"), "cy", "cx")
+    lists = joined.groupBy(*k, "cy", "cx").agg(*[F.collect_list(c).alias(c) for c in ("y", "x", "v")])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for r in range(batch.num_rows):
+                y, x, v = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
+                cy, cx = int(batch.column("cy")[r].as_py()), int(batch.column("cx")[r].as_py())
+                y0, x0 = int(y.min()), int(x.min())
+                grid = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.nan)
+                grid[y - y0, x - x0] = v
+                whole = not np.isnan(grid).any()
+                out = blend.monotonic(grid, cy - y0, cx - x0, weight, min_gradient)[y - y0, x - x0] if whole else swept(y, x, v, cy, cx, weight, min_gradient)
+                if use_mask and y0 <= cy <= y.max() and x0 <= cx <= x.max():
+                    out = np.where(blend.reached(np.nan_to_num(grid), cy - y0, cx - x0)[y - y0, x - x0], v, out)
+                made.append(out)
+            columns = [pa.array(made, pa.list_(pa.float64())) if n == "v" else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    out = lists.mapInArrow(run, kinds).select(*k, F.explode(F.arrays_zip("y", "x", "v")).alias("e"))
+    return out.select(*k, "e.y", "e.x", F.col("e.v").alias(col))
+
+
+def swept(y: np.ndarray, x: np.ndarray, v: np.ndarray, cy: int, cx: int, weight: str, min_gradient: float) -> np.ndarray:
+    """The inside-out sweep over pixels with gaps: a missing neighbour's weight goes to the others."""
+    y0, x0 = y.min() - 1, x.min() - 1
+    grid = np.full((y.max() - y0 + 2, x.max() - x0 + 2), np.nan)
+    grid[y - y0, x - x0] = v
+    ry, rx = y - cy, x - cx
+    d2 = ry**2 + rx**2
+    for r in np.unique(d2)[1 if (d2 == 0).any() else 0 :]:
+        at = np.flatnonzero(d2 == r)
+        total, mean = np.zeros(len(at)), np.zeros(len(at))
+        for dy, dx in NEIGHBOURS:
+            cos = -(dy * ry[at] + dx * rx[at]) / math.sqrt(float(r * (dy * dy + dx * dx)))
+            value = grid[y[at] + dy - y0, x[at] + dx - x0]
+            fits = ((ry[at] + dy) ** 2 + (rx[at] + dx) ** 2 < r) & (np.abs(cos) > 1e-12) & ~np.isnan(value)
+            w = np.where(fits, 1.0 if weight == "flat" else cos, 0.0)
+            total += w
+            mean += w * np.where(fits, value, 0.0)
+        limit = np.where(total > 0, mean / np.where(total > 0, total, 1) * (1 - min_gradient), np.inf)
+        spot = (y[at] - y0, x[at] - x0)
+        grid[spot] = np.minimum(grid[spot], limit)
+    return grid[y - y0, x - x0]
 
 
 STEPS = "inline(array((-1, 0), (1, 0), (0, -1), (0, 1))) AS (dy, dx)"

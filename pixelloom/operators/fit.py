@@ -6,6 +6,7 @@ Tables: seds (image_id, source_id, comp_id, band, sed), morphs (image_id, source
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.blend import How
 from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, PLACE, cut, explode_grid
-from pixelloom.operators import blocks, constrain, measure
+from pixelloom.operators import blocks, constrain, measure, stencil
 from pixelloom.operators.boxes import minimal_boxsize
 from pixelloom.operators.models import COMPONENT, SOURCE, blend_model, component_model
 from pixelloom.operators.stencil import convolve, convolve_adjoint, resampled, resampled_adjoint, starlet_reconstruct, starlet_transform
@@ -97,17 +98,17 @@ def layer_by_flux(morphs: DataFrame, percentiles: tuple[float, ...] = (25,)) ->
     return constrain.max_normalised(clipped, tuple(COMPONENT))
 
 
-def init_monotonic(detect: DataFrame, catalog: DataFrame, use_mask: bool = True, thresh: float = 0, radius: int = 10) -> DataFrame:
+def init_monotonic(detect: DataFrame, catalog: DataFrame, use_mask: bool = True, thresh: float = 0, radius: int = 10, grow: int = 0) -> DataFrame:
     """Morphologies from a detection image: what decreases from each centre (or the weighted projection), above ``thresh``, maximum 1; a source without any is left out.
 
-    Both run as far as the image goes. The mask's box has the least ladder size (21, 31, ..., from ``radius``) that holds all it reaches.
+    Both run as far as the image goes. The mask's box has the least ladder size (21, 31, ..., from ``radius``) that holds all it reaches and ``grow`` pixels more.
     """
     if use_mask:
         centers = catalog.select(*SOURCE, F.lit(0).alias("comp_id"), F.col("y").alias("cy"), F.col("x").alias("cx"))
         values = cut(detect.select(IMAGE, "y", "x", F.col("value").cast("double").alias("v")))
         reached = constrain.reached_from(values, centers, by=tuple(COMPONENT), shared=(IMAGE,))
         far = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx")))
-        size = centers.join(reached, COMPONENT, "left").groupBy(*COMPONENT, "cy", "cx").agg((2 * F.coalesce(F.max(far), F.lit(0)) + 1).alias("size"))
+        size = centers.join(reached, COMPONENT, "left").groupBy(*COMPONENT, "cy", "cx").agg((2 * (F.coalesce(F.max(far), F.lit(0)) + grow) + 1).alias("size"))
         sized = minimal_boxsize(size, min_size=2 * radius + 1)
         cells = explode_grid(sized, "cy - boxsize div 2", "cy + boxsize div 2 + 1", "cx - boxsize div 2", "cx + boxsize div 2 + 1")
         shaped = cells.join(reached, [*COMPONENT, "y", "x"], "left").select(*COMPONENT, "y", "x", F.coalesce("v", F.lit(0.0)).alias("m"))
@@ -141,6 +142,89 @@ def init_sources(pixels: DataFrame, catalog: DataFrame, psf: DataFrame, detect:
     return own, morphs, catalog.join(positive, SOURCE, "left_anti")
 
 
+def pair_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame) -> DataFrame:
+    """Unweighted least-squares SEDs of sources of one or two components (comp_id 0 and 1), each source against the data by itself, at least 0.
+
+    Two models that can't be told apart share the flux of the first: the second gets 0.
+    """
+    bands = pixels.select(IMAGE, "band").distinct()
+    shown = convolve(morphs.join(bands, IMAGE).select(*COMPONENT, "band", "y", "x", F.col("m").alias("value")), kernels, keys=(*COMPONENT, "band"))
+    of = lambda i: F.sum(F.when(F.col("comp_id") == i, F.col("value")).otherwise(0.0))
+    both = shown.groupBy(*SOURCE, "band", "y", "x").agg(of(0).alias("u"), of(1).alias("v")).join(pixels.select(*PLACE, F.col("value").cast("double").alias("d")), PLACE)
+    s = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = both.groupBy(*SOURCE, "band").agg(s("u", "u").alias("uu"), s("u", "v").alias("uv"), s("v", "v").alias("vv"), s("u", "d").alias("ud"), s("v", "d").alias("vd"))
+    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
+    apart = det > 1e-10 * F.col("uu") * F.col("vv")
+    alone = lambda n, d: F.coalesce(F.col(n) / F.nullif(d, F.lit(0.0)), F.lit(0.0))
+    first = F.when(apart, (F.col("vv") * F.col("ud") - F.col("uv") * F.col("vd")) / det).otherwise(alone("ud", "uu"))
+    second = F.when(apart, (F.col("uu") * F.col("vd") - F.col("uv") * F.col("ud")) / det).when(F.col("uu") > 0, 0.0).otherwise(alone("vd", "vv"))
+    solved = sums.select(*SOURCE, "band", F.explode(F.array(F.struct(F.lit(0).alias("comp_id"), first.alias("sed")), F.struct(F.lit(1).alias("comp_id"), second.alias("sed")))).alias("e"))
+    solved = solved.select(*SOURCE, "e.comp_id", "band", F.greatest("e.sed", F.lit(0.0)).alias("sed"))
+    return morphs.select(*COMPONENT).distinct().join(bands, IMAGE).join(solved, [*COMPONENT, "band"], "left").select(*COMPONENT, "band", F.coalesce("sed", F.lit(0.0)).alias("sed"))
+
+
+def init_sources_wavelet(pixels: DataFrame, catalog: DataFrame, psf: DataFrame, scales: int = 5, min_snr: float = 50, grow: int = 5, coeffs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """seds, morphs and skipped sources, seeded from scale-split images (``init_sources`` from one detection image).
+
+    The significant starlets of the bands' sum give a detection, a bulge (planes 0 and 1) and a disk image (2 up to the last but one).
+    By the psf-weighted signal to noise over ``min_snr`` a source gets the psf (below 1, or where the detection image isn't positive at its centre), one component (below 2)
+    or bulge and disk: what decreases from the centre in each image, with the SEDs that fit this pair to the data. Where bulge or disk
+    has no shape it is one component; where that has none the source is skipped and listed. Components without flux in any band are left out.
+    """
+    coeffs = stencil.detect_wavelets(pixels, scales) if coeffs is None else coeffs
+    layers = cut(stencil.wavelet_layers(coeffs, scales))
+    kernels = psf.withColumn("k", F.col("k") / F.sum("k").over(Window.partitionBy(*[c for c in (IMAGE, "band") if c in psf.columns])))
+    wanted = measure.psf_snr(pixels, psf, catalog).select(*SOURCE, (F.floor("snr") / min_snr).alias("parts"))
+    at = layers.select(IMAGE, "y", "x", F.col("detect").alias("here"))
+    usable = cut(catalog.join(wanted, SOURCE).join(at, [IMAGE, "y", "x"], "left").withColumn("parts", F.when(F.coalesce("here", F.lit(0.0)) <= 0, 0.0).otherwise(F.col("parts"))))
+    layer = lambda c: layers.select(IMAGE, "y", "x", F.col(c).alias("value"))
+    two = usable.where("parts >= 2")
+    bulge, disk = (cut(init_monotonic(layer(c), two, grow=grow).select(*SOURCE, F.lit(i).alias("comp_id"), "y", "x", "m")) for i, c in enumerate(("bulge", "disk")))
+    double = cut(bulge.select(*SOURCE).distinct().join(disk.select(*SOURCE).distinct(), SOURCE))
+    pair = bulge.unionByName(disk).join(double, SOURCE, "left_semi")
+    single = usable.where("parts >= 1").join(double, SOURCE, "left_anti")
+    one = cut(init_monotonic(layer("detect"), single, grow=grow).select(*COMPONENT, "y", "x", "m"))
+    bands = pixels.select(IMAGE, "band").distinct()
+    seen = convolve(layer("detect").join(bands, IMAGE).select(IMAGE, "band", "y", "x", "value"), kernels).withColumnRenamed("value", "seen")
+    there = catalog.select(*SOURCE, "y", "x").join(one.select(*SOURCE).distinct(), SOURCE).join(seen, [IMAGE, "y", "x"]).join(pixels.select(*PLACE, "value"), PLACE)
+    one_seds = there.select(*SOURCE, F.lit(0).alias("comp_id"), "band", F.greatest(F.lit(0.0), F.coalesce(F.col("value") / F.nullif("seen", F.lit(0.0)), F.lit(0.0))).alias("sed"))
+    faint = usable.where("parts < 1").select(catalog.columns)
+    point_seds, point = init_compact(faint, pixels, psf, psf.groupBy("dy", "dx").agg(F.max("k").alias("k")))
+    point_seds = point_seds.select(*COMPONENT, "band", F.greatest(F.col("sed").cast("double"), F.lit(0.0)).alias("sed"))
+    seds = cut(pair_seds(pixels, pair, kernels).unionByName(one_seds).unionByName(point_seds))
+    morphs = pair.unionByName(one).unionByName(point.select(*COMPONENT, "y", "x", F.col("m").cast("double").alias("m")))
+    seds, morphs = drop_empty(seds, morphs)
+    return seds, morphs, catalog.join(seds.select(*SOURCE).distinct(), SOURCE, "left_anti")
+
+
+def retried(make: Callable[[DataFrame], tuple[DataFrame, DataFrame]], catalog: DataFrame, parts: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """seds, morphs, and for each source how many components it has (``k``; 0: none could be made).
+
+    ``make`` turns sources with their ``k`` (of ``catalog``, else ``parts``) into seds and morphs. Only sources with a null, NaN or infinite value, or without
+    a component, go back to it with one component less; the others keep theirs.
+    """
+    left = cut(catalog if "k" in catalog.columns else catalog.withColumn("k", F.lit(parts)))
+    good_s, good_m, counts = [], [], []
+    while True:
+        none = left.where("k <= 0").select(*SOURCE, F.lit(0).alias("k"))
+        left = left.where("k > 0")
+        counts.append(none)
+        if left.isEmpty():
+            break
+        seds, morphs = make(left)
+        seds, morphs = cut(seds), cut(morphs)
+        bad = check_finite(seds, morphs)[2].select(*SOURCE).distinct()
+        fine = cut(left.join(seds.select(*SOURCE).distinct(), SOURCE, "left_semi").join(bad, SOURCE, "left_anti"))
+        good_s.append(seds.join(fine.select(*SOURCE), SOURCE, "left_semi"))
+        good_m.append(morphs.join(fine.select(*SOURCE), SOURCE, "left_semi"))
+        counts.append(fine.select(*SOURCE, F.col("k").cast("int").alias("k")))
+        left = cut(left.join(fine.select(*SOURCE), SOURCE, "left_anti").withColumn("k", F.col("k") - 1))
+    if not good_s:
+        good_s, good_m = ([df] for df in make(left))
+    whole = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return whole(good_s), whole(good_m), whole(counts)
+
+
 def init_profile(catalog: DataFrame, pixels: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SED = centre pixel over the profile's value there, for a table of profiles (image_id, source_id, y, x, value)."""
     at = catalog.select(*SOURCE, "y", "x").join(profile, [*SOURCE, "y", "x"]).select(*SOURCE, F.col("value").alias("peak"))
@@ -177,9 +261,19 @@ def conjugate_gradients(matrix: DataFrame, right: DataFrame, tol: float = 1e-10)
     return done.unionByName(state.select(IMAGE, "band", "comp", "sol"))
 
 
-def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted: bool = True, dense: int = 200) -> DataFrame:
+def flux_shares(pixels: DataFrame, shown: DataFrame) -> DataFrame:
+    """image_id, band, comp, share: a rendered component's weighted flux over its flux and the band's mean weight, as far as the image goes; null without flux."""
+    mean = pixels.groupBy(IMAGE, "band").agg(F.avg("weight").alias("mean"))
+    met = shown.join(pixels.select(*PLACE, "weight"), PLACE).groupBy(IMAGE, "band", "comp").agg(F.sum(F.col("value") * F.col("weight")).alias("mw"), F.sum("value").alias("all"))
+    return met.join(mean, [IMAGE, "band"]).select(IMAGE, "band", "comp", (F.col("mw") / F.nullif("all", F.lit(0)) / F.nullif("mean", F.lit(0))).alias("share"))
+
+
+def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted: bool = True, dense: int = 200, least_share: float = 0.1) -> DataFrame:
     """Least-squares SEDs of rendered morphologies: (M' W M)^-1 M' W d for each image and band, at least 0.
 
+    A component whose ``flux_shares`` in a band isn't above ``least_share`` (it lies where weights are small) leaves that band's system and gets
+    0 there; unweighted fits have no such rule.
+
     Components with equal models count once (the least one; the others get 0). Normal matrices are sums
     over pairs of components that share pixels. Components that share pixels, if only by way of others, form a group: each group of up to
     ``dense`` components solves one small system in each band, larger ones by conjugate gradients as joins and sums.
@@ -190,6 +284,8 @@ def fit_seds(pixels: DataFrame, morphs: DataFrame, kernels: DataFrame, weighted:
     mark = shown.groupBy(IMAGE, "comp").agg(F.sum(F.xxhash64("band", "y", "x", F.round("value", 9)).cast("decimal(38,0)")).alias("mark"))
     first = mark.groupBy(IMAGE, "mark").agg(F.min("comp").alias("comp"))
     kept = shown.join(first.select(IMAGE, "comp"), [IMAGE, "comp"])
+    if weighted and least_share > 0:
+        kept = cut(kept.join(flux_shares(pixels, kept).where(F.col("share") > least_share).select(IMAGE, "band", "comp"), [IMAGE, "band", "comp"]))
     seen = kept.join(pixels.select(*PLACE, F.col("value").alias("d"), (F.col("weight") if weighted else F.lit(1.0)).alias("w")), PLACE).select(*PLACE, "comp", "value", "d", "w")
     right = cut(seen.groupBy(IMAGE, "band", "comp").agg(F.sum(F.col("w") * F.col("value") * F.col("d")).cast("double").alias("v")))
     b = seen.select(*PLACE, F.col("comp").alias("other"), F.col("value").alias("value_b"))
@@ -298,8 +394,8 @@ def fista_step(pixels: DataFrame, partner: DataFrame, col: str) -> DataFrame:
 SCHEMES = ("adam", "nadam", "amsgrad", "padam", "adamx", "radam")
 
 
-def adaptive_update(df: DataFrame, it: int, scheme: str = "amsgrad", col: str = "x", b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, p: float = 0.25) -> DataFrame:
-    """One adaptive step of ``col`` along g with ``step``; the moments m1, m2, m2hat are columns.
+def adaptive_update(df: DataFrame, it: int, scheme: str = "amsgrad", col: str = "x", b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, p: float = 0.25, keep_psi: bool = False) -> DataFrame:
+    """One adaptive step of ``col`` along g with ``step``; the moments m1, m2, m2hat are columns, and so is psi if it is kept (see ``proximal_iterations``).
 
     Schemes as in their papers: Adam, NAdam, AMSGrad, PAdam, AdamX and RAdam. The first step is a tenth.
     """
@@ -325,9 +421,33 @@ def adaptive_update(df: DataFrame, it: int, scheme: str = "amsgrad", col: str =
         rho = top - 2 * t * b2**t / (1 - b2**t)
         r = math.sqrt((rho - 4) * (rho - 2) * top / ((top - 4) * (top - 2) * rho)) if rho > 4 else 1.0
         phi, psi = first * r, second + eps if rho > 4 else F.lit(1.0)
+    out = out.withColumn("psi", psi) if keep_psi else out
     return out.withColumn(col, F.col(col) - F.col("step") * phi / psi / (10 if it == 0 else 1))
 
 
+def proximal_iterations(df: DataFrame, prox: Callable[[DataFrame], DataFrame], max_iter: int = 10, e_rel: float = 1e-6, col: str = "m") -> DataFrame:
+    """``df`` (components with ``col`` after a step, and the step's ``psi``) projected so that each pixel's own step counts.
+
+    z starts as ``col``, x, and becomes prox(z - psi / max psi (z - x)) up to ``max_iter`` times. A component leaves when
+    its z moves by no more than ``e_rel`` of its norm. ``prox`` takes and gives image_id, source_id, comp_id, y, x and ``col``; other columns stay.
+    Each round is one write of the components that are left.
+    """
+    place = [*COMPONENT, "y", "x"]
+    pull = F.col("psi") / F.max("psi").over(Window.partitionBy(*COMPONENT))
+    left, done = cut(df.select(*place, F.col(col).alias("x_"), F.col(col).alias("z_"), pull.alias("pull"))), None
+    for n in range(max_iter):
+        moved = left.select(*place, (F.col("z_") - F.col("pull") * (F.col("z_") - F.col("x_"))).alias(col))
+        after = cut(left.join(prox(moved).select(*place, F.col(col).alias("new")), place))
+        d = F.col("new") - F.col("z_")
+        still = after.groupBy(*COMPONENT).agg((F.sum(d * d) <= e_rel**2 * F.sum(F.col("z_") * F.col("z_"))).alias("still"))
+        judged = after.join(still, COMPONENT).select(*place, "x_", F.col("new").alias("z_"), "pull", (F.col("still") | F.lit(n == max_iter - 1)).alias("still"))
+        settled, left = judged.where("still").select(*place, "z_"), cut(judged.where(~F.col("still")).drop("still"))
+        done = settled if done is None else done.unionByName(settled)
+        if left.isEmpty():
+            break
+    return df.drop(col).join(done.withColumnRenamed("z_", col), place).select(*df.columns) if done is not None else df
+
+
 def fista_update(df: DataFrame, t: float, prox=None, col: str = "x") -> tuple[DataFrame, float]:
     """y = z - step g; x' = prox(y); t' = (1 + sqrt(1 + 4 t^2)) / 2; z = x + (1 + (t - 1) / t')(x' - x)."""
     later = 0.5 * (1 + math.sqrt(1 + 4 * t * t))
@@ -430,18 +550,31 @@ def fit_blends_wavelet(pixels: DataFrame, seds: DataFrame, morphs: DataFrame, ke
     return fit_multi([(pixels, kernels)], seds, morphs, plane_weights=plane_weights, **how)
 
 
-def resize_components(seds: DataFrame, morphs: DataFrame, rms: DataFrame, thresh: float = 1.0) -> DataFrame:
-    """Cut empty borders down to the ladder of box sizes; grow a step where the edges' flux per positive pixel exceeds thresh x rms.
+def edge_brightness(morphs: DataFrame) -> DataFrame:
+    """keys, edge, pull: the brightest of a box's four edges, as flux per positive pixel (null without any), and the outward pull of the first moments.
+
+    ``pull`` is the most that the mean of -m1 / sqrt(m2hat) is over an edge; null for morphologies without moments.
+    """
+    at = morphs.withColumns({f"{c}{n}": f(c).over(Window.partitionBy(*COMPONENT)) for c in ("y", "x") for n, f in ((0, F.min), (9, F.max))})
+    pull = -F.col("m1") / (F.sqrt("m2hat") + 1e-8) if {"m1", "m2hat"} <= set(morphs.columns) else F.lit(None).cast("double")
+    sides = F.expr("explode(filter(array(IF(y = y0, 'top', NULL), IF(y = y9, 'bottom', NULL), IF(x = x0, 'left', NULL), IF(x = x9, 'right', NULL)), s -> s IS NOT NULL))")
+    edges = at.select(*COMPONENT, "m", pull.alias("pull"), sides.alias("side"))
+    by_side = edges.groupBy(*COMPONENT, "side").agg(F.avg(F.when(F.col("m") > 0, F.col("m"))).alias("edge"), F.avg("pull").alias("pull"))
+    return by_side.groupBy(*COMPONENT).agg(F.max("edge").alias("edge"), F.max("pull").alias("pull"))
+
+
+def resize_components(seds: DataFrame, morphs: DataFrame, rms: DataFrame, thresh: float = 1.0, edge_pull: float | None = None) -> DataFrame:
+    """Cut empty borders down to the ladder of box sizes; grow a step where one of four edges has more flux per positive pixel than thresh x rms in a band.
 
-    New pixels and their moments are 0. Boxes stay square around their middle.
+    With ``edge_pull`` a box also grows where an edge's pull is above it. New pixels and their moments are 0. Boxes stay square around their middle.
     """
     c = constrain.middle(morphs, tuple(COMPONENT))
     at = morphs.join(c, COMPONENT)
     far = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx")))
     size = at.groupBy(*COMPONENT, "cy", "cx").agg(F.max(far).alias("edge"), F.max(F.when(F.col("m") > 0, far).otherwise(0)).alias("reach"))
-    rim = at.join(size.select(*COMPONENT, "edge"), COMPONENT).where((far == F.col("edge")) & (F.col("m") > 0)).groupBy(*COMPONENT).agg(F.avg("m").alias("rim"))
+    rim = edge_brightness(morphs).select(*COMPONENT, F.col("edge").alias("rim"), "pull")
     bright = seds.join(rms, [IMAGE, "band"]).groupBy(*COMPONENT).agg(F.max(F.col("sed") / F.col("rms")).alias("bright"))
-    judged = size.join(rim, COMPONENT, "left").join(bright, COMPONENT, "left").withColumn("grows", F.coalesce(F.col("rim") * F.col("bright") > thresh, F.lit(False)))
+    judged = size.join(rim, COMPONENT, "left").join(bright, COMPONENT, "left").withColumn("grows", F.coalesce(F.col("rim") * F.col("bright") > thresh, F.lit(False)) | (F.coalesce(F.col("pull") > edge_pull, F.lit(False)) if edge_pull is not None else F.lit(False)))
     sized = minimal_boxsize(judged.withColumn("size", F.when(F.col("grows"), 2 * F.col("edge") + 11).otherwise(2 * F.col("reach") + 1)))
     half = "CAST(CASE WHEN grows THEN boxsize div 2 ELSE least(boxsize div 2, edge) END AS INT)"
     cells = explode_grid(sized, f"cy - {half}", f"cy + {half} + 1", f"cx - {half}", f"cx + {half} + 1").select(*COMPONENT, "y", "x")
@@ -456,19 +589,34 @@ def check_finite(seds: DataFrame, morphs: DataFrame) -> tuple[DataFrame, DataFra
     return seds.join(bad, COMPONENT, "left_anti"), morphs.join(bad, COMPONENT, "left_anti"), bad
 
 
-def deblend_and_measure(pixels: DataFrame, catalog: DataFrame, truth: DataFrame, psf: DataFrame, bands: list[str], branch: str, max_iter: int = 100) -> DataFrame:
+def reweight(pixels: DataFrame, seds: DataFrame, morphs: DataFrame, kernels: DataFrame) -> DataFrame:
+    """image_id, source_id, band, y, x, value: each source's share of the data, by its rendered model, positive, within its box grown by the kernel.
+
+    Where any model is positive the sources' shares add up to the data; masked pixels (weight 0) give 0.
+    """
+    model = component_model(seds, morphs).groupBy(*SOURCE, "band", "y", "x").agg(F.sum("value").alias("value"))
+    on = [c for c in (IMAGE, "band") if c in kernels.columns]
+    near = model.join(kernels.select(*on, "dy", "dx", "k"), on).select(*SOURCE, "band", (F.col("y") + F.col("dy")).cast("int").alias("y"), (F.col("x") + F.col("dx")).cast("int").alias("x"), (F.col("value") * F.col("k")).alias("value"))
+    seen = near.groupBy(*SOURCE, "band", "y", "x").agg(F.greatest(F.sum("value"), F.lit(0.0)).alias("value"))
+    return measure.redistribute_flux(pixels.withColumn("masked", F.col("weight") <= 0), seen)
+
+
+def deblend_and_measure(pixels: DataFrame, catalog: DataFrame, truth: DataFrame, psf: DataFrame, bands: list[str], branch: str, max_iter: int = 100, wavelet: bool = False, reweighted: bool = False) -> DataFrame:
     """From pixels to measurement records for all images: initial models, SED solution, fit, magnitudes against the truth.
 
-    Sources that were skipped have null magnitudes.
+    Sources that were skipped have null magnitudes. ``wavelet`` seeds from scale-split images (pixels need ``variance``); with ``reweighted`` magnitudes are those
+    of the data that the models share out.
     """
     detect = cut(pixels.groupBy(IMAGE, "y", "x").agg(F.sum("value").alias("value")))
     noise = pixels.where("weight > 0").groupBy(IMAGE, "band").agg(F.avg(1 / F.sqrt("weight")).alias("rms"))
-    _, morphs, skipped = init_sources(pixels, catalog, psf, detect)
+    _, morphs, skipped = init_sources_wavelet(pixels, catalog, psf) if wavelet else init_sources(pixels, catalog, psf, detect)
     kernels = psf.withColumn("k", F.col("k") / F.sum("k").over(Window.partitionBy(IMAGE, "band")))
-    seds = cut(fit_seds(pixels, morphs, kernels))
-    seds, morphs = drop_empty(seds, cut(morphs))
+    morphs = cut(morphs)
+    seds = cut(fit_seds(pixels, morphs, kernels, weighted=False))
+    seds, morphs = drop_empty(seds, morphs)
     seds, morphs, losses = fit_blends(pixels, seds, morphs, kernels, max_iter=max_iter, rms=noise, bg_thresh=0.25)
-    flux = component_model(seds, morphs).groupBy(*SOURCE, "band").agg(F.sum("value").alias("flux"))
+    shown = reweight(pixels, seds, morphs, kernels) if reweighted else component_model(seds, morphs)
+    flux = shown.groupBy(*SOURCE, "band").agg(F.sum("value").alias("flux"))
     mags = measure.magnitude(flux)
     empty = skipped.select(*SOURCE).join(mags.select("band").distinct()).select(*SOURCE, "band", F.lit(None).cast("double").alias("mag"))
     last = losses.groupBy(IMAGE).agg((-F.max_by("loss", "it")).alias("logl"), (-F.min_by("loss", "it")).alias("init_logl"), (F.max("it") + 1).alias("iterations"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.grid import IMAGE, PLACE
+from pixelloom.operators.models import component_model
 
 BAND = (IMAGE, "band")
 SOURCE = (IMAGE, "source_id")
@@ -150,6 +151,14 @@ def color_similarity(seds: DataFrame, reference: DataFrame, threshold: float = 0
     return cosine.withColumn("similar", F.col("cosine") > threshold)
 
 
+def similar_model(seds: DataFrame, morphs: DataFrame, reference: DataFrame, threshold: float = 0.995) -> DataFrame:
+    """image_id, band, y, x, value, n_sources: the summed model of the sources whose colour is like the image's reference source's, itself included."""
+    like = color_similarity(seds.groupBy(*SOURCE, "band").agg(F.sum("sed").alias("sed")), reference, threshold).where("similar").select(*SOURCE)
+    like = like.unionByName(reference.select(*SOURCE)).distinct()
+    parts = component_model(seds.join(like, list(SOURCE), "left_semi"), morphs).groupBy(*PLACE, "source_id").agg(F.sum("value").alias("value"))
+    return parts.groupBy(*PLACE).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_sources"))
+
+
 def compare_spectra(runs: dict[str, DataFrame]) -> DataFrame:
     """Each source's SED in each run (tables image_id, source_id, band, value), as columns; a source that a run lacks is null there."""
     parts = [df.select(*SOURCE, "band", F.col("value"), F.lit(name).alias("run")) for name, df in runs.items()]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.grid import IMAGE, PLACE, explode_grid
+from pixelloom.functions.grid import IMAGE, PLACE, explode_grid, uniform
 
 SOURCE = [IMAGE, "source_id"]
 COMPONENT = [*SOURCE, "comp_id"]
@@ -149,7 +149,7 @@ def integrate_profile(cells: DataFrame, profile, n_sub: int = 3) -> DataFrame:
 
 
 def random_components(frames: DataFrame, bands: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Uniform random seds and morphologies over each image's whole frame."""
-    seds = frames.select(IMAGE).join(bands, IMAGE).select(IMAGE, F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("comp_id"), "band", F.rand(seed).alias("sed"))
-    morphs = explode_grid(frames.select(IMAGE, "ny", "nx"), "0", "ny", "0", "nx").select(IMAGE, F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("comp_id"), "y", "x", F.rand(seed + 1).alias("m"))
+    """Uniform random seds and morphologies over each image's whole frame; numbers follow from the seed and the place."""
+    seds = frames.select(IMAGE).join(bands, IMAGE).select(IMAGE, F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("comp_id"), "band", uniform(seed, "sed", IMAGE, "band").alias("sed"))
+    morphs = explode_grid(frames.select(IMAGE, "ny", "nx"), "0", "ny", "0", "nx").select(IMAGE, F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("comp_id"), "y", "x", uniform(seed, "m", IMAGE, "y", "x").alias("m"))
     return seds, morphs

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.functions.grid import IMAGE, PLACE
+from pixelloom.functions.grid import IMAGE, PLACE, uniform
 
 
 def with_weights(pixels: DataFrame) -> DataFrame:
@@ -81,9 +83,10 @@ def percentile_stretch(pixels: DataFrame, lo: float = 1, hi: float = 99, kind: s
 
 
 def inject_noise(pixels: DataFrame, factor: float, seed: int) -> DataFrame:
-    """Values with Gaussian noise of ``factor`` times the rms added, weights divided by factor + 1."""
+    """Values with Gaussian noise of ``factor`` times the rms added, weights divided by factor + 1; a pixel's noise follows from the seed and its place."""
+    normal = F.sqrt(-2 * F.log(uniform(seed, "radius", *PLACE))) * F.cos(2 * math.pi * uniform(seed, "angle", *PLACE))
     rms = F.when(F.col("weight") > 0, 1 / F.sqrt("weight")).otherwise(0.0)
-    return pixels.withColumn("value", F.col("value") + F.randn(seed) * rms * F.sqrt(F.lit(float(factor)))).withColumn("weight", F.col("weight") / (factor + 1))
+    return pixels.withColumn("value", F.col("value") + normal * rms * F.sqrt(F.lit(float(factor)))).withColumn("weight", F.col("weight") / (factor + 1))
 
 
 def center_flux(image: DataFrame, catalog: DataFrame, radius: int = 1) -> DataFrame:

@@ -78,14 +78,15 @@ def starlet_norm(frames: DataFrame, scales: int, generation: int = 2) -> DataFra
     return starlet_transform(unit, scales, generation).groupBy(IMAGE, "scale").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
 
 
-def multiresolution_support(coeffs: DataFrame, sigma: DataFrame, k: float = 3, epsilon: float = 0.1, max_iter: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def multiresolution_support(coeffs: DataFrame, sigma: DataFrame, k: float = 3, epsilon: float = 0.1, max_iter: int = 20, keys: tuple[str, ...] = KEYS, stored: bool = False) -> DataFrame:
     """``coeffs`` with ``support`` (0 or 1): coefficients above k times their scale's own noise.
 
     ``sigma`` (keys, sigma) starts all scales; each round takes the deviation of what isn't
     significant, until no scale of an image changes by ``epsilon`` or more. Only the small table of deviations
-    is written between rounds; settled images don't take part in further ones.
+    is written between rounds; settled images don't take part in further ones. Coefficients are written once before, unless they are ``stored`` already.
     """
     by = [*keys, "scale"]
+    coeffs = coeffs if stored else cut(coeffs)
     state = cut(coeffs.select(*by).distinct().join(sigma.select(*keys, F.col("sigma").cast("double")), list(keys)).withColumn("done", F.lit(False)))
     for it in range(max_iter - 1):
         quiet = coeffs.join(state.where(~F.col("done")), by).groupBy(*by, "sigma").agg(F.stddev_pop(F.when(F.abs("value") <= k * F.col("sigma"), F.col("value")).otherwise(0.0)).alias("new"))
@@ -108,7 +109,7 @@ def wavelet_denoise(pixels: DataFrame, scales: int, sigma: DataFrame | None = No
     """Keep only what the multiresolution support holds: x += R(M (W image - W x)), clipped at 0 if ``positive``."""
     by = [*keys, "y", "x"]
     coeffs = cut(starlet_transform(pixels, scales, keys=keys))
-    support = cut(multiresolution_support(coeffs, mad_sigma(pixels, keys) if sigma is None else sigma, k, epsilon, max_iter, keys))
+    support = cut(multiresolution_support(coeffs, mad_sigma(pixels, keys) if sigma is None else sigma, k, epsilon, max_iter, keys, stored=True))
     x = starlet_reconstruct(coeffs, scales, keys=keys)
     for _ in range(max_iter):
         now = starlet_transform(x, scales, keys=keys).withColumnRenamed("value", "now")
@@ -279,18 +280,30 @@ def resampled_adjoint(pixels: DataFrame, weights: DataFrame) -> DataFrame:
     return resampled(pixels, back)
 
 
-def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True, window: int | None = 3) -> DataFrame:
+def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True, window: int | None = 3, denoise: int | None = None) -> DataFrame:
     """Sinc interpolation on another grid.
 
     ``mapping`` has image_id, the target's ny, nx and the matrix m_yy, m_yx, m_xy, m_xx, m_y0, m_x0 that takes
     target pixels to source pixels. Aligned grids (m_yx = m_xy = 0) take a row pass and a
-    column pass; rotated ones take the source pixels within ``window`` along both axes, by windowed sincs. Without
-    a window each source pixel counts for each target pixel: exact, and for small images only.
+    column pass over at most 2 x ``window`` rows or columns; rotated ones take the source pixels within ``window`` along both axes; both by windowed sincs. Without
+    a window each source pixel counts for each target pixel: exact, and for small images only. With
+    ``denoise`` images first keep only what the wavelet support over so many scales holds.
     """
+    if denoise:
+        pixels = wavelet_denoise(pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value")), denoise)
     if not aligned and window is not None:
         return resampled(pixels, resample_weights(mapping, window))
     sinc = lambda t: F.when(F.abs(t) < 1e-12, 1.0).otherwise(F.sin(np.pi * t) / (np.pi * t))
     source = pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value"))
+    if aligned and window is not None:
+        for axis, n, m, o in (("y", "ny", "m_yy", "m_y0"), ("x", "nx", "m_xx", "m_x0")):
+            band = mapping.withColumn("to", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).selectExpr(IMAGE, "to", f"{m} * to + {o} AS at")
+            band = band.withColumn(axis, F.explode(F.sequence((F.floor("at") - (window - 1)).cast("int"), (F.floor("at") + window).cast("int"))))
+            t = F.col("at") - F.col(axis)
+            band = band.where(F.abs(t) < window).select(IMAGE, "to", axis, (sinc(t) * sinc(t / window)).alias("w"))
+            other = "x" if axis == "y" else "y"
+            source = source.join(band, [IMAGE, axis]).groupBy(*KEYS, F.col("to").alias(axis), other).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+        return source.select(*KEYS, "y", "x", "value")
     if aligned:
         ys = mapping.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).selectExpr(IMAGE, "ty", "m_yy * ty + m_y0 AS at")
         rows = source.join(ys, IMAGE).groupBy(*KEYS, "ty", "x").agg(F.sum(F.col("value") * sinc(F.col("at") - F.col("y"))).alias("value"))
@@ -311,7 +324,7 @@ def render(model: DataFrame, kinds: DataFrame, kernels: DataFrame, mapping: Data
     of = lambda k: model.join(kinds.where(F.col("kind") == k).select(IMAGE), IMAGE, "left_semi").select(*KEYS, "y", "x", F.col("value").cast("double").alias("value"))
     out = of("null").unionByName(convolve(of("convolve"), kernels).withColumn("value", F.col("value").cast("double")))
     if mapping is not None:
-        out = out.unionByName(convolve(resample(of("resample"), mapping, aligned), kernels))
+        out = out.unionByName(convolve(resample(of("resample"), mapping, aligned, None if aligned else 3), kernels))
     return project_to_frame(out, boxes)
 
 

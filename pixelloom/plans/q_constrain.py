@@ -79,6 +79,18 @@ def k7b(s, d):
     return K.monotonic_weighted(t, centers(t), "angle").withColumn("m", F.round("m", 6))
 
 
+@query("k7_moved_centers", over(*PARTS, f"r AS (SELECT {C}, y, x, row_number() OVER (PARTITION BY {C} ORDER BY m DESC, y, x) AS k FROM st WHERE abs(y - 4) <= 2 AND abs(x - 4) <= 2)", select=f"SELECT {C}, y AS cy, x AS cx FROM r WHERE k = 1"))
+def k7c(s, d):
+    t = stamps(s, d)
+    return K.moved_centers(t, centers(t), 2)
+
+
+@query("k7_monotonic_follow")
+def k7d(s, d):
+    t = stamps(s, d)
+    return K.monotonic_weighted(t, centers(t), "angle", center_radius=2, use_mask=True).withColumn("m", F.round("m", 6))
+
+
 @query("k8_monotonic_mask", over(*PARTS, f"r AS (SELECT {C}, y, x, m FROM st WHERE y = 4 AND x = 4 UNION SELECT s.image_id, s.source_id, s.comp_id, s.y, s.x, s.m FROM r CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) o(dy, dx) JOIN st s ON s.image_id = r.image_id AND s.y = r.y + dy AND s.x = r.x + dx WHERE s.m < r.m + 200 AND s.m > 0)",
     select=f"SELECT {', '.join('st.' + c.strip() for c in C.split(','))}, st.y, st.x, coalesce(r.m, 0) AS m, r.m IS NOT NULL AS valid FROM st LEFT JOIN r ON r.image_id = st.image_id AND r.y = st.y AND r.x = st.x").replace("WITH ", "WITH RECURSIVE ", 1))
 def k8(s, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pixelloom.operators import measure as M
 from pixelloom.operators.pixels import with_weights
 from pixelloom.plans import fixtures as X
+from pixelloom.plans.q_models import MORPHS, morphs
 from pixelloom.plans.q_stencil import gaussian_kernel
 from pixelloom.plans.registry import over, query
 
@@ -125,6 +126,13 @@ def h16(s, d):
     return M.color_similarity(t, t.groupBy("image_id").agg(F.min("source_id").alias("source_id")), 0.6).withColumn("cosine", F.round("cosine", 6))
 
 
+@query("h16_similar_model", over(X.V, X.CATALOG, SEDS, MORPHS, "r AS (SELECT sd.image_id, band, sed AS ref FROM sd JOIN rf USING (image_id, source_id))", "k AS (SELECT image_id, source_id FROM sd JOIN r USING (image_id, band) GROUP BY ALL HAVING sum(CAST(sed AS DOUBLE) * ref) / sqrt(sum(CAST(sed AS DOUBLE) * sed) * sum(CAST(ref AS DOUBLE) * ref)) > 0.6 UNION SELECT image_id, source_id FROM rf)",
+    select="SELECT image_id, band, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(sum(sed * m) AS BIGINT) AS value, count(DISTINCT source_id) AS n_sources FROM k JOIN sd USING (image_id, source_id) JOIN mo USING (image_id, source_id) GROUP BY ALL"))
+def h16b(s, d):
+    t = seds(s, d).withColumn("comp_id", F.lit(0))
+    return M.similar_model(t, morphs(s, d), t.groupBy("image_id").agg(F.min("source_id").alias("source_id")), 0.6).withColumn("value", F.col("value").cast("long"))
+
+
 @query("h17_compare_spectra", over(X.V, X.CATALOG, SEDS, select="SELECT image_id, source_id, band, sed AS main, CASE WHEN source_id % 2 = 0 THEN sed // 2 END AS lite FROM sd"))
 def h17(s, d):
     t = seds(s, d).withColumnRenamed("sed", "value")

@@ -108,7 +108,7 @@ def i10(s, d):
     return O.integrate_profile(X.catalog(s, d), lambda y, x: y * y + 2 * x * x, 3)
 
 
-@query("i11_random_components")
+@query("i11_random_components", over(X.V, select="SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS source_id, CAST(0 AS INTEGER) AS comp_id, y, x, round((CAST('0x' || substr(sha256('3:m:' || image_id || ':' || y || ':' || x), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0, 9) AS m FROM v"))
 def i11(s, d):
     v = X.v(s, d)
-    return O.random_components(frame_of(v), v.select("image_id", "band").distinct(), 3)[1]
+    return O.random_components(frame_of(v), v.select("image_id", "band").distinct(), 3)[1].withColumn("m", F.round("m", 9))

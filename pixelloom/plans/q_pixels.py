@@ -61,9 +61,13 @@ def d8(s, d):
     return P.percentile_stretch(stretched, kind="asinh").selectExpr("image_id", "band", "y", "x", "linear", "level AS asinh")
 
 
-@query("d9_inject_noise")
+U9 = "(CAST('0x' || substr(sha256('7:{salt}:' || image_id || ':' || band || ':' || y || ':' || x), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0"
+
+
+@query("d9_inject_noise", over(X.V, f"u AS (SELECT *, {U9.format(salt='radius')} AS u1, {U9.format(salt='angle')} AS u2 FROM v)",
+    select="SELECT image_id, band, y, x, round(value + CASE WHEN masked THEN 0 ELSE sqrt(-2e0 * ln(u1)) * cos(2e0 * pi() * u2) * sqrt(CAST(variance AS DOUBLE)) END, 4) AS value, round(CASE WHEN masked THEN 0 ELSE 1e0 / variance END / 2, 9) AS weight FROM u"))
 def d9(s, d):
-    return P.inject_noise(P.with_weights(X.v(s, d)), 1.0, 7).select("image_id", "band", "y", "x", "value", "weight")
+    return P.inject_noise(P.with_weights(X.v(s, d)), 1.0, 7).selectExpr("image_id", "band", "y", "x", "round(value, 4) + 0 AS value", "round(weight, 9) AS weight")
 
 
 COADD = "coadd AS (SELECT image_id, y, x, CAST(sum(value) AS BIGINT) AS value FROM v GROUP BY ALL)"

@@ -99,6 +99,16 @@ def save_model(seds: DataFrame, morphs: DataFrame, boxes: DataFrame, path: str)
         df.repartition(IMAGE).sortWithinPartitions(IMAGE).write.parquet(f"{path}/{name}")
 
 
+def save_state(state: DataFrame, path: str) -> None:
+    """Write a fit's state (``blocks.started`` and on): components with moments, iteration and losses, so that the fit can go on or take more sources."""
+    state.repartition(IMAGE).sortWithinPartitions(IMAGE).write.parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_state`` wrote."""
+    return spark.read.parquet(path)
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What ``save_model`` wrote: seds, morphs, boxes."""
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("seds", "morphs", "boxes"))
