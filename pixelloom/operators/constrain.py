@@ -132,6 +132,29 @@ def monotonic_weighted(df: DataFrame, centers: DataFrame, weight: str = "angle",
     k = list(by)
     if center_radius:
         centers = moved_centers(df, centers, center_radius, by, col)
+
+    def shape(grid: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, cy: int, cx: int) -> np.ndarray:
+        y0, x0 = int(y.min()), int(x.min())
+        out = swept(y, x, v, cy, cx, weight, min_gradient) if np.isnan(grid).any() else blend.monotonic(grid, cy - y0, cx - x0, weight, min_gradient)[y - y0, x - x0]
+        if use_mask and y0 <= cy <= y.max() and x0 <= cx <= x.max():
+            out = np.where(blend.reached(np.nan_to_num(grid), cy - y0, cx - x0)[y - y0, x - x0], v, out)
+        return out
+
+    return by_lists(df, centers, shape, by, col)
+
+
+def reached_part(df: DataFrame, centers: DataFrame, by: tuple[str, ...] = BY, col: str = "m") -> DataFrame:
+    """``df`` with 0 for what 4-paths from the centre don't reach with each value below the one before, and above 0; a centre has to lie in its box."""
+
+    def shape(grid: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, cy: int, cx: int) -> np.ndarray:
+        return np.where(blend.reached(np.nan_to_num(grid), cy - int(y.min()), cx - int(x.min()))[y - y.min(), x - x.min()], v, 0.0)
+
+    return by_lists(df, centers, shape, by, col)
+
+
+def by_lists(df: DataFrame, centers: DataFrame, shape: Callable[..., np.ndarray], by: tuple[str, ...], col: str) -> DataFrame:
+    """keys, y, x and the new ``col``: ``shape`` takes each component's box (NaN in gaps), its pixels and its centre; many components to an Arrow batch."""
+    k = list(by)
     joined = df.join(centers.select(*k, "cy", "cx"), k).select(*k, "y", "x", F.col(col).cast("double").alias("v"), "cy", "cx")
     lists = joined.groupBy(*k, "cy", "cx").agg(*[F.collect_list(c).alias(c) for c in ("y", "x", "v")])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema.fields)
@@ -141,15 +164,9 @@ def monotonic_weighted(df: DataFrame, centers: DataFrame, weight: str = "angle",
             made = []
             for r in range(batch.num_rows):
                 y, x, v = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
-                cy, cx = int(batch.column("cy")[r].as_py()), int(batch.column("cx")[r].as_py())
-                y0, x0 = int(y.min()), int(x.min())
-                grid = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.nan)
-                grid[y - y0, x - x0] = v
-                whole = not np.isnan(grid).any()
-                out = blend.monotonic(grid, cy - y0, cx - x0, weight, min_gradient)[y - y0, x - x0] if whole else swept(y, x, v, cy, cx, weight, min_gradient)
-                if use_mask and y0 <= cy <= y.max() and x0 <= cx <= x.max():
-                    out = np.where(blend.reached(np.nan_to_num(grid), cy - y0, cx - x0)[y - y0, x - x0], v, out)
-                made.append(out)
+                grid = np.full((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), np.nan)
+                grid[y - y.min(), x - x.min()] = v
+                made.append(shape(grid, y, x, v, int(batch.column("cy")[r].as_py()), int(batch.column("cx")[r].as_py())))
             columns = [pa.array(made, pa.list_(pa.float64())) if n == "v" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 

@@ -55,7 +55,7 @@ def stamps_of(image: DataFrame, catalog: DataFrame, radius: int) -> DataFrame:
 def grown_stamps(image: DataFrame, catalog: DataFrame, shape: Callable[[DataFrame, DataFrame], DataFrame], radius: int) -> DataFrame:
     """Components (cy, cx, y, x, m) that ``shape`` makes of stamps; a source's radius doubles while its rim has a positive value.
 
-    ``shape`` gets stamps and centres and must be monotonic: with nothing positive on the rim nothing is outside of it. Past the
+    ``shape`` gets stamps and centres and must be monotonic: with nothing positive on the rim nothing is beyond it. Past the
     image's edge stamps are zero, so all sources settle.
     """
     left, done = cut(catalog.select(*SOURCE, "y", "x")), None
@@ -105,8 +105,7 @@ def init_monotonic(detect: DataFrame, catalog: DataFrame, use_mask: bool = True,
     """
     if use_mask:
         centers = catalog.select(*SOURCE, F.lit(0).alias("comp_id"), F.col("y").alias("cy"), F.col("x").alias("cx"))
-        values = cut(detect.select(IMAGE, "y", "x", F.col("value").cast("double").alias("v")))
-        reached = constrain.reached_from(values, centers, by=tuple(COMPONENT), shared=(IMAGE,))
+        reached = grown_stamps(detect, catalog, constrain.reached_part, radius).where("m > 0").select(*COMPONENT, "y", "x", F.col("m").alias("v"))
         far = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx")))
         size = centers.join(reached, COMPONENT, "left").groupBy(*COMPONENT, "cy", "cx").agg((2 * (F.coalesce(F.max(far), F.lit(0)) + grow) + 1).alias("size"))
         sized = minimal_boxsize(size, min_size=2 * radius + 1)
