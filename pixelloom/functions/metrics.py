@@ -31,7 +31,7 @@ def outliers(meas: DataFrame, metric: str, by: tuple[str, ...] = ("branch",)) ->
 
 def latest_branches(meas: DataFrame, merged: DataFrame, n: int = 10) -> DataFrame:
     """Records of the last ``n`` merged branches (branch, merged_at)."""
-    last = merged.withColumn("k", F.dense_rank().over(Window.orderBy(F.desc("merged_at")))).where(F.col("k") <= n).select("branch")
+    last = merged.join(merged.select("merged_at").distinct().orderBy(F.desc("merged_at")).limit(n), "merged_at", "left_semi").select("branch")
     return meas.join(last, "branch", "left_semi")
 
 

@@ -6,6 +6,8 @@ column of pixels raises an error. Windows are partitioned by image, band and row
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,26 +18,33 @@ from pixelloom.functions.grid import IMAGE, cut, explode_grid
 KEYS = (IMAGE, "band")
 
 
-def smoothed(df: DataFrame, col: str, scale: int, out: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``out``: ``col`` smoothed by (1, 4, 6, 4, 1) / 16 with gaps of 2 ** scale along y, then x; zero outside.
-
-    A plane with gaps, where a row's neighbour isn't the next pixel, raises an error: ``densify`` it first.
-    """
+def along(c: Column, axis: str, w: Window, scale: int) -> Column:
+    """``c`` smoothed along an axis by (1, 4, 6, 4, 1) / 16 with gaps of 2 ** scale, zero outside; a plane with gaps raises an error."""
     step = 2**scale
+    near = F.lag(c, step, 0.0).over(w) + F.lead(c, step, 0.0).over(w)
+    far = F.lag(c, 2 * step, 0.0).over(w) + F.lead(c, 2 * step, 0.0).over(w)
+    gap = F.col(axis) - F.lag(axis, 1).over(w) != 1
+    return F.when(gap, F.raise_error(F.lit(f"the plane has gaps along {axis}: densify it first")).cast("double")).otherwise((far + 4 * near + 6 * c) / 16)
 
-    def along(c: Column, axis: str, w: Window) -> Column:
-        near = F.lag(c, step, 0.0).over(w) + F.lead(c, step, 0.0).over(w)
-        far = F.lag(c, 2 * step, 0.0).over(w) + F.lead(c, 2 * step, 0.0).over(w)
-        gap = F.col(axis) - F.lag(axis, 1).over(w) != 1
-        return F.when(gap, F.raise_error(F.lit(f"the plane has gaps along {axis}: densify it first")).cast("double")).otherwise((far + 4 * near + 6 * c) / 16)
 
-    rows = df.withColumn("row_pass", along(F.col(col).cast("double"), "y", Window.partitionBy(*keys, "x").orderBy("y")))
-    return rows.withColumn(out, along(F.col("row_pass"), "x", Window.partitionBy(*keys, "y").orderBy("x"))).drop("row_pass")
+def smoothed(df: DataFrame, passes: dict[str, tuple[str, list[int]]], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """New columns by name: a column smoothed along y and x by stencils with gaps of 2 ** scale for each scale of its list.
+
+    Passes along one axis commute with those along the other, so all columns take all their passes along y in one
+    sorted partitioning, then all along x in another, whatever their number. A plane with gaps, where a row's neighbour isn't the next pixel, raises an error: ``densify`` it first.
+    """
+    made = [n for n in passes]
+    df = df.withColumns({n: F.col(c).cast("double") for n, (c, _) in passes.items()})
+    for axis, other in (("y", "x"), ("x", "y")):
+        w = Window.partitionBy(*keys, other).orderBy(axis)
+        for turn in range(max((len(scales) for _, scales in passes.values()), default=0)):
+            df = df.withColumns({n: along(F.col(n), axis, w, passes[n][1][turn]) for n in made if turn < len(passes[n][1])})
+    return df
 
 
 def bspline_smooth(pixels: DataFrame, scale: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``value`` smoothed by the separable cubic B-spline stencil of a scale."""
-    return smoothed(pixels, "value", scale, "smooth", keys).drop("value").withColumnRenamed("smooth", "value")
+    return smoothed(pixels, {"smooth": ("value", [scale])}, keys).drop("value").withColumnRenamed("smooth", "value")
 
 
 def starlet_scales(frames: DataFrame, scales: int | None = None) -> DataFrame:
@@ -48,13 +57,13 @@ def starlet_transform(pixels: DataFrame, scales: int, generation: int = 2, keys:
     """keys, y, x, scale, value: planes 0..scales; the last is what is left after all smoothings.
 
     Generation 1 takes c - h * c, generation 2 c - h * h * c. All planes are columns of one
-    row until the end, so no join is needed.
+    row until the end, so no join is needed, and all smoothings take two shuffles.
     """
     df = pixels.select(*keys, "y", "x", F.col("value").cast("double").alias("c0"))
-    for j in range(scales):
-        df = smoothed(df, f"c{j}", j, f"c{j + 1}", keys)
-        if generation == 2:
-            df = smoothed(df, f"c{j + 1}", j, f"h{j}", keys)
+    passes = {f"c{j + 1}": ("c0", list(range(j + 1))) for j in range(scales)}
+    if generation == 2:
+        passes |= {f"h{j}": ("c0", [*range(j + 1), j]) for j in range(scales)}
+    df = smoothed(df, passes, keys)
     low = "h" if generation == 2 else "c"
     planes = [f"struct({j} AS scale, c{j} - {low}{j if generation == 2 else j + 1} AS value)" for j in range(scales)] + [f"struct({scales} AS scale, c{scales} AS value)"]
     return df.selectExpr(*keys, "y", "x", f"inline(array({', '.join(planes)}))")
@@ -66,10 +75,9 @@ def starlet_reconstruct(coeffs: DataFrame, scales: int, generation: int = 2, key
     if generation == 1:
         return coeffs.groupBy(*by).agg(F.sum("value").alias("value"))
     wide = coeffs.groupBy(*by).agg(*[F.sum(F.when(F.col("scale") == j, F.col("value"))).alias(f"w{j}") for j in range(scales + 1)])
-    df = wide.withColumn("c", F.col(f"w{scales}"))
-    for j in reversed(range(scales)):
-        df = smoothed(df, "c", j, "h", keys).withColumn("c", F.col("h") + F.col(f"w{j}")).drop("h")
-    return df.select(*by, F.col("c").alias("value"))
+    # h0 * (h1 * (... + w2) + w1) + w0 is the sum of all planes, each smoothed at all scales below its own.
+    df = smoothed(wide, {f"s{j}": (f"w{j}", list(reversed(range(j)))) for j in range(scales + 1)}, keys)
+    return df.select(*by, functools.reduce(lambda a, b: a + b, [F.col(f"s{j}") for j in range(scales + 1)]).alias("value"))
 
 
 def starlet_norm(frames: DataFrame, scales: int, generation: int = 2) -> DataFrame:
@@ -237,22 +245,37 @@ def separable(shifts: DataFrame, kind: str = "lanczos", **how: float) -> DataFra
 def shift_image(pixels: DataFrame, shifts: DataFrame, kernel: str = "lanczos") -> DataFrame:
     """Each image moved by its sub-pixel shift_y, shift_x.
 
-    Any ``kernel_table`` kind, or ``fourier``: the periodic sinc, one pass along y and one along x.
+    Any ``kernel_table`` kind, or ``fourier``: the periodic sinc, one pass along y and one along x, each line of pixels transformed by itself.
     """
     if kernel != "fourier":
         return convolve(pixels, separable(shifts.select(IMAGE, "shift_y", "shift_x"), kernel).select(IMAGE, "dy", "dx", "k"))
-    size = pixels.groupBy(IMAGE).agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
-    df = pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value"))
-    for axis, other, n, s in (("y", "x", "ny", "shift_y"), ("x", "y", "nx", "shift_x")):
-        to = size.join(shifts, IMAGE).withColumn("to", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).select(IMAGE, "to", n, s)
-        t = F.col("to") - F.col(s) - F.col(axis)
-        u = F.sin(np.pi * t / F.col(n))
-        plain = F.sin(np.pi * t) / F.col(n)
-        w = F.when(F.abs(u) < 1e-12, 1.0).otherwise(plain / F.when(F.col(n) % 2 == 1, u).otherwise(F.tan(np.pi * t / F.col(n))))
-        df = df.join(to, IMAGE).groupBy(*KEYS, F.col("to").alias(axis), other).agg(F.sum(F.col("value") * w).alias("value"))
+    df = pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value")).join(shifts.select(IMAGE, F.col("shift_y").cast("double").alias("shift_y"), F.col("shift_x").cast("double").alias("shift_x")), IMAGE)
+    for axis, other, shift in (("y", "x", "shift_y"), ("x", "y", "shift_x")):
+        lines = df.groupBy(*KEYS, other, "shift_y", "shift_x").agg(F.sort_array(F.collect_list(F.struct(axis, "value"))).alias("line"))
+        size = F.max(F.expr(f"element_at(line, -1).{axis}") + 1).over(Window.partitionBy(IMAGE))
+        moved = lines.select("*", size.alias("n")).select(*KEYS, other, "shift_y", "shift_x", "n", shift_of(axis, shift).alias("line"))
+        df = moved.select(*KEYS, other, "shift_y", "shift_x", F.posexplode("line").alias(axis, "value"))
     return df.select(*KEYS, "y", "x", "value")
 
 
+def shift_of(axis: str, shift: str) -> Column:
+    """A row or column (``line``, gaps are 0, of length ``n``) moved by a periodic sub-pixel shift: a Fourier transform of each line in an Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def moved(at: pd.Series, values: pd.Series, n: pd.Series, by: pd.Series) -> pd.Series:
+        out = []
+        for p, v, size, s in zip(at, values, n, by, strict=True):
+            line = np.zeros(size)
+            line[np.asarray(p, int)] = v
+            turn = np.exp(-2j * np.pi * np.fft.rfftfreq(size) * s)
+            if size % 2 == 0:
+                turn[-1] = np.cos(np.pi * s)
+            out.append(np.fft.irfft(np.fft.rfft(line) * turn, size))
+        return pd.Series(out)
+
+    return moved(F.col(f"line.{axis}"), F.col("line.value"), F.col("n"), F.col(shift))
+
+
 def resample_weights(mapping: DataFrame, window: int = 3) -> DataFrame:
     """image_id, ty, tx, y, x, w: by how much each source pixel near a target pixel counts for it, windowed sincs along both axes.
 
@@ -280,17 +303,17 @@ def resampled_adjoint(pixels: DataFrame, weights: DataFrame) -> DataFrame:
     return resampled(pixels, back)
 
 
-def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True, window: int | None = 3, denoise: int | None = None) -> DataFrame:
+def resample(pixels: DataFrame, mapping: DataFrame, aligned: bool = True, window: int | None = 3, denoise: dict | None = None) -> DataFrame:
     """Sinc interpolation on another grid.
 
     ``mapping`` has image_id, the target's ny, nx and the matrix m_yy, m_yx, m_xy, m_xx, m_y0, m_x0 that takes
     target pixels to source pixels. Aligned grids (m_yx = m_xy = 0) take a row pass and a
     column pass over at most 2 x ``window`` rows or columns; rotated ones take the source pixels within ``window`` along both axes; both by windowed sincs. Without
     a window each source pixel counts for each target pixel: exact, and for small images only. With
-    ``denoise`` images first keep only what the wavelet support over so many scales holds.
+    ``denoise``, the options of ``wavelet_denoise``, images first keep only what their wavelet support holds.
     """
     if denoise:
-        pixels = wavelet_denoise(pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value")), denoise)
+        pixels = wavelet_denoise(pixels.select(*KEYS, "y", "x", F.col("value").cast("double").alias("value")), **denoise)
     if not aligned and window is not None:
         return resampled(pixels, resample_weights(mapping, window))
     sinc = lambda t: F.when(F.abs(t) < 1e-12, 1.0).otherwise(F.sin(np.pi * t) / (np.pi * t))

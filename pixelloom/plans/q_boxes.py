@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.grid import explode_grid
 from pixelloom.operators import boxes as B
+from pixelloom.operators.pixels import sum_coadd
 from pixelloom.operators import detect as D
 from pixelloom.plans import fixtures as X
 from pixelloom.plans.registry import over, query
@@ -113,13 +114,13 @@ def c15(s, d):
     return B.minimal_boxsize(X.boxes(s, d).selectExpr("box_id", "CAST((y1 - y0) * (x1 - x0) AS INT) AS size"))
 
 
-@query("c16_trim_and_center", over(X.V, X.CATALOG, f"""m AS (SELECT o.image_id, o.source_id, o.y AS cy, o.x AS cx, v.y, v.x, v.value FROM catalog o JOIN v USING (image_id) WHERE band = 'click'),
+@query("c16_trim_and_center", over(X.V, X.CATALOG, f"""m AS (SELECT o.image_id, o.source_id, o.y AS cy, o.x AS cx, v.y, v.x, CAST(sum(v.value) AS BIGINT) AS value FROM catalog o JOIN v USING (image_id) GROUP BY ALL),
  r AS (SELECT image_id, source_id, cy, cx, max(CASE WHEN value > 30000 THEN greatest(abs(y - cy), abs(x - cx)) ELSE 0 END) AS reach FROM m GROUP BY ALL),
  z AS (SELECT *, CAST(21 + 10 * ceil(greatest(0, 2 * reach + 1 - 21) / 10.0) AS INTEGER) AS boxsize FROM r)""", select="""SELECT z.image_id, z.source_id, z.boxsize, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CAST(coalesce(CASE WHEN m.value > 30000 THEN m.value END, 0) AS BIGINT) AS value
  FROM z CROSS JOIN range(-60, 90) a(gy) CROSS JOIN range(-60, 90) b(gx) LEFT JOIN m ON m.image_id = z.image_id AND m.source_id = z.source_id AND m.y = gy AND m.x = gx WHERE gy BETWEEN z.cy - z.boxsize // 2 AND z.cy + z.boxsize // 2 AND gx BETWEEN z.cx - z.boxsize // 2 AND z.cx + z.boxsize // 2"""))
 def c16(s, d):
     one = X.catalog(s, d)
-    m = X.v(s, d).where("band = 'click'").join(one.select("image_id", "source_id"), "image_id").select("image_id", "source_id", "y", "x", "value")
+    m = sum_coadd(X.v(s, d)).join(one.select("image_id", "source_id"), "image_id").select("image_id", "source_id", "y", "x", "value")
     return B.trim_and_center(m, one, 30000).withColumn("value", F.col("value").cast("long"))
 
 

@@ -204,13 +204,6 @@ def f18c(s, d):
     return rounded(S.resample(v, m), 3).withColumn("value", F.col("value") + 0)
 
 
-@query("f18_resample_denoised")
-def f18d(s, d):
-    v = X.v(s, d)
-    m = v.select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
-    return rounded(S.resample(v, m, denoise=2), 3)
-
-
 @query("f18_resample_rotated", over(X.V, "c AS (SELECT image_id, CAST(gy AS INTEGER) AS ty, CAST(gx AS INTEGER) AS tx, 0.8e0 * gy - 0.6e0 * gx + 8.5e0 AS ay, 0.6e0 * gy + 0.8e0 * gx + 2.25e0 AS ax FROM (SELECT DISTINCT image_id FROM v) CROSS JOIN range(20) a(gy) CROSS JOIN range(20) b(gx))",
     select="SELECT image_id, band, ty AS y, tx AS x, round(sum(value * " + LANCZOS.format(t="ay - y") + " * " + LANCZOS.format(t="ax - x") + "), 3) + 0 AS value FROM c JOIN v USING (image_id) WHERE abs(ay - y) < 3 AND abs(ax - x) < 3 GROUP BY image_id, band, ty, tx"))
 def f18b(s, d):

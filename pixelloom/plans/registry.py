@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,3 @@ def over(*ctes: str, select: str) -> str:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints of the event cubes with their peaks, centroids and fluxes."""
     return QUERIES["flagship"](spark, sf_dir)
-
-
-MODULES = ["sources", "frames", "boxes", "pixels", "stencil", "detect", "measure", "models", "constrain", "fit", "metrics"]
-for _module in MODULES:
-    importlib.import_module(f"pixelloom.plans.q_{_module}")

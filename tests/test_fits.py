@@ -336,3 +336,50 @@ def test_registered_measurement(spark, sf_dir):
     rows = registry.QUERIES["l11_deblend_and_measure"](spark, sf_dir).collect()
     assert rows and all(r.iterations is None or 1 <= r.iterations <= 100 for r in rows)
     assert registry.QUERIES["j6_init_sources"](spark, sf_dir).count() > 0
+
+
+def test_mask_fill_against_plain_loops(spark):
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[:11, :11]
+    images = [np.exp(-((y - 5) ** 2 + (x - 5) ** 2) / 12.0) + 0.1 * rng.random((11, 11)) for _ in range(3)]
+    for a in images:
+        a[5, 8] = a[2, 5] = 3.0
+    rows = [(0, s, 0, i, j, float(a[i, j])) for s, a in enumerate(images) for i in range(11) for j in range(11)]
+    df = spark.createDataFrame(rows, "image_id long, source_id long, comp_id int, y int, x int, m double")
+    found = {(r.source_id, r.y, r.x): (r.m, r.valid) for r in constrain.monotonic_mask(df, constrain.middle(df), 0.01, max_iter=2).collect()}
+    filled = 0
+    for s, a in enumerate(images):
+        valid, front = {(5, 5): a[5, 5]}, [(5, 5)]
+        around = lambda p: [q for q in ((p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)) if min(q) >= 0 and max(q) < 11]
+        while front:
+            p = front.pop()
+            for q in around(p):
+                if q not in valid and 0 < a[q] < a[p] + 0.01:
+                    valid[q] = a[q]
+                    front.append(q)
+        for _ in range(2):
+            new = {}
+            for p in {q for v in valid for q in around(v)} - set(valid):
+                guess = [2 * valid[u] - valid[v] for dy, dx in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (u := (p[0] + dy, p[1] + dx)) in valid and (v := (p[0] + 2 * dy, p[1] + 2 * dx)) in valid and valid[v] > valid[u]]
+                if guess and np.mean(guess) > 0:
+                    new[p] = np.mean(guess)
+            filled += len(new)
+            valid |= new
+        for p in ((i, j) for i in range(11) for j in range(11)):
+            assert found[s, *p][1] == (p in valid) and np.isclose(found[s, *p][0], valid.get(p, 0.0))
+    assert filled
+
+
+def test_banded_resampling_is_near_the_exact_one(spark):
+    from pixelloom.operators import stencil
+
+    y, x = np.mgrid[:30, :30]
+    a = np.exp(-((y - 14.3) ** 2 + (x - 15.1) ** 2) / 12.0)
+    pixels = spark.createDataFrame(pixel_rows(0, "b", a), PIXELS)
+    mapping = spark.createDataFrame([(0, 14, 14, 2.0, 0.0, 0.0, 2.0, 0.5, 0.25)], "image_id long, ny int, nx int, m_yy double, m_yx double, m_xy double, m_xx double, m_y0 double, m_x0 double")
+    exact, banded = (table(stencil.resample(pixels, mapping, window=w), "band", "y", "x") for w in (None, 3))
+    assert set(exact) == set(banded) and max(abs(exact[k] - banded[k]) for k in exact) < 0.02
+    noisy = spark.createDataFrame(pixel_rows(0, "b", 50 * a + np.random.default_rng(0).normal(size=a.shape)), PIXELS)
+    plain, quiet = (table(stencil.resample(noisy, mapping, denoise=d), "band", "y", "x") for d in (None, {"scales": 3, "max_iter": 4}))
+    error = lambda found: sum((found[k] - 50 * exact[k]) ** 2 for k in exact)
+    assert error(quiet) < 0.6 * error(plain)
