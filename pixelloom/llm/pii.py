@@ -8,6 +8,7 @@ different values of a format different ones.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -214,11 +215,39 @@ def in_place(value: str, made: str) -> str | None:
     return out if out != value else None
 
 
+@lru_cache(maxsize=1)
+def late_days() -> list[int]:
+    """The days whose number in the month is above 12, so that a date with slashes can be read in one order only."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
+
+
 def date(value: str, key: bytes) -> str | None:
+    """The date of a permuted day, written alike.
+
+    With slashes month and day may stand in either order. Dates that could be read both ways are permuted among
+    themselves, as pairs of numbers, and those with a number above 12 among themselves, in their order: so different dates never print alike.
+    """
     mark = re.search(r"\D", value)[0]
     parts = value.split(mark)
-    orders = [(0, 1, 2)] if mark == "-" else [(2, 1, 0)] if mark == "." else [(2, 1, 0), (2, 0, 1)]
-    for year, month, day in orders:
+    if mark == "/":
+        a, b, year = map(int, parts)
+        padded = any(len(p) == 2 and int(p[0]) == 0 for p in parts) or all(len(p) >= 2 for p in parts)
+        if not (1 <= a <= 31 and 1 <= b <= 31 and 1900 <= year <= 2099):
+            return None
+        if max(a, b) <= 12:
+            rest, b = divmod(permuted(((year - 1900) * 12 + a - 1) * 12 + b - 1, 200 * 144, key, "date|either"), 12)
+            year, a = divmod(rest, 12)
+            year, a, b = year + 1900, a + 1, b + 1
+        else:
+            try:
+                n = datetime.date(year, *((b, a) if a > 12 else (a, b))).toordinal()
+            except ValueError:
+                return None
+            days = late_days()
+            made = datetime.date.fromordinal(days[permuted(bisect.bisect_left(days, n), len(days), key, "date|late")])
+            year, (a, b) = made.year, ((made.day, made.month) if a > 12 else (made.month, made.day))
+        return in_place(value, "/".join(f"{v:02d}" if padded else str(v) for v in (a, b, year)))
+    for year, month, day in [(0, 1, 2)] if mark == "-" else [(2, 1, 0)]:
         try:
             n = datetime.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal()
         except ValueError:

@@ -247,6 +247,23 @@ def test_permutation_and_formats():
     assert pii.pseudonymised("x 4521940886194967 y", b"other")[0] != f"x {words['card']} y"
 
 
+@pytest.mark.parametrize("form", ["{m:02d}/{d:02d}/{y}", "{d:02d}/{m:02d}/{y}", "{m}/{d}/{y}", "{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}"])
+def test_dates_are_one_to_one(form):
+    days = [datetime.date.fromordinal(n) for n in range(datetime.date(1950, 1, 1).toordinal(), datetime.date(1980, 1, 1).toordinal())]
+    values = {form.format(y=t.year, m=t.month, d=t.day) for t in days}
+    made = {v: pii.date(v, b"key") for v in values}
+    assert len(set(made.values())) == len(values) and all(m and m != v and len(m) in range(8, 11) for v, m in made.items())
+
+
+def test_dates_of_either_order_are_one_to_one():
+    days = [datetime.date.fromordinal(n) for n in range(datetime.date(1950, 1, 1).toordinal(), datetime.date(1980, 1, 1).toordinal())]
+    values = {f.format(y=t.year, m=t.month, d=t.day) for t in days for f in ("{m:02d}/{d:02d}/{y}", "{d:02d}/{m:02d}/{y}")}
+    made = {v: pii.date(v, b"key") for v in values}
+    assert len(values) == 17594 and len(set(made.values())) == len(values)
+    for v in ("13/13/2000", "00/01/2000", "30/02/2000", "1/2/1899", "12/31/2100"):
+        assert pii.date(v, b"key") is None
+
+
 def test_pii_operator_on_odd_rows(spark):
     df = odd(spark, extra="pii").union(spark.createDataFrame([(99, "call +1 (017) 555-7713 now", "kept", 1)] * 2, odd(spark, extra="pii").schema))
     rows = pii.pseudonymise(df, b"k").collect()
