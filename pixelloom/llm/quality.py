@@ -146,13 +146,14 @@ def aggregated(chain: Chain, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.n
     return np.stack([share, np.log(safe / (1 - safe)) / 4, peak, np.sqrt(share), total / 10], axis=1)
 
 
-def train(rows: list[tuple[str, int]], chunk: int = 64, passes: int = 3) -> QualityModel:
+def train(rows: list[tuple[str, int]], chunk: int = 64, passes: int = 3, first_guess: int = 40_000) -> QualityModel:
     """Fit the field on one half of the rows and the calibration on the other.
 
     All lines of good documents are good. Which lines of a bad document are bad
     isn't known: lines that a line-wise regression holds for bad are taken to be, the worst
     line of each at least, and the field's own marginals replace that guess in
-    each further pass. Training chains are cut to ``chunk`` lines.
+    each further pass. Training chains are cut to ``chunk`` lines. The regression of the first guess takes
+    every n-th line of the sample, at most about twice ``first_guess``; the field itself takes all.
     Without rows of both classes every score is the share of good rows.
     """
     rows = unlike(rows)
@@ -175,7 +176,7 @@ def train(rows: list[tuple[str, int]], chunk: int = 64, passes: int = 3) -> Qual
     x = (x - mean) / scale
     lengths = np.array(lengths)
     poor = np.array([1 - y for _, y in first])[doc] == 1
-    some = np.arange(0, len(x), max(1, len(x) // 40_000))
+    some = np.arange(0, len(x), max(1, len(x) // first_guess))
     bad = probability(x[:, :-1], logistic(x[some][:, :-1], poor[some].astype(float), penalty=1e-2))
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     line, pair = np.zeros(WIDE), np.zeros((2, 2))
