@@ -31,14 +31,19 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(words: np.ndarray, text: str | None) -> bytes:
+    """A 128-bit hash of the words, of the text itself where it has none."""
+    return xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"text:" + (text or "").encode(errors="replace"))
+
+
 def sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, ``same`` (a 128-bit hash of the words, of the text itself where it has none) and ``bands``."""
+    """doc_id, ``same`` (the ``digest``) and ``bands``."""
 
     def kernel(column: pa.Array) -> list[pa.Array]:
         same, bands = [], []
         for t in column.to_pylist():
             words = word_hashes().of(t or "")
-            same.append(xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"text:" + (t or "").encode(errors="replace")))
+            same.append(digest(words, t))
             bands.append(band_keys(words))
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
@@ -229,6 +234,38 @@ def links(df: DataFrame, reps: DataFrame, doc_id: str, text: str, least: float,
     return near.unionByName(compared(rest, least))
 
 
+def further_texts(reps: DataFrame) -> DataFrame | None:
+    """same, rep, node: a number that no id has for each further text that represents the same id; None where every id represents one text.
+
+    An id keeps its own number for the text with the least ``same``. The numbers lie above the ids, or below where those reach 2^62.
+    """
+    named = reps.where("rep IS NOT NULL").select(F.col("rep").cast("long").alias("rep"), "same")
+    more = cut(counted(named, "rep", "same").where("same <> first").select("same", "rep").withColumn("nth", F.monotonically_increasing_id() + 1))
+    if more.isEmpty():
+        return None
+    low, high = named.agg(F.min("rep"), F.max("rep")).first()
+    node = F.lit(high) + F.col("nth") if high < 1 << 62 else F.lit(low) - F.col("nth")
+    return more.select("same", "rep", node.alias("node"))
+
+
+def by_node(source: DataFrame, more: DataFrame) -> DataFrame:
+    """rep, text of ``source`` with the number of each text from ``further_texts`` in place of its id."""
+
+    def kernel(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([digest(word_hashes().of(t or ""), t) for t in column.to_pylist()], pa.binary())]
+
+    shared = more.select("rep").distinct()
+    told = map_columns(source.join(shared, "rep", "left_semi"), "text", [("same", T.BinaryType())], kernel)
+    renamed = told.join(more.select("same", "node"), "same", "left").select(F.coalesce("node", "rep").alias("rep"), "text")
+    return source.join(shared, "rep", "left_anti").select("rep", "text").unionByName(renamed)
+
+
+def least_ids(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root with the least id (``rep`` of ``nodes``) of each component as its root."""
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return counted(whole.join(nodes.select("node", "rep"), "node"), "root", "rep").select("node", F.col("first").alias("root"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, rep_id, class_id for every row of ``df``: near-duplicate classes.
 
@@ -243,12 +280,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Order MinHash values of 2 occurrence-labelled shingles in text order; a pair at the threshold is
     missed with a probability of about 3e-5, and every candidate is verified.
     A text of fewer than five words is one shingle; one without words is only linked to equal texts; null
-    counts as empty. Repeated rows each get their class; rows with a null id get the ids of
+    counts as empty. Repeated rows each get their class; different texts under one id are linked and classed
+    each for itself; rows with a null id get the ids of
     their class, or null where no row of it has an id; ids are integers; other columns are dropped.
     """
     marked = cut(sketched(df, doc_id, text))
     reps = marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = cut(reps)
-    roots = components(links(df, reps.where("rep IS NOT NULL AND size(bands) > 0").select(F.col("rep").cast("long").alias("rep"), "bands"), doc_id, text, least))
-    labels = reps.select("same", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("same", "rep", F.coalesce("root", "rep").alias("class_id"))
+    source = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    nodes = reps.withColumn("node", F.col("rep").cast("long"))
+    more = further_texts(reps)
+    if more is not None:
+        source = by_node(source, more)
+        nodes = reps.join(more.select("same", "node"), "same", "left").withColumn("node", F.coalesce("node", F.col("rep").cast("long")))
+    able = nodes.where("node IS NOT NULL AND size(bands) > 0")
+    roots = components(links(source, able.select(F.col("node").alias("rep"), "bands"), "rep", "text", least))
+    if more is not None:
+        roots = least_ids(roots, nodes)
+    labels = nodes.select("same", "rep", "node").join(roots, "node", "left").select("same", "rep", F.coalesce("root", "rep").alias("class_id"))
     return marked.select("doc_id", "same").join(labels, "same").select("doc_id", F.col("rep").alias("rep_id"), "class_id")

@@ -375,6 +375,27 @@ def test_blocks_of_one_group_meet(spark):
     assert {r.root for r in roots.collect()} == {0} and roots.count() == 59
 
 
+@pytest.mark.parametrize("far", [100, 1 << 62])
+def test_ids_of_different_texts_keep_their_links(spark, far):
+    """Texts under a shared id are classed each for itself, so the near copies of every one of them are found."""
+    rng = random.Random(21)
+    rows = []
+    for base in range(8):
+        w = words(rng, 60)
+        rows.append((far + base % 2, " ".join(w)))  # eight unlike texts under two ids
+        for k in range(base % 3):
+            rows.append((10 * base + k - 20, " ".join([*w[: 10 + k], "other", *w[11 + k :]])))
+    rows += [rows[0], (far, rows[0][1].upper()), (-5, rows[-1][1]), (far, ""), (far + 1, None), (None, rows[0][1]), (None, "one alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = brute([t or "" for _, t in rows])
+    least = {r: min((i for (i, _), q in zip(rows, roots, strict=True) if q == r and i is not None), default=None) for r in set(roots)}
+    key = lambda pair: tuple((x is None, x or 0) for x in pair)
+    expected = sorted([(i, least[r]) for (i, _), r in zip(rows, roots, strict=True)], key=key)
+    found = dedup.near_duplicates(df)
+    assert sorted([(r.doc_id, r.class_id) for r in found.collect()], key=key) == expected
+    assert len({c for _, c in expected}) > 5
+
+
 def test_alignment_band():
     rng = np.random.default_rng(8)
     for _ in range(200):
