@@ -111,6 +111,27 @@ def test_convolution_sign_and_adjoint(spark):
     assert {(r.y, r.x): r.value for r in stencil.convolve_adjoint(image(spark, a), k).collect()}[1, 2] == 2
 
 
+def test_components_of_hot_nodes(spark):
+    """Stars around a least and a greatest node, joined by chance edges: as union-find has it, key by key."""
+    import random
+
+    rng = random.Random(5)
+    edges = [("p", 0, k) for k in range(1, 400)] + [("p", 9000, k) for k in range(1000, 1400)] + [("q", 9000, k) for k in range(300)]
+    edges += [("q", rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)] + [("q", 7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, a, b in edges:
+        one, two = root((k, a)), root((k, b))
+        parent[max(one, two)] = min(one, two)
+    found = {(r.k, r.node): r.root for r in components(spark.createDataFrame(edges, "k string, a long, b long"), ("k",)).collect()}
+    assert found == {x: root(x)[1] for x in parent if root(x) != x}
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101)]
     found = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
