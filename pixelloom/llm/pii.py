@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
-A value that passes its format's check (a card's or account's check digits, a calendar date, address
-ranges) is numbered within its format, the number permuted by a Feistel network under the key, and
+A value that passes its format's check (a card's or account's check digits, a calendar date in numbers or with its
+month's name, address ranges) is numbered within its format, the number permuted by a Feistel network under the key, and
 written back in the same format. Equal values get equal pseudonyms in all documents,
 different values of a format different ones.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 import unicodedata
@@ -49,19 +50,35 @@ def alphabet(c: str) -> str:
     return own if len(own) > 1 else ""
 
 
+# The months' names in the corpus's four languages, and English abbreviations.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+MONTH = "(?:" + "|".join(sorted({m for names in MONTHS.values() for m in names} | {m.capitalize() for x in ("fr", "es") for m in MONTHS[x]}, key=lambda m: (-len(m), m))) + ")"
+WITH_NAME = re.compile(rf"(\d{{1,2}})(st|nd|rd|th|er|\.)?( (?:of |de )?)({MONTH})((?: de|,|\.)? )(\d{{4}})|({MONTH})(\.? )(\d{{1,2}})(st|nd|rd|th)?(,? )(\d{{4}})")
+LONGEST = 1024  # characters that are permuted at once
+
 PATTERN = re.compile(
-    r"(?P<email>[^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b)"
+    r"(?P<block>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?!-----)[\s\S])+-----END (?:[A-Z]+ )*PRIVATE KEY-----)"
+    r"|(?P<jwt>(?<![^\W_])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
+    r"|(?P<email>[^\W_](?:[\w.+%-]|'(?=\w)){0,63}@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,})"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
+    + rf"|(?P<named>(?<![\w./-])(?:{WITH_NAME.pattern.replace("(?:", "(").replace("(", "(?:")})(?!\w))"
+    + r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b)"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w+])(?:\+|00(?=[1-9]))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,8}){1,6}(?!\w)"
     r"|(?<![\w+.,-])0\d(?:[ .-]\d\d){4}(?![\w.-])"
     r"|(?<![\w+.,-])\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]?\d{3,5}(?![\w.-]))"
-    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{1,7}|\d{4}([ -])\d{6}\6\d{5})(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<token>(?<![^\W_])(?:A[KS]IA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,64}|xox[abprs](?:-[A-Za-z0-9]{8,64}){1,4}|sk-[A-Za-z0-9-]{20,64})(?![\w-]))"
-    r"|(?P<assigned>(?<![^\W_])(?i:password|passwd|pwd|secret|api[_-]?key|(?:access|auth)[_-]?token)[\"']?[ \t]*[=:][ \t]*[\"']?(?=[^\s\"',;]*\d)[^\s\"',;]{6,128})"
+    r"|(?P<assigned>(?<![^\W_])(?i:password|passwd|pwd|passwort|kennwort|contraseña|mot de passe|secret|api[_-]?key|(?:access|auth)[_-]?token)[\"']?[ \t]*[=:][ \t]*[\"']?(?=[^\s\"',;]*\d)[^\s\"',;]{6,128})"
     r"|(?P<secret>(?<![^\W_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![^\W_]))"
 )
 
@@ -229,7 +246,7 @@ def date(value: str, key: bytes) -> str | None:
     """
     mark = re.search(r"\D", value)[0]
     parts = value.split(mark)
-    if mark == "/":
+    if mark == "/" and len(parts[0]) < 4:
         a, b, year = map(int, parts)
         padded = any(len(p) == 2 and int(p[0]) == 0 for p in parts) or all(len(p) >= 2 for p in parts)
         if not (1 <= a <= 31 and 1 <= b <= 31 and 1900 <= year <= 2099):
@@ -247,7 +264,7 @@ def date(value: str, key: bytes) -> str | None:
             made = datetime.date.fromordinal(days[permuted(bisect.bisect_left(days, n), len(days), key, "date|late")])
             year, (a, b) = made.year, ((made.day, made.month) if a > 12 else (made.month, made.day))
         return in_place(value, "/".join(f"{v:02d}" if padded else str(v) for v in (a, b, year)))
-    for year, month, day in [(0, 1, 2)] if mark == "-" else [(2, 1, 0)]:
+    for year, month, day in [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0)]:
         try:
             n = datetime.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal()
         except ValueError:
@@ -263,6 +280,41 @@ def date(value: str, key: bytes) -> str | None:
     return None
 
 
+def named_date(value: str, key: bytes) -> str | None:
+    """A date with its month's name: the permuted day of ``date``, in the same language and order."""
+    first = WITH_NAME.fullmatch(value)
+    day, mark, gap, name, comma, year = first.group(1, 2, 3, 4, 5, 6) if first[1] else first.group(9, 10, 8, 7, 11, 12)
+    order = ("de", "en", "short", "fr", "es") if mark == "." else ("en", "short", "de", "fr", "es")
+    names = next(MONTHS[x] for x in order if name in MONTHS[x] or name[0].isupper() and name.lower() in MONTHS[x])
+    try:
+        n = datetime.date(int(year), 1 + [m.lower() for m in names].index(name.lower()), int(day)).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= n <= LAST_DAY:
+        return None
+    made = datetime.date.fromordinal(FIRST_DAY + permuted(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+    month = names[made.month - 1]
+    month = month.capitalize() if name[0].isupper() else month
+    digits = f"{made.day:02d}" if day[0] == "0" else str(made.day)
+    if mark in ("st", "nd", "rd", "th"):
+        mark = "th" if made.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(made.day % 10, "th")
+    if mark == "er" and made.day != 1:
+        mark = ""
+    return f"{digits}{mark or ''}{gap}{month}{comma}{made.year}" if first[1] else f"{month}{gap}{digits}{mark or ''}{comma}{made.year}"
+
+
+def ip6(value: str, key: bytes) -> str | None:
+    """An address of version 6 with at least three groups and a digit, in its shortest form; loopback and the like stay."""
+    try:
+        address = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if len([g for g in value.split(":") if g]) < 3 or not re.search(r"\d", value):
+        return None
+    made = str(ipaddress.IPv6Address(permuted(int(address), 1 << 128, key, "ip6")))
+    return made.upper() if value.upper() == value else made
+
+
 def ip(value: str, key: bytes) -> str | None:
     octets = [int(p) for p in value.split(".")]
     if any(o > 255 for o in octets) or any(len(p) > 1 and int(p[0]) == 0 for p in value.split(".")):
@@ -285,6 +337,25 @@ def token(value: str, key: bytes) -> str | None:
     return None if made is None else value[:lead] + made
 
 
+def in_pieces(value: str, key: bytes, tweak: str) -> str:
+    """``characters`` of each piece of a long value under a tweak of its own, so that work grows with the length only."""
+    pieces = [value[i : i + LONGEST] for i in range(0, len(value), LONGEST)]
+    return "".join(characters(p, key, f"{tweak}|{i}") or p for i, p in enumerate(pieces))
+
+
+def jwt(value: str, key: bytes) -> str | None:
+    """A signed token of three parts: the openings of the first two stay."""
+    head, body, signature = value.split(".")
+    return ".".join([head[:3] + in_pieces(head[3:], key, "jwt"), body[:3] + in_pieces(body[3:], key, "jwt|body"), in_pieces(signature, key, "jwt|signature")])
+
+
+def block(value: str, key: bytes) -> str | None:
+    """A private key between its two lines."""
+    begin, end = value.index("-----", 5) + 5, value.rindex("-----END")
+    made = value[:begin] + in_pieces(value[begin:end], key, "block") + value[end:]
+    return made if made != value else None
+
+
 def secret(value: str, key: bytes) -> str | None:
     if value.isdigit() or value.isalpha():
         return None
@@ -295,12 +366,12 @@ def secret(value: str, key: bytes) -> str | None:
 
 def assigned(value: str, key: bytes) -> str | None:
     """What is assigned to a name such as ``password``, but for the marks at its end; the name stays."""
-    at = re.match(r"[\w-]+[\"']?[ \t]*[=:][ \t]*[\"']?", value).end()
+    at = re.match(r"[^=:]+[=:][ \t]*[\"']?", value).end()
     made = characters(value[at:], key, "assigned")
     return None if made is None else value[:at] + made
 
 
-KINDS = {"email": email, "iban": iban, "phone": phone, "card": card, "ssn": ssn, "date": date, "ip": ip, "token": token, "assigned": assigned, "secret": secret}
+KINDS = {"block": block, "jwt": jwt, "email": email, "ip6": ip6, "named": named_date, "iban": iban, "phone": phone, "card": card, "ssn": ssn, "date": date, "ip": ip, "token": token, "assigned": assigned, "secret": secret}
 
 
 @lru_cache(maxsize=50_000)
@@ -324,7 +395,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
     return ("".join([*parts, text[at:]]), found) if found else (text, found)
 
 
-HINT = re.compile(r"[\d@]|gh[pousr]_|xox[abprs]-|AIza|A[KS]IA|[sr]k_|sk-")
+HINT = re.compile(r"[\d@]|gh[pousr]_|xox[abprs]-|AIza|A[KS]IA|[sr]k_|sk-|eyJ|-----BEGIN")
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pii") -> DataFrame:
