@@ -35,9 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def explode_grid(df: DataFrame, y0: str, y1: str, x0: str, x1: str, y: str = "y", x: str = "x") -> DataFrame:
-    """One row for each pixel of the half-open boxes given by four SQL expressions; empty boxes give none."""
+    """One row for each pixel of the half-open boxes given by four SQL expressions; empty boxes give none.
+
+    Spark expects no more rows after ``explode`` than before, so without the hint a join would broadcast the pixels.
+    """
     rows = df.withColumn(y, F.expr(f"explode(CASE WHEN ({y1}) > ({y0}) THEN sequence(CAST({y0} AS INT), CAST({y1} AS INT) - 1) ELSE array() END)"))
-    return rows.withColumn(x, F.expr(f"explode(CASE WHEN ({x1}) > ({x0}) THEN sequence(CAST({x0} AS INT), CAST({x1} AS INT) - 1) ELSE array() END)"))
+    return rows.withColumn(x, F.expr(f"explode(CASE WHEN ({x1}) > ({x0}) THEN sequence(CAST({x0} AS INT), CAST({x1} AS INT) - 1) ELSE array() END)")).hint("merge")
 
 
 def densify(pixels: DataFrame, fill: dict[str, object] | None = None) -> DataFrame:

@@ -16,12 +16,28 @@ def finished(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.coalesce("value", F.lit(0)).cast("long")).selectExpr("image_id", "band", "y", "x", "value", "1 + value AS variance", "(y + x) % 17 = 0 AS masked")
 
 
+def dense(sums: DataFrame, ny: int, nx: int) -> DataFrame:
+    """Planes of ny x nx pixels from sums (image_id, band, y, x, value): each image and band that has any, 0 where there is none.
+
+    A plane's few sums come together as one row, so no table of pixels is shuffled. The cross joins let Spark
+    expect as many rows as there are: after ``explode`` it takes the pixels for a small table and broadcasts them.
+    """
+    spark, plane = sums.sparkSession, ["image_id", "band"]
+    listed = lambda k, *c: F.map_from_entries(F.collect_list(F.when(F.col(k).isNotNull(), F.struct(k, *c))))
+    # As many tasks as other shuffles have: put together by the size of the sums, they would have too many pixels.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sums.repartition(parts, *plane).groupBy(*plane, "y").agg(listed("x", "value").alias("row"))
+    planes = rows.groupBy(*plane).agg(listed("y", "row").alias("plane"))
+    axis = lambda name, n: spark.range(n).select(F.col("id").cast("int").alias(name))
+    cells = planes.crossJoin(axis("y", ny)).crossJoin(axis("x", nx))
+    at = F.try_element_at(F.try_element_at("plane", F.col("y")), F.col("x"))
+    return cells.select(*plane, "y", "x", F.when(F.col("image_id").isNotNull() & F.col("band").isNotNull(), at).alias("value"))
+
+
 def v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-band cubes of 30 x 24 pixels from the events, dense."""
     e = table(spark, sf_dir, "events").selectExpr("user_id div 6 AS image_id", "event_type AS band", "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS INT) AS y", "CAST(hour(ts) AS INT) AS x", "CAST(round(value * 100) AS BIGINT) AS v")
-    sums = e.groupBy("image_id", "band", "y", "x").agg(F.sum("v").alias("value"))
-    grid = e.select("image_id", "band").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return finished(grid.join(sums, ["image_id", "band", "y", "x"], "left"))
+    return finished(dense(e.groupBy("image_id", "band", "y", "x").agg(F.sum("v").alias("value")), 30, 24))
 
 
 V = """
@@ -36,9 +52,7 @@ v AS (SELECT g.image_id, g.band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) A
 def l(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: E743
     """Three-band density images of 50 x 50 pixels from the line items, dense."""
     e = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey div 5 AS image_id", "l_returnflag AS band", "CAST(l_quantity AS INT) - 1 AS y", "least(49, CAST(floor(l_extendedprice / 2100) AS INT)) AS x")
-    sums = e.groupBy("image_id", "band", "y", "x").agg(F.count(F.lit(1)).alias("value"))
-    grid = e.select("image_id", "band").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    return finished(grid.join(sums, ["image_id", "band", "y", "x"], "left"))
+    return finished(dense(e.groupBy("image_id", "band", "y", "x").agg(F.count(F.lit(1)).alias("value")), 50, 50))
 
 
 L = """
