@@ -131,17 +131,33 @@ def box_overlap_join(a: DataFrame, b: DataFrame, tile: int = 16) -> DataFrame:
     return met.where(f"floor(greatest(y0, y0_b) / {tile}) = ty AND floor(greatest(x0, x0_b) / {tile}) = tx").select(IMAGE, "a_id", "b_id")
 
 
-def box_extract(pixels: DataFrame, boxes: DataFrame, fill: float = 0) -> DataFrame:
-    """A cut-out for each box in box-local y, x, with ``fill`` past the image's edge."""
-    bands = pixels.select(IMAGE, "band").distinct()
-    cells = explode_grid(boxes.join(bands, IMAGE), "y0", "y1", "x0", "x1")
-    out = cells.join(pixels.select(IMAGE, "band", "y", "x", "value"), [IMAGE, "band", "y", "x"], "left")
-    return out.select(IMAGE, "box_id", "band", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), F.coalesce("value", F.lit(fill)).alias("value"))
+def box_extract(pixels: DataFrame, boxes: DataFrame, fill: float = 0, tile: int = 16, corners: bool = False) -> DataFrame:
+    """A cut-out for each box in box-local y, x, with ``fill`` past the image's edge; with ``corners`` also the box's y0 and x0.
+
+    Boxes meet the tiles that they touch, a row each with the pixels of all bands, so pixels and boxes are
+    shuffled, but not the cut-outs, of which there are many more. An image's pixels are those of each y, x and band once.
+    """
+    meet = [IMAGE, "ty", "tx"]
+    listed = lambda k, *c: F.map_from_entries(F.collect_list(F.when(F.col(k).isNotNull(), F.struct(k, *c))))
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    rows = pixels.select(IMAGE, "band", "y", "x", "value", at("y").alias("ty"), at("x").alias("tx")).repartition(*meet).groupBy(*meet, "band", "y").agg(listed("x", "value").alias("row"))
+    tiles = rows.groupBy(*meet, "band").agg(listed("y", "row").alias("plane")).groupBy(*meet).agg(listed("band", "plane").alias("planes"))
+    bands = pixels.select(IMAGE, "band").distinct().groupBy(IMAGE).agg(F.collect_list(F.struct("band")).alias("bands"))
+    parts = tiled(boxes.select(IMAGE, "box_id", *BOUNDS).join(bands, IMAGE), tile).hint("merge").join(tiles, meet, "left").withColumn("b", F.explode("bands"))
+    parts = parts.select(IMAGE, "box_id", *BOUNDS, "ty", "tx", F.col("b.band").alias("band"), F.try_element_at("planes", F.col("b.band")).alias("plane"))
+    cells = explode_grid(parts, *[e for c in "yx" for e in (f"greatest({c}0, t{c} * {tile})", f"least({c}1, (t{c} + 1) * {tile})")])
+    value = F.coalesce(F.try_element_at(F.try_element_at("plane", F.col("y")), F.col("x")), F.lit(fill))
+    kept = [F.col(c) for c in ("y0", "x0") if corners]
+    return cells.select(IMAGE, "box_id", "band", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), value.alias("value"), *kept)
 
 
 def box_insert(pixels: DataFrame, sub: DataFrame, boxes: DataFrame, how: str = "add") -> DataFrame:
-    """Write cut-outs into the image: ``add`` sums all cut-outs onto it, ``replace`` takes the one of the greatest box_id."""
-    there = sub.join(boxes.select(IMAGE, "box_id", "y0", "x0"), [IMAGE, "box_id"]).select(IMAGE, "box_id", "band", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("value").alias("sub"))
+    """Write cut-outs into the image: ``add`` sums all cut-outs onto it, ``replace`` takes the one of the greatest box_id.
+
+    Cut-outs that have their box's y0 and x0 (``box_extract`` with ``corners``) combine where they are, without a join with ``boxes``.
+    """
+    placed = sub if {"y0", "x0"} <= set(sub.columns) else sub.join(boxes.select(IMAGE, "box_id", "y0", "x0"), [IMAGE, "box_id"])
+    there = placed.select(IMAGE, "box_id", "band", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("value").alias("sub"))
     by = [IMAGE, "band", "y", "x"]
     new = there.groupBy(*by).agg((F.sum("sub") if how == "add" else F.max_by("sub", "box_id")).alias("sub"))
     value = F.col("value") + F.coalesce("sub", F.lit(0)) if how == "add" else F.coalesce("sub", "value")

@@ -44,7 +44,7 @@ def c4(s, d):
  FROM v JOIN boxes b ON v.image_id = b.image_id AND v.y >= b.y0 AND v.y < b.y1 AND v.x >= b.x0 AND v.x < b.x1 GROUP BY ALL) s USING (image_id, band, y, x)"""))
 def c5(s, d):
     v, b = X.v(s, d), X.boxes(s, d)
-    return B.box_insert(v, B.box_extract(v, b), b, how="add").select("image_id", "band", "y", "x", F.col("value").cast("long").alias("value"))
+    return B.box_insert(v, B.box_extract(v, b, corners=True), b, how="add").select("image_id", "band", "y", "x", F.col("value").cast("long").alias("value"))
 
 
 @query("c6_box_props", over(X.BOXES, select=f"SELECT {BOX}, y1 - y0 AS height, x1 - x0 AS width, CAST(y0 + (y1 - y0) // 2 AS BIGINT) AS cy, CAST(x0 + (x1 - x0) // 2 AS BIGINT) AS cx, CAST((y1 - y0) * (x1 - x0) AS BIGINT) AS area FROM boxes"))
