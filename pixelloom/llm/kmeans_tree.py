@@ -237,6 +237,16 @@ def widened(found: list[tuple[int, int]], recall: float) -> int:
     return visits
 
 
+def foremost(vectors: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the rows of the ``k`` + 1 least ids.
+
+    Equal vectors have equal scores and ties go to the smaller id, so a row behind k + 1 ids of its own vector is behind
+    k rows with other ids than the query's, whatever the query: it can't be among the ``k`` nearest.
+    """
+    copy = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    return vectors.select("vec_id", "v").withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: float = 0.96, calibrate: int = 256, sample_rows: int = SAMPLE, branch: int = BRANCH, leaf_rows: int = LEAF, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest found, by the largest inner product.
 
@@ -244,10 +254,12 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: floa
     ``recall`` of their true neighbours, which one whole scan tells. A query's search widens in three rounds: the leaves that hold a few times ``k`` rows, an
     eighth of the visits, all visits; each passes on its k-th score as a bound, and the next returns only what reaches it. A
     query that still has fewer than ``k`` searches all leaves, so it gets all candidates where there are fewer. A vector of a width that the tree's sample lacks is searched exactly. Only vectors of the query's width are candidates, none with its id; repeated rows
-    are all candidates; an id is asked once, with its least vector; ties go to the smaller id; other columns are dropped, empty tables give an empty result.
+    are all candidates, of equal vectors those that can be near (``foremost``); an id is asked once, with its least vector; ties go to the smaller id; other columns are dropped, empty tables give an empty result.
     Rows and units are read again where an executor is lost.
     """
     queries = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    # A large group of copies would fill many units, and each would answer with k of them.
+    vectors = cut(foremost(vectors, k))
     trees = fit_trees(vectors, sample_rows, branch, leaf_rows)
     held = units(vectors, trees, unit_rows)
     where = cut(held.select("unit", F.explode(F.arrays_zip("leaves", "counts")).alias("l")).select("unit", F.col("l.leaves").alias("leaf"), F.col("l.counts").alias("n")))

@@ -219,3 +219,19 @@ def test_registered_neighbours(spark, sf_dir):
     for r in QUERIES["op13_kmeans_tree"](spark, sf_dir).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(found[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_large_group_of_equal_vectors(spark):
+    """Copies that can't be among the nearest take no room in the index; what is found is what a whole scan finds."""
+    rng = np.random.default_rng(5)
+    raw = [(i, [1.0, 2.0, 3.0] if i % 2 else rng.normal(size=3).round(2).tolist()) for i in range(600)] + [(1, [1.0, 2.0, 3.0])] * 3
+    vectors = kmeans_tree.usable(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
+    kept = [r.vec_id for r in kmeans_tree.foremost(vectors, 5).collect()]
+    assert sorted(i for i in kept if i % 2) == [1, 1, 1, 1, 3, 5, 7, 9, 11] and sum(i % 2 == 0 for i in kept) == 300
+    found = {}
+    for r in kmeans_tree.neighbours(vectors.where("vec_id % 20 < 2"), vectors, k=5, recall=1.0, calibrate=1000, leaf_rows=8, unit_rows=20).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    first = dict(raw)
+    for q in (i for i in range(600) if i % 20 < 2):
+        near = sorted((-sum(a * b for a, b in zip(first[q], v, strict=True)), i) for i, v in raw if i != q)[:5]
+        assert found[q] == [i for _, i in near]
