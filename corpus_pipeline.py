@@ -47,7 +47,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their places in sequences of 4096 tokens; a null text is one end token."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=600_000)
+    # Workers come from the stages before and an executor's heap has grown by then, so words and batches are fewer than packing's own.
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=150_000, batch_bytes=2 << 20)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

@@ -49,3 +49,18 @@ def test_cut_outs_are_not_shuffled(spark):
         joined = box_insert(p, out, b, how)
         assert sorted(map(str, direct.collect())) == sorted(map(str, joined.collect()))
     assert "box_id" not in [line for line in planned(box_insert(p, box_extract(p, b, corners=True), b)).splitlines() if "Join" in line][0]
+
+
+def test_pipeline_packs_in_little_memory(spark, sf_dir, monkeypatch):
+    """The last stage's workers hold few words and small batches; which don't change what they give."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pixelloom.llm import packing
+
+    given, made = {}, packing.token_pieces
+    monkeypatch.setattr(packing, "token_pieces", lambda *a, **how: given.update(how) or made(*a, **how))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    corpus_pipeline.pack_sequences(spark, docs, sf_dir)
+    assert given["keep_words"] <= 150_000 and given["batch_bytes"] <= 2 << 20
+    path = corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")
+    small, large = (made(docs, path, keep_words=n, batch_bytes=b).selectExpr("doc_id", "piece", "start", "length", "crc32(ids)") for n, b in ((50, 4096), (600_000, 8 << 20)))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
