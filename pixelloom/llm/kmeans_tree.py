@@ -22,7 +22,8 @@ SAMPLE = 8192  # rows that the tree is fitted on, at most
 SAMPLE_BYTES = 32 << 20  # and their components as doubles
 BRANCH = 8  # children of a node
 LEAF = 32  # sample rows of a leaf, at most
-UNIT_ROWS = 8192  # rows of a unit
+UNIT_ROWS = 8192  # rows of a unit, at most
+UNITS, LEAST_ROWS = 16, 512  # smaller units, down to so many rows, where there are fewer than so many
 UNIT_BYTES = 8 << 20
 ASKED = 512  # queries that meet a unit at once
 
@@ -127,6 +128,23 @@ def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarr
         yield width, own, flat[at[own][:, None] + np.arange(width)[None, :]]
 
 
+def shared_out(counts: dict[int, int], widths: dict[int, int], unit_rows: int) -> list[tuple[int, int, int]]:
+    """(leaf, first, parts): neighbouring leaves share a part of at most ``unit_rows`` rows, a larger leaf is dealt over ``parts`` of its own.
+
+    The parts follow from the rows alone, however many tasks there are: each unit that a query visits answers for itself. Few rows still give ``UNITS`` parts.
+    """
+    rows = min(unit_rows, max(LEAST_ROWS, sum(counts.values()) // UNITS))
+    out, first, held, wide = [], 0, 0, None
+    for leaf, n in sorted((leaf, n) for leaf, n in counts.items() if leaf):
+        most = max(1, min(rows, UNIT_BYTES // (8 * widths[leaf])))
+        if held and (widths[leaf] != wide or held + n > most):
+            first, held = first + 1, 0
+        parts = -(-n // max(1, 3 * most // 4)) if n > most else 1  # dealt by a hash, so with room
+        out.append((leaf, first, parts))
+        first, held, wide = (first + parts, 0, None) if parts > 1 else (first, held + n, widths[leaf])
+    return out
+
+
 def units(vectors: DataFrame, trees: dict[int, Tree], unit_rows: int = UNIT_ROWS) -> DataFrame:
     """Every row in a unit: unit, width, leaves and counts (the unit's leaves), of (each row's leaf), ids, data (float32 where that loses nothing)."""
 
@@ -138,7 +156,7 @@ def units(vectors: DataFrame, trees: dict[int, Tree], unit_rows: int = UNIT_ROWS
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), width, np.int32)), pa.array(leaf), *part.columns], names=["width", "leaf", "vec_id", "v"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, ids, leaf, parts, held = -1, [], [], [], 0
+        now, ids, leaf, parts, held = (None, -1), [], [], [], 0
 
         def made() -> pa.RecordBatch:
             matrix, of = np.concatenate(parts), np.concatenate(leaf)
@@ -146,30 +164,40 @@ def units(vectors: DataFrame, trees: dict[int, Tree], unit_rows: int = UNIT_ROWS
             data = small.tobytes() if np.array_equal(small, matrix) else matrix.tobytes()
             own, count = np.unique(of, return_counts=True)
             kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            values = [width, own.tolist(), count.tolist(), of.astype(np.int32).tobytes(), np.concatenate(ids).tobytes(), data]
+            values = [now[1], own.tolist(), count.tolist(), of.astype(np.int32).tobytes(), np.concatenate(ids).tobytes(), data]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["width", "leaves", "counts", "of", "ids", "data"])
 
         for batch in batches:
-            for wide, own, matrix in matrices(batch, "v"):
-                most = max(1, min(unit_rows, UNIT_BYTES // (8 * wide)))
-                own_ids, own_leaf = batch.column("vec_id").to_numpy()[own], batch.column("leaf").to_numpy()[own]
-                for low in range(0, len(own), most):
-                    part = slice(low, low + most)
-                    if held and (wide != width or held + len(own[part]) > most):
-                        yield made()
-                        ids, leaf, parts, held = [], [], [], 0
-                    width = wide
-                    ids.append(own_ids[part])
-                    leaf.append(own_leaf[part])
-                    parts.append(matrix[part])
-                    held += len(own[part])
+            part_of = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part_of)) + 1).tolist(), len(part_of)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                piece = batch.slice(at, to - at)
+                for wide, own, matrix in matrices(piece, "v"):
+                    most = max(1, min(unit_rows, UNIT_BYTES // (8 * wide)))
+                    own_ids, own_leaf = piece.column("vec_id").to_numpy()[own], piece.column("leaf").to_numpy()[own]
+                    for low in range(0, len(own), most):
+                        part = slice(low, low + most)
+                        if held and ((part_of[at], wide) != now or held + len(own[part]) > most):
+                            yield made()
+                            ids, leaf, parts, held = [], [], [], 0
+                        now = (part_of[at], wide)
+                        ids.append(own_ids[part])
+                        leaf.append(own_leaf[part])
+                        parts.append(matrix[part])
+                        held += len(own[part])
         if held:
             yield made()
 
     placed = vectors.select("vec_id", "v").mapInArrow(assign, "width int, leaf int, vec_id long, v array<double>")
-    # By leaf and id: a leaf of very many rows goes to several tasks.
-    ranged = placed.repartitionByRange("width", "leaf", "vec_id").sortWithinPartitions("width", "leaf")
-    packed = ranged.mapInArrow(pack, "width int, leaves array<int>, counts array<long>, of binary, ids binary, data binary")
+    counts = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the trees have leaves
+    widths = {leaf: width for width, tree in trees.items() for leaf in tree.leaf if leaf > 0}
+    shares = vectors.sparkSession.createDataFrame(shared_out(counts, widths, unit_rows), "leaf int, first long, parts long")
+    # Vectors in leaf 0 are dealt width by width.
+    rest = -(-counts.get(0, 0) // max(1, 3 * unit_rows // 4)) or 1
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), n)
+    part = F.when(F.col("leaf") > 0, F.col("first") + dealt(F.col("parts"))).otherwise(-1 - F.col("width").cast("long") * rest - dealt(F.lit(rest)))
+    keyed = placed.join(F.broadcast(shares), "leaf", "left").select("width", "leaf", "vec_id", "v", part.alias("part"))
+    packed = keyed.repartition("part").sortWithinPartitions("part", "width", "leaf").mapInArrow(pack, "width int, leaves array<int>, counts array<long>, of binary, ids binary, data binary")
     return cut(packed.withColumn("unit", F.monotonically_increasing_id()))
 
 

@@ -235,3 +235,28 @@ def test_large_group_of_equal_vectors(spark):
     for q in (i for i in range(600) if i % 20 < 2):
         near = sorted((-sum(a * b for a, b in zip(first[q], v, strict=True)), i) for i, v in raw if i != q)[:5]
         assert found[q] == [i for _, i in near]
+
+
+def test_units_follow_the_rows_and_not_the_partitions(spark):
+    """Each unit answers a query with its own best rows, so units that follow the number of partitions multiply the answers."""
+    rng = np.random.default_rng(5)
+    raw = [(i, rng.normal(size=4).tolist()) for i in range(3000)] + [(3000 + i, [1.0, 1.0, 1.0, 1.0 + i / 4096]) for i in range(1500)] + [(4500 + i, [1.0] * (5 + i % 3)) for i in range(9)]
+    vectors = kmeans_tree.usable(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
+    trees = kmeans_tree.fit_trees(vectors.where("size(v) = 4"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        held = kmeans_tree.units(vectors, trees).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    found = [i for r in held for i in np.frombuffer(r.ids, np.int64).tolist()]
+    assert sorted(found) == list(range(4509))
+    assert 8 <= len([r for r in held if r.width == 4]) <= 24 and len([r for r in held if r.width > 4]) == 3
+    assert max(sum(r.counts) for r in held) <= kmeans_tree.UNIT_ROWS and len({r.unit for r in held}) == len(held)
+
+
+def test_large_leaves_are_dealt_over_parts_of_their_own():
+    shares = kmeans_tree.shared_out({0: 7, 1: 40, 2: 50, 3: 1000, 4: 30, 5: 30}, {1: 8, 2: 8, 3: 8, 4: 8, 5: 3}, 100)
+    assert shares == [(1, 0, 1), (2, 0, 1), (3, 1, 14), (4, 15, 1), (5, 16, 1)]
