@@ -2,51 +2,112 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, cut
 from pixelloom.operators.boxes import box_overlap_join
+from pixelloom.operators.tiles import LEAD, SIDE, each_pixel, gathered
 
 ROW = 65536  # a region is named by y * ROW + x of its first pixel, in wider images by y * (their largest x + 1) + x
 
 
+def joined_runs(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers 0 to ``n`` - 1 that each is linked with by pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def regions(tile: np.ndarray, ty: np.ndarray, tx: np.ndarray, y: np.ndarray, x: np.ndarray, fields: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The first pixel (ly, lx) of each pixel's region within its tile, and whether the pixel touches a tile before or behind its own."""
+    in_y, in_x = y + LEAD - ty * SIDE, x + LEAD - tx * SIDE
+    place = (tile * (SIDE + 1) + in_y) * (SIDE + 1) + in_x  # one more than a tile's side, so rows and tiles never touch
+    by = np.argsort(place, kind="stable")
+    at = place[by]
+    starts = np.concatenate(([True], np.diff(at) > 1))[: len(at)]
+    run = np.cumsum(starts) - 1
+    below = np.searchsorted(at, at + SIDE + 1)
+    met = (below < len(at)) & (at[np.minimum(below, len(at) - 1)] == at + SIDE + 1) if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(starts)
+    head = by[first[joined_runs(run[met], run[below[met]], len(first))]][run]
+    ly, lx = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    ly[by], lx[by] = y[head], x[head]
+    return np.arange(len(by)), [ly, lx, (in_y == 0) | (in_y == SIDE - 1) | (in_x == 0) | (in_x == SIDE - 1)]
+
+
 def label_components(pixels: DataFrame, thresh: float | str = 0, keys: tuple[str, ...] = (IMAGE,)) -> DataFrame:
     """keys, y, x, value, label: the 4-connected regions of pixels above ``thresh`` (a number or a column's name).
 
-    Pixels are first joined to runs within a row by a window; regions are then the
-    connected components of the much smaller graph of runs that touch in successive rows.
+    Tiles of pixels find their own regions by runs of neighbouring columns; only where regions touch at the tiles' edges
+    are they joined, as the connected components of the graph of those that touch. The result is written to the checkpoint folder.
     """
     k = list(keys)
-    lit = pixels.where(F.col("value") > (F.col(thresh) if isinstance(thresh, str) else F.lit(thresh))).select(*k, "y", "x", "value")
-    lit = lit.join(lit.groupBy(*k).agg(F.greatest(F.lit(ROW), F.max("x") + 1).cast("long").alias("row")), k)
-    line = Window.partitionBy(*k, "y").orderBy("x")
-    # Consecutive columns share x - rank, and so name their run.
-    marked = cut(lit.withColumn("gap", F.col("x") - F.row_number().over(line)).withColumn("run", F.col("y").cast("long") * F.col("row") + F.min("x").over(Window.partitionBy(*k, "y", "gap"))).drop("gap", "row"))
-    here = marked.select(*k, "y", "x", F.col("run").alias("a"))
-    below = marked.select(*k, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("b"))
-    roots = components(here.join(below, [*k, "y", "x"]).select(*k, "a", "b").distinct(), keys).withColumnRenamed("node", "run")
-    return marked.join(roots, [*k, "run"], "left").select(*k, "y", "x", "value", F.coalesce("root", "run").alias("label"))
+    lit = pixels.where(F.col("value") > (F.col(thresh) if isinstance(thresh, str) else F.lit(thresh))).select(*k, "y", "x", "value").dropna(subset=[*k, "y", "x"])
+    marked = cut(each_pixel(gathered(lit, keys, ["value"]), keys, regions, [("ly", "long"), ("lx", "long"), ("edge", "boolean")]))
+    widest, edges = marked.agg(F.max("x"), F.max("edge")).first()
+    row = F.lit(ROW).cast("long")
+    if widest is not None and widest >= ROW:
+        marked = marked.join(marked.groupBy(*k).agg(F.greatest(F.lit(ROW), F.max("x") + 1).cast("long").alias("row")), k)
+        row = F.col("row")
+    labelled = marked.select(*k, "y", "x", "value", (F.col("ly") * row + F.col("lx")).alias("run"), "edge")
+    if not edges:
+        return labelled.select(*k, "y", "x", "value", F.col("run").alias("label"))
+    rim = labelled.where("edge")
+    links = None
+    for axis, other in (("y", "x"), ("x", "y")):
+        side = F.pmod(F.col(axis) + LEAD, F.lit(SIDE))
+        here = rim.where(side == SIDE - 1).select(*k, (F.col(axis) + 1).alias(axis), other, F.col("run").alias("a"))
+        near = here.join(rim.where(side == 0).select(*k, axis, other, F.col("run").alias("b")), [*k, axis, other]).select(*k, "a", "b")
+        links = near if links is None else links.unionByName(near)
+    roots = components(links.distinct(), keys).withColumnRenamed("node", "run")
+    return cut(labelled.join(roots, [*k, "run"], "left").select(*k, "y", "x", "value", F.coalesce("root", "run").alias("label")))
 
 
 def footprints(pixels: DataFrame, thresh: float | str = 0, min_area: int = 4, keys: tuple[str, ...] = (IMAGE,)) -> tuple[DataFrame, DataFrame]:
     """Regions with a box area above ``min_area`` and at least ``min_area`` pixels: their table (label, half-open box, area) and their pixels."""
-    labelled = cut(label_components(pixels, thresh, keys))
+    labelled = label_components(pixels, thresh, keys)
     table = labelled.groupBy(*keys, "label").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.count(F.lit(1)).alias("area"))
     table = table.where(f"(y1 - y0) * (x1 - x0) > {min_area} AND area >= {min_area}")
     return table, labelled.join(table.select(*keys, "label"), [*keys, "label"], "left_semi")
 
 
+def strict_maxima(tile: np.ndarray, ty: np.ndarray, tx: np.ndarray, y: np.ndarray, x: np.ndarray, fields: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of the tiles' own pixels above their 8 neighbours of the same label; nulls are no neighbours, NaN is above all numbers."""
+    value = fields["value"]
+    rank = np.full(len(tile), -1)
+    if (known := value.is_valid().to_numpy(zero_copy_only=False)).any():
+        rank[known] = np.unique(value.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    name = np.unique(fields["label"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    wide = SIDE + 4  # a tile with its halo, and an empty column and row
+    group = np.unique(tile * (name.max(initial=0) + 1) + name, return_inverse=True)[1]
+    place = (group * wide + y + LEAD - ty * SIDE + 1) * wide + x + LEAD - tx * SIDE + 1
+    by = np.lexsort((rank, place))
+    at = place[by]
+    near = np.full(len(place), -1)
+    for step in (dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx):
+        last = np.searchsorted(at, place + step, side="right") - 1  # of repeated pixels the highest
+        met = (last >= 0) & (at[last] == place + step)
+        near[met] = np.maximum(near[met], rank[by[last[met]]])
+    own = ((y + LEAD) // SIDE == ty) & ((x + LEAD) // SIDE == tx)
+    return np.flatnonzero(own & ((near < 0) | (rank > near))), []
+
+
 def local_maxima(fp_pixels: DataFrame, keys: tuple[str, ...] = (IMAGE,)) -> DataFrame:
     """keys, label, y, x, flux, rank: pixels strictly above their 8 neighbours of the same footprint, brightest first.
 
-    A plateau has no strict maximum and gives no peak.
+    A plateau has no strict maximum and gives no peak. Pixels meet in tiles with a halo of one pixel.
     """
     k = [*keys, "label"]
-    steps = ", ".join(f"({dy}, {dx})" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
-    seen = fp_pixels.selectExpr(*k, "y", "x", "value", f"inline(array({steps})) AS (dy, dx)").groupBy(*k, F.expr("y + dy AS y"), F.expr("x + dx AS x")).agg(F.max("value").alias("near"))
-    peaks = fp_pixels.join(seen, [*k, "y", "x"], "left").where("near IS NULL OR value > near")
+    lists = gathered(fp_pixels.select(*k, "y", "x", "value").dropna(subset=[*k, "y", "x"]), keys, ["value", "label"], 1)
+    peaks = each_pixel(lists, keys, strict_maxima, [])
     rank = F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("value"), "y", "x"))
     return peaks.select(*k, "y", "x", F.col("value").alias("flux"), rank.alias("rank"))
 

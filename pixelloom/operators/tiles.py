@@ -108,3 +108,48 @@ def split_planes(pixels: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, D
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     m = many.alias("m")
     return lists.alias("l").join(m, same, "left_anti"), pixels.alias("l").join(m, same, "left_semi")
+
+
+def gathered(df: DataFrame, keys: tuple[str, ...], columns: list[str], halo: int = 0) -> DataFrame:
+    """keys, ty, tx and ``pixels``: the tile's rows as a list of structs of y, x and ``columns`` in their own types, in any order."""
+    for axis, t in (("y", "ty"), ("x", "tx")):
+        ends = [F.floor((F.col(axis) + LEAD + d) / SIDE).cast("int") for d in (-halo, halo)]
+        df = df.withColumn(t, F.explode(F.sequence(*ends)) if halo else tile_of(axis))
+    return df.groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct("y", "x", *columns)).alias("pixels"))
+
+
+def each_pixel(lists: DataFrame, keys: tuple[str, ...], make: Callable[..., tuple[np.ndarray, list[np.ndarray]]], out: list[tuple[str, str]]) -> DataFrame:
+    """keys, y, x, the other columns of ``pixels`` and ``out`` (names and types) for some of the tiles' pixels.
+
+    ``make(tile, ty, tx, y, x, fields)`` takes the pixels of several whole tiles, ``tile`` numbers them from 0, and gives the places of those that it keeps and their new columns.
+    """
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    inner = lists.schema["pixels"].dataType.elementType
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in (*lists.select(*keys).schema.fields, *inner.fields)]
+
+    def done(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index("pixels"))
+        flat = column.flatten()
+        fields = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+        tile = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        ty, tx = (batch.column(batch.schema.get_field_index(t)).to_numpy().astype(np.int64) for t in ("ty", "tx"))
+        y, x = (fields[c].to_numpy().astype(np.int64) for c in ("y", "x"))
+        kept, made = make(tile, ty[tile], tx[tile], y, x, fields)
+        at = pa.array(tile[kept])
+        columns = [batch.column(batch.schema.get_field_index(k)).take(at) for k in keys] + [f.take(pa.array(kept)) for f in fields.values()]
+        columns += [pa.array(m, kinds[t]) for m, (_, t) in zip(made, out, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *fields, *[n for n, _ in out]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index("pixels")).value_lengths().to_numpy(zero_copy_only=False)
+            low, held = 0, 0
+            for r, n in enumerate(sizes.tolist()):
+                if r > low and held + n > CELLS:
+                    yield done(batch.slice(low, r - low))
+                    low, held = r, 0
+                held += n
+            if batch.num_rows:
+                yield done(batch.slice(low))
+
+    return lists.mapInArrow(run, ", ".join([*names, *[f"`{n}` {t}" for n, t in out]]))

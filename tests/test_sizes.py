@@ -1,5 +1,6 @@
 """What keeps large tables whole and off the driver: plans and bounds of the steps that many queries share."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,59 @@ def test_norms_are_made_once_a_size(spark, monkeypatch):
     alone = stencil.starlet_norm(frames.where("image_id = 7"), 2).collect()
     assert {(r.scale, r.norm) for r in alone} == {(r.scale, r.norm) for r in norms.where("image_id = 7").collect()}
     assert units[0].select("image_id").distinct().count() == 2
+
+
+def brute_regions(lit):
+    root = {p: p for p in lit}
+
+    def find(p):
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    for y, x in lit:
+        for q in ((y + 1, x), (y, x + 1)):
+            if q in root:
+                a, b = sorted((find((y, x)), find(q)))
+                root[b] = a
+    return {p: find(p) for p in lit}
+
+
+def test_regions_in_tiles_and_over_their_edges(spark):
+    """Regions of images in one tile need no rounds of joins; those over tiles' edges are joined, whatever the coordinates."""
+    from pixelloom.operators import detect
+
+    rng = np.random.default_rng(3)
+    images = {1: {(y, x) for y in range(40) for x in range(30) if rng.random() < 0.6}, 2: {(y, x) for y in range(-70, -50) for x in range(180, 460) if rng.random() < 0.65}, 3: {(190 + i, 191 + j) for i in range(5) for j in range(3) if i % 2 == 0 or j == (i // 2) % 2 * 2}}
+    rows = [(i, y, x, 2.0) for i, lit in images.items() for y, x in lit] + [(1, y, x, 0.5) for y in range(40) for x in range(30) if (y, x) not in images[1]] + [(4, 0, 70000, 2.0), (4, 1, 70000, 2.0), (4, 1, 69999, 2.0), (None, 0, 0, 2.0)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, value double")
+    got = {(r.image_id, r.y, r.x): r.label for r in detect.label_components(df, 1).collect()}
+    want = {(i, y, x): a * detect.ROW + b for i, lit in images.items() for (y, x), (a, b) in brute_regions(lit).items()} | {(4, y, x): 70000 for y, x in ((0, 70000), (1, 70000), (1, 69999))}
+    assert got == want
+    rounds = detect.components
+    try:
+        detect.components = None
+        assert {(r.image_id, r.y, r.x): r.label for r in detect.label_components(df.where("image_id = 1"), 1).collect()} == {k: v for k, v in want.items() if k[0] == 1}
+        assert detect.label_components(df.where("value > 9"), 1).count() == 0
+    finally:
+        detect.components = rounds
+
+
+def test_maxima_of_footprints_that_share_pixels_or_tiles(spark):
+    from pixelloom.operators import detect
+
+    rng = np.random.default_rng(4)
+    nan = float("nan")
+    rows = [(1, 7, y, x, int(rng.integers(9))) for y in range(185, 200) for x in range(188, 198)] + [(1, 8, y, x, int(rng.integers(9))) for y in range(190, 194) for x in range(190, 194)] + [(2, 7, 0, 0, 3), (2, 7, 0, 1, 3), (2, 7, 5, 5, None), (2, 7, 9, 9, None), (2, 7, 9, 8, 1), (2, 7, 20, 20, 4), (2, 7, 20, 20, 5), (2, 7, 21, 20, 4)]
+    df = spark.createDataFrame(rows, "image_id long, label long, y int, x int, value long")
+    want = set()
+    for i, label, y, x, v in rows:
+        near = [w for j, other, b, a, w in rows if (j, other) == (i, label) and (b, a) != (y, x) and abs(b - y) <= 1 and abs(a - x) <= 1 and w is not None]
+        if not near or v is not None and v > max(near):
+            want.add((i, label, y, x, v))
+    found = detect.local_maxima(df)
+    assert dict(found.dtypes)["flux"] == "bigint" and {(r.image_id, r.label, r.y, r.x, r.flux) for r in found.collect()} == want
+    odd = spark.createDataFrame([(1, 1, 0, 0, 5.0), (1, 1, 0, 1, nan), (1, 1, 1, 1, float("inf")), (1, 2, 0, 0, nan), (1, 2, 0, 1, nan), (1, 3, 0, 0, 0.0), (1, 3, 0, 1, -0.0)], "image_id long, label long, y int, x int, value double")
+    assert [(r.label, r.y, r.x) for r in detect.local_maxima(odd).collect()] == [(1, 0, 1)]
+    assert "Generate inline" not in planned(found)
