@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.graph import components
 from pixelloom.functions.grid import IMAGE, cut
 from pixelloom.operators.boxes import box_overlap_join
-from pixelloom.operators.tiles import LEAD, SIDE, each_pixel, gathered
+from pixelloom.operators.tiles import CELLS, LEAD, SIDE, each_pixel, gathered, pieces
 
 ROW = 65536  # a region is named by y * ROW + x of its first pixel, in wider images by y * (their largest x + 1) + x
 
@@ -140,16 +143,53 @@ def scale_footprints(coeffs: DataFrame, scales: int, min_area: int = 4) -> tuple
     return footprints(coeffs.where(F.col("scale") < scales), 0, min_area, (IMAGE, "scale"))
 
 
-def footprint_overlap_join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (IMAGE,), salts: int = 16) -> DataFrame:
+def shared_pixels(pixel: np.ndarray, tile: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile, a, b, n) of the labels that share pixels, in parts of about ``CELLS`` pairs; repeated pixels of a label count once."""
+    many_a, many_b = a.max(initial=0) + 1, b.max(initial=0) + 1
+    tile_of_pixel = np.zeros(pixel.max(initial=0) + 1, np.int64)
+    tile_of_pixel[pixel] = tile
+    at_a, own_a = np.divmod(np.unique(pixel[first] * many_a + a[first]), many_a)
+    at_b, own_b = np.divmod(np.unique(pixel[~first] * many_b + b[~first]), many_b)
+    low = np.searchsorted(at_b, at_a)
+    n = np.searchsorted(at_b, at_a, side="right") - low
+    done = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + CELLS, side="right")))
+        own = np.repeat(np.arange(at, to), n[at:to])
+        other = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+        pair, count = np.unique((tile_of_pixel[at_a[own]] * many_a + own_a[own]) * many_b + own_b[other], return_counts=True)
+        yield pair // many_b // many_a, pair // many_b % many_a, pair % many_b, count
+        at = to
+
+
+def footprint_overlap_join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (IMAGE,), tile: int = 64) -> DataFrame:
     """keys, a_id, b_id, n: footprints (tables keys, label, y, x) that share pixels, and how many.
 
-    An equi-join on the pixel; counts come together in parts first, so a huge pair of footprints is no hot key.
+    Pixels of both meet in tiles, which count their pairs; only pairs are shuffled again, so a huge pair of footprints is no hot key.
     Repeated pixels of a footprint count once.
     """
     k = list(keys)
-    left = a.select(*k, "y", "x", F.col("label").alias("a_id")).distinct()
-    right = b.select(*k, "y", "x", F.col("label").alias("b_id")).distinct()
-    parts = left.join(right, [*k, "y", "x"]).groupBy(*k, "a_id", "b_id", F.pmod(F.col("y"), F.lit(salts)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda df, first: df.select(*k, "y", "x", F.lit(first).alias("first"), (F.col("label") if first else F.lit(None).cast(a.schema["label"].dataType)).alias("a_id"), (F.lit(None).cast(b.schema["label"].dataType) if first else F.col("label")).alias("b_id"))
+    cells = side(a, True).unionByName(side(b, False)).dropna(subset=[*k, "y", "x"])
+    lists = cells.groupBy(*k, F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).agg(F.collect_list(F.struct("y", "x", "first", "a_id", "b_id")).alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                column = part.column(part.schema.get_field_index("pixels"))
+                y, x, first, *ids = column.flatten().flatten()
+                number = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                place = (number * tile + y.to_numpy().astype(np.int64) % tile) * tile + x.to_numpy().astype(np.int64) % tile
+                named = [i.dictionary_encode(null_encoding="encode") for i in ids]
+                codes = [i.indices.to_numpy(zero_copy_only=False).astype(np.int64) for i in named]
+                for t, own_a, own_b, n in shared_pixels(np.unique(place, return_inverse=True)[1], number, first.to_numpy(zero_copy_only=False), *codes):
+                    columns = [part.column(part.schema.get_field_index(c)).take(pa.array(t)) for c in k]
+                    columns += [i.dictionary.take(pa.array(own)) for i, own in zip(named, (own_a, own_b), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], names=[*k, "a_id", "b_id", "n"])
+
+    kinds = [*lists.select(*k).schema.fields, *cells.select("a_id", "b_id").schema.fields]
+    parts = lists.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], "n long"]))
     return parts.groupBy(*k, "a_id", "b_id").agg(F.sum("n").alias("n"))
 
 

@@ -118,6 +118,19 @@ def gathered(df: DataFrame, keys: tuple[str, ...], columns: list[str], halo: int
     return df.groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct("y", "x", *columns)).alias("pixels"))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of ``gathered`` rows in parts of at most ``CELLS`` pixels, or one tile."""
+    sizes = batch.column(batch.schema.get_field_index("pixels")).value_lengths().to_numpy(zero_copy_only=False)
+    low, held = 0, 0
+    for r, n in enumerate(sizes.tolist()):
+        if r > low and held + n > CELLS:
+            yield batch.slice(low, r - low)
+            low, held = r, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(low)
+
+
 def each_pixel(lists: DataFrame, keys: tuple[str, ...], make: Callable[..., tuple[np.ndarray, list[np.ndarray]]], out: list[tuple[str, str]]) -> DataFrame:
     """keys, y, x, the other columns of ``pixels`` and ``out`` (names and types) for some of the tiles' pixels.
 
@@ -142,14 +155,6 @@ def each_pixel(lists: DataFrame, keys: tuple[str, ...], make: Callable[..., tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(batch.schema.get_field_index("pixels")).value_lengths().to_numpy(zero_copy_only=False)
-            low, held = 0, 0
-            for r, n in enumerate(sizes.tolist()):
-                if r > low and held + n > CELLS:
-                    yield done(batch.slice(low, r - low))
-                    low, held = r, 0
-                held += n
-            if batch.num_rows:
-                yield done(batch.slice(low))
+            yield from map(done, pieces(batch))
 
     return lists.mapInArrow(run, ", ".join([*names, *[f"`{n}` {t}" for n, t in out]]))

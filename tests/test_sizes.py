@@ -172,3 +172,41 @@ def test_maxima_of_footprints_that_share_pixels_or_tiles(spark):
     odd = spark.createDataFrame([(1, 1, 0, 0, 5.0), (1, 1, 0, 1, nan), (1, 1, 1, 1, float("inf")), (1, 2, 0, 0, nan), (1, 2, 0, 1, nan), (1, 3, 0, 0, 0.0), (1, 3, 0, 1, -0.0)], "image_id long, label long, y int, x int, value double")
     assert [(r.label, r.y, r.x) for r in detect.local_maxima(odd).collect()] == [(1, 0, 1)]
     assert "Generate inline" not in planned(found)
+
+
+def test_shared_pixels_of_footprints(spark):
+    """Over tiles' edges, with repeated pixels, nameless footprints and images: the same as a join by the pixel, which isn't shuffled."""
+    from pixelloom.operators import detect
+
+    rng = np.random.default_rng(6)
+    made = lambda: [(int(i), int(n), int(y), int(x)) for i, n, y, x in zip(rng.integers(2, size=400), rng.integers(5, size=400), rng.integers(-5, 4, size=400), rng.integers(58, 70, size=400), strict=True)]
+    a, b = made() + [(1, None, 0, 60), (None, 1, 0, 60)], made() + [(1, 2, 0, 60), (None, 1, 0, 60)]
+    schema = "image_id long, label long, y int, x int"
+    want = {}
+    for i, n, y, x in set(a):
+        for j, m, v, u in set(b):
+            if i is not None and (i, y, x) == (j, v, u):
+                want[i, n, m] = want.get((i, n, m), 0) + 1
+    found = detect.footprint_overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema.replace("label long", "label int")))
+    assert {(r.image_id, r.a_id, r.b_id): r.n for r in found.collect()} == want and len(want) > 40
+    assert dict(found.dtypes) == {"image_id": "bigint", "a_id": "bigint", "b_id": "int", "n": "bigint"} and "Join" not in planned(found)
+
+
+def test_shared_pixels_come_in_parts(monkeypatch):
+    from pixelloom.operators import detect
+
+    rng = np.random.default_rng(7)
+    pixel, first, a, b = rng.integers(40, size=600), rng.random(600) < 0.5, rng.integers(6, size=600), rng.integers(6, size=600)
+
+    def counted():
+        out, most = {}, 0
+        for part in detect.shared_pixels(np.unique(pixel, return_inverse=True)[1], pixel // 10, first, a, b):
+            most = max(most, int(part[3].sum()))
+            for t, i, j, n in zip(*(c.tolist() for c in part), strict=True):
+                out[t, i, j] = out.get((t, i, j), 0) + n
+        return out, most
+
+    whole, _ = counted()
+    monkeypatch.setattr(detect, "CELLS", 50)
+    parts, most = counted()
+    assert parts == whole and most <= 50 and sum(whole.values()) > 500
