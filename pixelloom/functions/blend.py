@@ -16,13 +16,13 @@ NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
 
 def shifted(a: np.ndarray, entries: list[tuple[int, int, float]], sign: int = 1) -> np.ndarray:
-    """The sum of ``a`` moved by every kernel entry; what leaves the array is lost."""
+    """The sum of ``a`` (one plane or several) moved by every kernel entry; what leaves the array is lost."""
     out = np.zeros_like(a)
-    h, w = a.shape
+    h, w = a.shape[-2:]
     for dy, dx, k in entries:
         dy, dx = sign * dy, sign * dx
         if abs(dy) < h and abs(dx) < w:
-            out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] += k * a[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
+            out[..., max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] += k * a[..., max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
     return out
 
 
@@ -80,11 +80,15 @@ def thresholded(coeffs: np.ndarray, thresh: float) -> np.ndarray:
 
 @functools.lru_cache(maxsize=512)
 def rings(ny: int, nx: int, cy: int, cx: int, weight: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From the inside out: places, their inner neighbours (flat) and their weights, for one shape and centre."""
+    """From the inside out: places, their inner neighbours (flat) and their weights, for one shape and centre.
+
+    Rings of different radii come together as one step where none of their pixels waits for another: a few steps a row instead of one for each radius.
+    """
     y, x = (a.ravel() for a in np.mgrid[:ny, :nx])
     ry, rx = y - cy, x - cx
     d2 = ry**2 + rx**2
-    out = []
+    step = np.zeros(ny * nx, np.int64)
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     order = np.argsort(d2, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(d2[order])) + 1):
         r = d2[at[0]]
@@ -97,10 +101,14 @@ def rings(ny: int, nx: int, cy: int, cx: int, weight: str) -> list[tuple[np.ndar
             fits = (ny_ >= 0) & (ny_ < ny) & (nx_ >= 0) & (nx_ < nx) & ((ry[at] + dy) ** 2 + (rx[at] + dx) ** 2 < r) & (np.abs(cos) > 1e-12)
             near[fits, i] = (ny_ * nx + nx_)[fits]
             share[fits, i] = 1.0 if weight == "flat" else cos[fits]
+        step[at] = 1 + np.where(share != 0, step[near], 0).max(axis=1)
         total = share.sum(axis=1)
         has = total > 0
-        out.append((at[has], near[has], share[has] / total[has, None]))
-    return out
+        at, near, share = at[has], near[has], share[has] / total[has, None]
+        for n in np.unique(step[at]).tolist():
+            own = step[at] == n
+            held.setdefault(n, []).append((at[own], near[own], share[own]))
+    return [tuple(np.concatenate(part) for part in zip(*held[n], strict=True)) for n in sorted(held)]
 
 
 def monotonic(m: np.ndarray, cy: int, cx: int, weight: str = "angle", min_gradient: float = 0) -> np.ndarray:
@@ -212,16 +220,27 @@ def gradient(components: list[Component], seen: list[Observed], region: tuple[in
             model[:, at[1][0], at[1][1]] += c.sed[:, None, None] * c.m[at[0]]
     inner = (slice(core[0] - region[0], core[2] - region[0]), slice(core[1] - region[1], core[3] - region[1]))
     for o in seen:
-        for i, band in enumerate(o.bands):
-            r = np.where(o.present[i], shifted(model[band] * o.present[i], o.kernels[i]) - o.value[i], 0.0)
-            rest = o.weight[i] * r
-            loss += float((rest * r)[inner].sum()) / 2
+        for alike in by_kernel(o.kernels):
+            bands = [o.bands[i] for i in alike]
+            present, value, weight = (np.array([a[i] for i in alike]) for a in (o.present, o.value, o.weight))
+            r = np.where(present, shifted(model[bands] * present, o.kernels[alike[0]]) - value, 0.0)
+            rest = weight * r
+            loss += sum(float(a[inner].sum()) / 2 for a in rest * r)
             if plane_weights is not None:
                 rest = weighted_planes(rest, plane_weights)
-            g[band] += shifted(rest, o.kernels[i], -1)
+            g[bands] += shifted(rest, o.kernels[alike[0]], -1)
     return g, loss
 
 
+def by_kernel(kernels: list[list[tuple[int, int, float]]]) -> list[list[int]]:
+    """Numbers of equal kernels (entries in the same order) together, so that their bands are taken at once."""
+    alike: list[list[int]] = []
+    for i, k in enumerate(kernels):
+        same = next((a for a in alike if kernels[a[0]] == k), None)
+        alike.append([i]) if same is None else same.append(i)
+    return alike
+
+
 def shares(c: Component, g: np.ndarray, region: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """A component's gradients by its seds and by its morphology."""
     by_sed, by_morph = np.zeros(len(c.sed)), np.zeros(c.param.shape[-2:])

@@ -114,14 +114,24 @@ def spread(df: DataFrame, tile: int, halo: int, y: str = "y", y9: str = "y", x:
 
 
 def tiled(observations: list[tuple[DataFrame, DataFrame]], frames: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Rows (image_id, ty, tx, observation, band) with the lists of a tile's pixels, the kernel's entries and the image's bounds."""
-    out = None
+    """Rows (image_id, ty, tx, observation, band) with the lists of a tile's pixels, the kernel's entries and the image's bounds.
+
+    Pixels come together in blocks of a quarter of a tile's side before anything is joined, so blocks and not pixels are shuffled. A tile gets
+    all blocks that meet its region; ``placed`` leaves out what lies beyond.
+    """
+    out, side = None, max(1, tile // 4)
     for i, (pixels, kernels) in enumerate(observations):
         on = [c for c in (IMAGE, "band") if c in kernels.columns]
-        entries = kernels.groupBy(*on).agg(*[F.collect_list(F.col(c).cast("double")).alias(n) for c, n in (("dy", "kdy"), ("dx", "kdx"), ("k", "kk"))])
-        rows = spread(pixels.select(IMAGE, "band", "y", "x", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")).join(frames, IMAGE), tile, halo)
+        # In one order of entries for all images and bands, so that equal kernels can be told.
+        sorted_ = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("dy", "dx", "k")])))
+        entries = kernels.groupBy(*on).agg(sorted_.alias("e")).select(*on, F.col("e.dy").alias("kdy"), F.col("e.dx").alias("kdx"), F.col("e.k").alias("kk"))
+        rows = pixels.select(IMAGE, "band", "y", "x", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight"))
+        block = [F.floor(F.col(c) / side).alias(f"block_{c}") for c in ("y", "x")]
+        ends = [f(c).alias(f"{c}{n}") for c in ("y", "x") for n, f in ((0, F.min), (9, F.max))]
+        gathered = rows.groupBy(IMAGE, "band", *block).agg(*ends, *[F.collect_list(c).alias(f"{c}s") for c in ("y", "x", "value", "weight")])
         by = [IMAGE, "ty", "tx", "band", "top", "left", "bottom", "right"]
-        lists = rows.groupBy(*by).agg(*[F.collect_list(c).alias(f"{c}s") for c in ("y", "x", "value", "weight")])
+        met = spread(gathered.join(frames, IMAGE), tile, halo, "y0", "y9", "x0", "x9")
+        lists = met.groupBy(*by).agg(*[F.flatten(F.collect_list(f"{c}s")).alias(f"{c}s") for c in ("y", "x", "value", "weight")])
         lists = lists.join(entries, on, "left") if on else lists.crossJoin(F.broadcast(entries))
         lists = lists.select(*by, F.lit(i).alias("observation"), "ys", "xs", "values", "weights", "kdy", "kdx", "kk")
         out = lists if out is None else out.unionByName(lists)
@@ -173,6 +183,8 @@ def continued(state: DataFrame, observations: list[tuple[DataFrame, DataFrame]],
     state = cut(state)
     done = state.where("settled").unionByName(state.where(~F.col("settled")).join(frames.select(IMAGE), IMAGE, "left_anti"))
     state = state.where(~F.col("settled")).join(frames.select(IMAGE), IMAGE, "left_semi")
+    # As many tasks as other shuffles have: put together by the size of their rows, the rounds' arithmetic would leave most cores idle.
+    dealt = lambda df, *by: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     tiles = cut(tiled(observations, frames.join(state.select(IMAGE).distinct(), IMAGE, "left_semi"), tile, halo))
     wide = "tiles_y > 1 OR tiles_x > 1"
     small = state.join(frames.where(wide).select(IMAGE), IMAGE, "left_anti")
@@ -197,8 +209,9 @@ def continued(state: DataFrame, observations: list[tuple[DataFrame, DataFrame]],
                 B.after_step(c, loss, how)
         return pa.Table.from_batches([encoded(parts)])
 
+    own = dealt(tiles, IMAGE)
     while not rest.isEmpty():
-        after = cut(rest.groupBy(IMAGE).cogroup(tiles.groupBy(IMAGE)).applyInArrow(whole, STATE))
+        after = cut(dealt(rest, IMAGE).groupBy(IMAGE).cogroup(own.groupBy(IMAGE)).applyInArrow(whole, STATE))
         over = F.col("settled") | (F.col("it") >= max_iter)
         done, rest = done.unionByName(after.where(over)), after.where(~over)
     if large.isEmpty():
@@ -242,7 +255,7 @@ def continued(state: DataFrame, observations: list[tuple[DataFrame, DataFrame]],
         first = large.groupBy(IMAGE).agg(F.min(F.struct("source_id", "comp_id")).alias("f")).select(IMAGE, "f.source_id", "f.comp_id")
         bare = tiles.select(*place).distinct().join(sent.select(*place).distinct(), place, "left_anti").join(first, IMAGE)
         sent = sent.unionByName(bare.join(large.join(frames, IMAGE), COMPONENT), allowMissingColumns=True).select(*[n for n, _ in KINDS], "ty", "tx")
-        parts = cut(sent.groupBy(*place).cogroup(tiles.groupBy(*place)).applyInArrow(partial, PARTIAL))
+        parts = cut(dealt(sent, *place).groupBy(*place).cogroup(dealt(tiles, *place).groupBy(*place)).applyInArrow(partial, PARTIAL))
         loss = parts.where("source_id IS NULL").groupBy(IMAGE).agg(F.sum("loss").alias("loss"), (F.sum("weight") / F.sum("pixels")).alias("mean"))
         own = large.join(loss, IMAGE, "left")
         after = cut(own.groupBy(*COMPONENT).cogroup(parts.where("source_id IS NOT NULL").groupBy(*COMPONENT)).applyInArrow(moved, STATE))

@@ -34,6 +34,11 @@ def dense(sums: DataFrame, ny: int, nx: int) -> DataFrame:
     return cells.select(*plane, "y", "x", F.when(F.col("image_id").isNotNull() & F.col("band").isNotNull(), at).alias("value"))
 
 
+def v_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id and band of each plane of ``v``, without making its pixels."""
+    return table(spark, sf_dir, "events").selectExpr("user_id div 6 AS image_id", "event_type AS band").distinct()
+
+
 def v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-band cubes of 30 x 24 pixels from the events, dense."""
     e = table(spark, sf_dir, "events").selectExpr("user_id div 6 AS image_id", "event_type AS band", "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS INT) AS y", "CAST(hour(ts) AS INT) AS x", "CAST(round(value * 100) AS BIGINT) AS v")

@@ -21,7 +21,7 @@ def weighted(s, d):
 
 
 def psf(s, d):
-    return X.kernel(X.v(s, d), X.BINOMIAL3)
+    return X.kernel(X.v_planes(s, d), X.BINOMIAL3)
 
 
 @query("j1_init_compact", over(X.V, X.CATALOG, "p AS (SELECT band, 4e0 / 16 AS peak FROM v GROUP BY band)", select="SELECT c.image_id, source_id, CAST(0 AS INTEGER) AS comp_id, v.band, round(v.value / peak / 4, 6) AS sed FROM catalog c JOIN v USING (image_id, y, x) JOIN p ON p.band = v.band"))

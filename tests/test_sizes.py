@@ -210,3 +210,38 @@ def test_shared_pixels_come_in_parts(monkeypatch):
     monkeypatch.setattr(detect, "CELLS", 50)
     parts, most = counted()
     assert parts == whole and most <= 50 and sum(whole.values()) > 500
+
+
+def test_monotonic_steps_follow_a_box_s_side():
+    """Rings of different radii are one step where they don't wait for each other, with the pixels of the ring-by-ring sweep."""
+    from pixelloom.functions import blend
+
+    rng = np.random.default_rng(7)
+    for ny, nx, cy, cx in ((41, 41, 20, 20), (13, 30, 2, 25)):
+        m = rng.random((ny, nx))
+        assert len(blend.rings(ny, nx, cy, cx, "angle")) <= 2 * max(ny, nx)
+        want = m.copy()
+        places = sorted(((y - cy) ** 2 + (x - cx) ** 2, y, x) for y in range(ny) for x in range(nx))
+        for r, y, x in places[1:]:
+            near = [(p, q) for p in range(max(0, y - 1), min(ny, y + 2)) for q in range(max(0, x - 1), min(nx, x + 2)) if (p - cy) ** 2 + (q - cx) ** 2 < r]
+            cos = np.array([((y - p) * (y - cy) + (x - q) * (x - cx)) / np.sqrt(r * ((y - p) ** 2 + (x - q) ** 2)) for p, q in near])
+            cos[np.abs(cos) <= 1e-12] = 0
+            if cos.sum() > 0:
+                want[y, x] = min(m[y, x], (cos * [want[p] for p in near]).sum() / cos.sum())
+        assert np.allclose(blend.monotonic(m, cy, cx), want, rtol=1e-12)
+
+
+def test_rounds_of_fits_and_systems_are_spread_over_all_tasks(spark):
+    """Small rows were put together in one task, which solved all systems or took all images' steps."""
+    from pixelloom.operators import blocks, fit
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    images = spark.range(20).withColumnRenamed("id", "image_id")
+    pixels = images.selectExpr("image_id", "'r' AS band", "explode(sequence(0, 6)) AS y").selectExpr("*", "explode(sequence(0, 6)) AS x").selectExpr("*", "CAST(9 - y - x AS DOUBLE) AS value", "1.0D AS weight")
+    morphs = pixels.selectExpr("image_id", "1L AS source_id", "0 AS comp_id", "y", "x", "1.0D / (1 + abs(y - 3) + abs(x - 3)) AS m")
+    seds = images.selectExpr("image_id", "1L AS source_id", "0 AS comp_id", "'r' AS band", "2.0D AS sed")
+    kernel = images.selectExpr("image_id", "'r' AS band", "0 AS dy", "0 AS dx", "1.0D AS k")
+    after = fit.fit_state([(pixels, kernel)], blocks.started(seds, morphs), 2, resize=None)
+    assert after.count() == 20 and after.rdd.getNumPartitions() >= n
+    solved = fit.fit_seds(pixels, morphs, kernel)
+    assert solved.count() == 20 and "REPARTITION_BY_NUM" in planned(solved) and "FlatMapGroupsInPandas" not in planned(solved)
