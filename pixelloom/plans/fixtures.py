@@ -29,8 +29,9 @@ def dense(sums: DataFrame, ny: int, nx: int) -> DataFrame:
     rows = sums.repartition(parts, *plane).groupBy(*plane, "y").agg(listed("x", "value").alias("row"))
     planes = rows.groupBy(*plane).agg(listed("y", "row").alias("plane"))
     axis = lambda name, n: spark.range(n).select(F.col("id").cast("int").alias(name))
-    cells = planes.crossJoin(axis("y", ny)).crossJoin(axis("x", nx))
-    at = F.try_element_at(F.try_element_at("plane", F.col("y")), F.col("x"))
+    lines = planes.crossJoin(axis("y", ny)).select(*plane, "y", F.try_element_at("plane", F.col("y")).alias("row"))
+    cells = lines.crossJoin(axis("x", nx))
+    at = F.try_element_at("row", F.col("x"))
     return cells.select(*plane, "y", "x", F.when(F.col("image_id").isNotNull() & F.col("band").isNotNull(), at).alias("value"))
 
 

@@ -121,7 +121,7 @@ def k10(s, d):
 @query("k11_symmetry_subpixel")
 def k11(s, d):
     v = X.v(s, d)
-    return K.symmetry_subpixel(v, v.select("image_id").distinct().selectExpr("image_id", "0.25D AS shift_y", "-0.4D AS shift_x")).withColumn("value", F.round("value", 3))
+    return K.symmetry_subpixel(v, X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "0.25D AS shift_y", "-0.4D AS shift_x")).withColumn("value", F.round("value", 3))
 
 
 def two_seds(s, d):

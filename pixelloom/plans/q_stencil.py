@@ -129,19 +129,19 @@ KERN = X.kernel_sql("v", X.ASYMMETRIC3)
 @query("f12_scale_residuals", over(X.V, X.kernel_sql("v", X.BINOMIAL3), convolve_sql("v", "m"), "r AS (SELECT image_id, band, y, x, v.value - m.value AS value FROM v JOIN m USING (image_id, band, y, x))", *transform_sql("r", 2), select="SELECT image_id, band, y, x, scale, round(value, 4) + 0 AS value FROM sw"))
 def f12(s, d):
     v = X.v(s, d)
-    return rounded(S.scale_residuals(v, v, X.kernel(v, X.BINOMIAL3), 2), 4, "scale").withColumn("value", F.col("value") + 0)
+    return rounded(S.scale_residuals(v, v, X.kernel(X.v_planes(s, d), X.BINOMIAL3), 2), 4, "scale").withColumn("value", F.col("value") + 0)
 
 
 @query("f13_convolve", over(X.V, KERN, convolve_sql("v", "m"), select="SELECT * FROM m"))
 def f13(s, d):
     v = X.v(s, d)
-    return S.convolve(v, X.kernel(v, X.ASYMMETRIC3))
+    return S.convolve(v, X.kernel(X.v_planes(s, d), X.ASYMMETRIC3))
 
 
 @query("f14_convolve_adjoint", over(X.V, KERN, convolve_sql("v", "m", -1), select="SELECT * FROM m"))
 def f14(s, d):
     v = X.v(s, d)
-    return S.convolve_adjoint(v, X.kernel(v, X.ASYMMETRIC3))
+    return S.convolve_adjoint(v, X.kernel(X.v_planes(s, d), X.ASYMMETRIC3))
 
 
 def gaussian_kernel(pixels, sigma, r):
@@ -171,14 +171,14 @@ def f16(s, d):
     select="SELECT image_id, band, CAST(v.y + dy AS INTEGER) AS y, CAST(v.x + dx AS INTEGER) AS x, round(sum(value * k), 4) AS value FROM v JOIN k1 USING (image_id, band) WHERE v.y + dy BETWEEN 0 AND 29 AND v.x + dx BETWEEN 0 AND 23 GROUP BY ALL"))
 def f17(s, d):
     v = X.v(s, d)
-    sh = v.select("image_id").distinct().selectExpr("image_id", "0.25D AS shift_y", "-0.5D AS shift_x")
+    sh = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "0.25D AS shift_y", "-0.5D AS shift_x")
     return rounded(S.shift_image(v, sh, "bilinear"), 4)
 
 
 @query("f17_shift_fourier", over(X.V, select="SELECT image_id, band, (y + 3) % 30 AS y, (x + 22) % 24 AS x, CAST(value AS DOUBLE) AS value FROM v"))
 def f17b(s, d):
     v = X.v(s, d)
-    sh = v.select("image_id").distinct().selectExpr("image_id", "3.0D AS shift_y", "-2.0D AS shift_x")
+    sh = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "3.0D AS shift_y", "-2.0D AS shift_x")
     return rounded(S.shift_image(v, sh, "fourier"), 3).withColumn("value", F.col("value") + 0)
 
 
@@ -189,7 +189,7 @@ SINC = "CASE WHEN abs({t}) < 1e-12 THEN 1 ELSE sin(pi() * ({t})) / (pi() * ({t})
     select="SELECT image_id, band, ty AS y, CAST(g AS INTEGER) AS x, round(sum(value * " + SINC.format(t="(2e0 * g + 0.25) - x") + "), 3) AS value FROM r CROSS JOIN range(11) a(g) GROUP BY image_id, band, ty, g"))
 def f18(s, d):
     v = X.v(s, d)
-    m = v.select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
+    m = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
     return rounded(S.resample(v, m, window=None), 3)
 
 
@@ -200,7 +200,7 @@ LANCZOS = "(" + SINC + ") * (" + SINC.format(t="({t}) / 3e0") + ")"
     select="SELECT image_id, band, ty AS y, CAST(g AS INTEGER) AS x, round(sum(value * " + LANCZOS.format(t="(2e0 * g + 0.25) - x") + "), 3) + 0 AS value FROM r CROSS JOIN range(11) a(g) WHERE abs((2e0 * g + 0.25) - x) < 3 GROUP BY image_id, band, ty, g"))
 def f18c(s, d):
     v = X.v(s, d)
-    m = v.select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
+    m = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
     return rounded(S.resample(v, m), 3).withColumn("value", F.col("value") + 0)
 
 
@@ -208,7 +208,7 @@ def f18c(s, d):
     select="SELECT image_id, band, ty AS y, tx AS x, round(sum(value * " + LANCZOS.format(t="ay - y") + " * " + LANCZOS.format(t="ax - x") + "), 3) + 0 AS value FROM c JOIN v USING (image_id) WHERE abs(ay - y) < 3 AND abs(ax - x) < 3 GROUP BY image_id, band, ty, tx"))
 def f18b(s, d):
     v = X.v(s, d)
-    m = v.select("image_id").distinct().selectExpr("image_id", "20 AS ny", "20 AS nx", "0.8D AS m_yy", "-0.6D AS m_yx", "0.6D AS m_xy", "0.8D AS m_xx", "8.5D AS m_y0", "2.25D AS m_x0")
+    m = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "20 AS ny", "20 AS nx", "0.8D AS m_yy", "-0.6D AS m_yx", "0.6D AS m_xy", "0.8D AS m_xx", "8.5D AS m_y0", "2.25D AS m_x0")
     return rounded(S.resample(v, m, aligned=False), 3).withColumn("value", F.col("value") + 0)
 
 
@@ -220,17 +220,17 @@ RESAMPLED = ["r AS (SELECT image_id, band, CAST(g AS INTEGER) AS ty, x, sum(valu
     select="SELECT image_id, band, y - 2 AS y, x - 3 AS x, round(value, 2) + 0 AS value FROM m WHERE y BETWEEN 2 AND 11 AND x BETWEEN 3 AND 8"))
 def f19b(s, d):
     v = X.v(s, d)
-    m = v.select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
+    m = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "14 AS ny", "11 AS nx", "2.0D AS m_yy", "0.0D AS m_yx", "0.0D AS m_xy", "2.0D AS m_xx", "0.5D AS m_y0", "0.25D AS m_x0")
     boxes = m.selectExpr("image_id", "2 AS y0", "12 AS y1", "3 AS x0", "9 AS x1")
-    return rounded(S.render(v, m.selectExpr("image_id", "'resample' AS kind"), X.kernel(v, X.BINOMIAL3), m, boxes), 2).withColumn("value", F.col("value") + 0)
+    return rounded(S.render(v, m.selectExpr("image_id", "'resample' AS kind"), X.kernel(X.v_planes(s, d), X.BINOMIAL3), m, boxes), 2).withColumn("value", F.col("value") + 0)
 
 
 @query("f19_render", over(X.V, X.kernel_sql("v", X.BINOMIAL3), convolve_sql("v", "m"), select="SELECT image_id, band, y - 2 AS y, x - 3 AS x, CAST(CASE WHEN image_id % 2 = 0 THEN v.value ELSE m.value END AS DOUBLE) AS value FROM v JOIN m USING (image_id, band, y, x) WHERE y BETWEEN 2 AND 11 AND x BETWEEN 3 AND 12"))
 def f19(s, d):
     v = X.v(s, d)
-    kinds = v.select("image_id").distinct().selectExpr("image_id", "CASE WHEN image_id % 2 = 0 THEN 'null' ELSE 'convolve' END AS kind")
+    kinds = X.v_planes(s, d).select("image_id").distinct().selectExpr("image_id", "CASE WHEN image_id % 2 = 0 THEN 'null' ELSE 'convolve' END AS kind")
     boxes = kinds.selectExpr("image_id", "2 AS y0", "12 AS y1", "3 AS x0", "13 AS x1")
-    return S.render(v, kinds, X.kernel(v, X.BINOMIAL3), None, boxes)
+    return S.render(v, kinds, X.kernel(X.v_planes(s, d), X.BINOMIAL3), None, boxes)
 
 
 @query("f20_pad_crop", over(X.V, select="SELECT image_id, band, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, CAST(coalesce(v.value, 0) AS BIGINT) AS value FROM (SELECT DISTINCT image_id, band FROM v) g CROSS JOIN range(32) a(gy) CROSS JOIN range(25) b(gx) LEFT JOIN v USING (image_id, band) WHERE v.y = gy - 1 AND v.x = gx"

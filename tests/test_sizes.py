@@ -245,3 +245,31 @@ def test_rounds_of_fits_and_systems_are_spread_over_all_tasks(spark):
     assert after.count() == 20 and after.rdd.getNumPartitions() >= n
     solved = fit.fit_seds(pixels, morphs, kernel)
     assert solved.count() == 20 and "REPARTITION_BY_NUM" in planned(solved) and "FlatMapGroupsInPandas" not in planned(solved)
+
+
+def test_kernels_of_images_leave_planes_where_they_are(spark, sf_dir):
+    """Sums of moved pixels were shuffled once more to be cut at their image's ends, and a dense model was moved where a few pixels have a source."""
+    from pixelloom.operators.stencil import shift_image
+    from pixelloom.plans import q_fit
+
+    shifts = X.v_planes(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "0.25D AS shift_y", "-0.5D AS shift_x")
+    pixels = X.v(spark, sf_dir)
+    moved = planned(shift_image(pixels, shifts, "bilinear"))
+    above = moved[: moved.index("BroadcastNestedLoopJoin")]
+    assert "Exchange" not in above
+    loss = planned(q_fit.l1b(spark, sf_dir))
+    assert loss.count("BroadcastNestedLoopJoin") <= 10  # pairs of axes: pixels are made at most five times
+
+
+def test_losses_add_up_in_any_order(spark):
+    """A sum of doubles that lies at a rounding tie followed the order of the rows."""
+    from pixelloom.operators import fit
+
+    value = [3e5, 0.1, 7e5, 0.3, 0.7, 1e5]
+    rows = [(0, "r", 0, x, v, 1.0) for x, v in enumerate(value)]
+    schema = "image_id long, band string, y int, x int, value double, weight double"
+    kernel = spark.createDataFrame([(0, "r", 0, 0, 1.0)], "image_id long, band string, dy int, dx int, k double")
+    seds = spark.createDataFrame([(0, 0, 0, "r", 0.0)], "image_id long, source_id long, comp_id int, band string, sed double")
+    morphs = spark.createDataFrame([(0, 0, 0, 0, 0, 1.0)], "image_id long, source_id long, comp_id int, y int, x int, m double")
+    made = [fit.likelihood_gradient(spark.createDataFrame(r, schema).coalesce(1), seds, morphs, kernel)[1].first().loss for r in (rows, rows[::-1])]
+    assert made[0] == made[1] == sum(sorted(v * v / 2 for v in value))
