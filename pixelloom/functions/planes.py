@@ -85,3 +85,27 @@ def denoise(c: np.ndarray, present: np.ndarray, scales: int, sigma: np.ndarray,
         if positive:
             x = np.maximum(x, 0.0)
     return x
+
+
+def spread_by(c: np.ndarray, there: np.ndarray, known: np.ndarray, k: np.ndarray, inside: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Rows, columns and (image, y, x) sums of pixels moved by a symmetric kernel along y and x; which places any pixel reaches, and which a known one.
+
+    ``inside`` has the first and last row and column that count, from the corner of ``c``; they may lie beyond it.
+    """
+    r, (h, w) = len(k) // 2, c.shape[-2:]
+    y, x = (np.arange(max(low, -r), min(high, n - 1 + r) + 1) for low, high, n in ((*inside[:2], h), (*inside[2:], w)))
+    rows, columns = slice(y[0] + r, y[-1] + r + 1) if len(y) else slice(0, 0), slice(x[0] + r, x[-1] + r + 1) if len(x) else slice(0, 0)
+
+    def summed(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        for axis, keep in ((-2, rows), (-1, columns)):
+            out = np.zeros([n + 2 * r if i == a.ndim + axis else n for i, n in enumerate(a.shape)])
+            for i, weight in enumerate(weights):
+                out[(..., slice(i, i + a.shape[-2]), slice(None)) if axis == -2 else (..., slice(i, i + a.shape[-1]))] += weight * a
+            a = out[(..., keep, slice(None)) if axis == -2 else (..., keep)]
+        return a
+
+    def reached(a: np.ndarray) -> np.ndarray:
+        return np.ones((len(a), len(y), len(x)), bool) if a.all() else summed(a.astype(float), np.ones(len(k))) > 0
+
+    grown = reached(there)
+    return y, x, summed(c, k), grown, grown if known is there or (known == there).all() else reached(known)

@@ -55,6 +55,26 @@ def on_grid(batch: pa.RecordBatch, r: int, columns: list[str], halo: int, side:
     return y, x, y0, x0, grids, nulls, present
 
 
+def summed_on_grid(batch: pa.RecordBatch, r: int, column: str, halo: int, side: int, lead: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Corner y and x, the column's grid, which pixels there are and which have a value; repeated pixels add up, and gaps are 0."""
+    y, x, v = (batch.column(batch.schema.get_field_index(c))[r].values.to_numpy() for c in ("y", "x", column))
+    y0, x0 = int(y.min()), int(x.min())
+    shape = (int(y.max()) - y0 + 1, int(x.max()) - x0 + 1)
+    at, size = (y - y0) * shape[1] + x - x0, shape[0] * shape[1]
+    n = np.bincount(at, minlength=size)
+    empty = np.zeros(size, np.int64)
+    places = batch.column(batch.schema.get_field_index(f"{column}_null"))[r].values.to_numpy()
+    if len(places):
+        ny, nx = np.divmod(places, side + 2 * halo)
+        ty, tx = (batch.column(batch.schema.get_field_index(t))[r].as_py() for t in ("ty", "tx"))
+        empty = np.bincount((ny + ty * side - lead - halo - y0) * shape[1] + nx + tx * side - lead - halo - x0, minlength=size)
+    odd = np.isnan(v)
+    total = np.bincount(at, np.where(odd, 0.0, v), size)
+    if odd.any():
+        total[np.bincount(at[odd], minlength=size) > empty] = np.nan
+    return y0, x0, total.reshape(shape), (n > 0).reshape(shape), (n > empty).reshape(shape)
+
+
 def pixels_of(batch: pa.RecordBatch, keys: tuple[str, ...], rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], out: list[str]) -> pa.RecordBatch:
     """Pixels from (row of the batch, y, x, values, which of them are null)."""
     at = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))

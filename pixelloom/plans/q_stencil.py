@@ -247,4 +247,4 @@ SPLINE = "sk(scale, d, k) AS (VALUES " + ", ".join(f"({j}, {o}, {w!r}e0)" for j,
 @query("f21_scale_spline_convolve", over(X.V, *transform_sql("v", 2), SPLINE, "r AS (SELECT image_id, band, scale, y + d AS y, x, sum(value * k) AS value FROM sw JOIN sk USING (scale) WHERE y + d BETWEEN 0 AND 29 GROUP BY ALL)", "q AS (SELECT image_id, band, scale, y, x + d AS x, sum(value * k) AS value FROM r JOIN sk USING (scale) WHERE x + d BETWEEN 0 AND 23 GROUP BY ALL)",
     select="SELECT image_id, band, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, scale, round(value, 3) + 0 AS value FROM q"))
 def f21(s, d):
-    return rounded(S.scale_spline_convolve(S.starlet_transform(X.v(s, d), 2), 2), 3, "scale").withColumn("value", F.col("value") + 0)
+    return rounded(S.starlet_splines(X.v(s, d), 2), 3, "scale").withColumn("value", F.col("value") + 0)

@@ -275,3 +275,40 @@ def test_losses_add_up_in_any_order(spark):
     morphs = spark.createDataFrame([(0, 0, 0, 0, 0, 1.0)], "image_id long, source_id long, comp_id int, y int, x int, m double")
     made = [fit.likelihood_gradient(spark.createDataFrame(r, schema).coalesce(1), seds, morphs, kernel)[1].first().loss for r in rows]
     assert made[0] == made[1] == math.fsum(v * v / 2 for v in value)
+
+
+def test_splines_of_starlets_move_no_pixels(spark, sf_dir, monkeypatch):
+    """Nulls, gaps, repeated pixels and planes smaller than their image, on whole planes and over tiles' edges: the same as two convolutions; the query shuffles no coefficients."""
+    from pixelloom.operators import stencil, tiles
+
+    plan = planned(registry.QUERIES["f21_scale_spline_convolve"](spark, sf_dir))
+    assert not any("scale" in line for line in plan.splitlines() if "Exchange" in line)
+
+    rng = np.random.default_rng(8)
+    rows = [(1, b, y - 3, x, None if (y, x) == (4, 5) else float(rng.normal())) for b, ny, nx in (("g", 33, 29), ("r", 21, 24)) for y in range(ny) for x in range(nx)]
+    df = spark.createDataFrame(rows, "image_id long, band string, y int, x int, value double")
+    odd = [(1, "g", j, y, x, v) for j, y, x, v in ((0, 0, 0, 1.0), (0, 0, 0, 2.0), (1, 9, 9, None), (1, 30, 2, float("nan")), (2, 15, 15, -1.0), (2, 15, 16, None), (2, 15, 15, None), (3, 5, 5, 1.0))] + [(2, "g", 1, 7, 7, 4.0)]
+    gaps = spark.createDataFrame(odd, "image_id long, band string, scale int, y int, x int, value double")
+
+    def twice(coeffs):
+        table = spark.createDataFrame(stencil.spline_entries(2), "scale int, d int, k double")
+        for axis in (("d AS dy", "0 AS dx"), ("0 AS dy", "d AS dx")):
+            coeffs = stencil.convolve(coeffs, table.selectExpr("scale", *axis, "k"), keys=("image_id", "band", "scale"))
+        return coeffs
+
+    def found(made):
+        rows = made.collect()
+        out = {(r.image_id, r.band, r.scale, r.y, r.x): r.value for r in rows}
+        assert len(out) == len(rows)
+        return out
+
+    whole = stencil.starlet_transform(df, 2)
+    want = [found(twice(whole)), found(twice(gaps))]
+    assert any(v is None for v in want[1].values())
+    for _ in range(2):
+        for one, other in zip([found(stencil.starlet_splines(df, 2)), found(stencil.scale_spline_convolve(whole, 2)), found(stencil.scale_spline_convolve(gaps, 2))], [want[0], *want], strict=True):
+            assert one.keys() == other.keys()
+            for at, v in one.items():
+                assert other[at] is None if v is None else np.isclose(v, other[at], rtol=1e-9, atol=1e-9, equal_nan=True)
+        monkeypatch.setattr(tiles, "SIDE", 16)
+        monkeypatch.setattr(tiles, "LEAD", 4)
