@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
 FLOOR = 1e-20  # of seds and of a morphology's centre
+AT_ONCE = 1 << 20  # pixels of boxes that become monotonic at once
 NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
 
@@ -119,6 +121,16 @@ def monotonic(m: np.ndarray, cy: int, cx: int, weight: str = "angle", min_gradie
     return flat.reshape(m.shape)
 
 
+def monotonic_all(m: np.ndarray, cy: int, cx: int, weight: str = "angle", min_gradient: float = 0) -> np.ndarray:
+    """``monotonic`` of several planes of one shape and centre at once, (n, ny, nx), with sums in the same order."""
+    flat = m.reshape(len(m), -1).T.copy()
+    for at, near, share in rings(*m.shape[1:], cy, cx, weight):
+        w = flat[near] * share[:, :, None]
+        total = ((w[:, 0] + w[:, 1]) + (w[:, 2] + w[:, 3])) + ((w[:, 4] + w[:, 5]) + (w[:, 6] + w[:, 7]))
+        flat[at] = np.minimum(flat[at], total * (1 - min_gradient))
+    return np.ascontiguousarray(flat.T).reshape(m.shape)
+
+
 def reached(m: np.ndarray, cy: int, cx: int) -> np.ndarray:
     """Pixels that 4-paths from the centre reach with each value below the one before, and above 0; the centre too."""
     ok = np.zeros(m.shape, bool)
@@ -286,7 +298,6 @@ def proximal(x: np.ndarray, psi: np.ndarray, step: float, prox, most: int, e_rel
 
 def constrained_shape(c: Component, m: np.ndarray, how: How) -> np.ndarray:
     """Monotonic, above the background (or positive), with a floor at the box's middle and a maximum of 1."""
-    ny, nx = m.shape
     cy, cx = c.cy - c.y0, c.cx - c.x0
     if how.center_radius:
         cy, cx = moved_center(m, cy, cx, how.center_radius)
@@ -296,6 +307,12 @@ def constrained_shape(c: Component, m: np.ndarray, how: How) -> np.ndarray:
     if how.use_mask:
         keep = reached(before, cy, cx)
         m = np.where(keep, before, m)
+    return bounded_shape(c, m, how)
+
+
+def bounded_shape(c: Component, m: np.ndarray, how: How) -> np.ndarray:
+    """A monotonic morphology above the background (or positive), with a floor at the box's middle and a maximum of 1."""
+    ny, nx = m.shape
     if how.cut and c.rms is not None:
         bright = c.sed > 0
         least = (how.bg_thresh * c.rms[bright] / c.sed[bright]).min() if bright.any() else np.inf
@@ -308,14 +325,40 @@ def constrained_shape(c: Component, m: np.ndarray, how: How) -> np.ndarray:
 
 def advance(c: Component, by_sed: np.ndarray, by_morph: np.ndarray, how: How, mean_weight: float) -> None:
     """One step of a component: the SED along its gradient, the morphology along its own, then their constraints."""
+    moved, psi, step, finish = moved_by(c, by_sed, by_morph, how, mean_weight)
+    if c.param.ndim == 3:
+        prox = lambda w: thresholded(w, how.thresh)
+    else:
+        prox = lambda m: constrained_shape(c, m, how)
+    finish(proximal(moved, psi, step, prox, how.prox_iter, how.prox_e_rel) if how.constrained else moved)
+
+
+def advance_all(steps: list[tuple[Component, np.ndarray, np.ndarray, float]], how: How) -> None:
+    """``advance`` for many components, of any images: boxes of one shape and centre become monotonic at once."""
+    if not how.constrained or how.prox_iter != 1 or how.center_radius or how.use_mask or any(c.param.ndim == 3 for c, *_ in steps):
+        for c, by_sed, by_morph, mean_weight in steps:
+            advance(c, by_sed, by_morph, how, mean_weight)
+        return
+    alike: dict[tuple, list[tuple]] = {}
+    for c, by_sed, by_morph, mean_weight in steps:
+        moved, _, _, finish = moved_by(c, by_sed, by_morph, how, mean_weight)
+        alike.setdefault((*moved.shape, c.cy - c.y0, c.cx - c.x0), []).append((c, moved, finish))
+    for (ny, nx, cy, cx), some in alike.items():
+        most = max(1, AT_ONCE // (ny * nx))
+        for part in (some[i : i + most] for i in range(0, len(some), most)):
+            for (c, _, finish), m in zip(part, monotonic_all(np.array([moved for _, moved, _ in part]), cy, cx), strict=True):
+                finish(bounded_shape(c, m, how))
+
+
+def moved_by(c: Component, by_sed: np.ndarray, by_morph: np.ndarray, how: How, mean_weight: float) -> tuple[np.ndarray, np.ndarray, float, Callable[[np.ndarray], None]]:
+    """A step without the morphology's constraints: where it would go, psi and the step, and what takes the constrained one; the SED has moved."""
     if c.param.ndim == 3:
         by_param, old = reconstructed_adjoint(by_morph, len(c.param) - 1), c.m
     else:
         by_param, old = by_morph, c.param
     lift = (lambda s: np.maximum(s, FLOOR)) if how.constrained else (lambda s: s)
-    old_sed = c.sed
+    old_sed, later = c.sed, 0.5 * (1 + math.sqrt(1 + 4 * c.t * c.t))
     if how.scheme == "fista":
-        later = 0.5 * (1 + math.sqrt(1 + 4 * c.t * c.t))
         if not c.it:
             c.sed_moments[0], c.moments[0] = c.sed.copy(), c.param.copy()
         steps = [1 / (2 * mean_weight) / max(float((a * a).sum()), 1e-300) for a in (old, old_sed)]
@@ -331,15 +374,14 @@ def advance(c: Component, by_sed: np.ndarray, by_morph: np.ndarray, how: How, me
         step = max(1e-12, how.morph_step * float(c.param.mean()))
         moved = c.param - step * phi / psi / first
     c.sed = new_sed
-    if c.param.ndim == 3:
-        prox = lambda w: thresholded(w, how.thresh)
-    else:
-        prox = lambda m: constrained_shape(c, m, how)
-    old_param = c.param
-    c.param = proximal(moved, psi, step, prox, how.prox_iter, how.prox_e_rel) if how.constrained else moved
-    if how.scheme == "fista":
-        w = 1 + (c.t - 1) / later
-        c.sed_moments[0], c.moments[0], c.t = old_sed + w * (c.sed - old_sed), old_param + w * (c.param - old_param), later
+
+    def finish(param: np.ndarray) -> None:
+        old_param, c.param = c.param, param
+        if how.scheme == "fista":
+            w = 1 + (c.t - 1) / later
+            c.sed_moments[0], c.moments[0], c.t = old_sed + w * (c.sed - old_sed), old_param + w * (c.param - old_param), later
+
+    return moved, psi, step, finish
 
 
 def resized(c: Component, how: How) -> None:

@@ -192,28 +192,45 @@ def continued(state: DataFrame, observations: list[tuple[DataFrame, DataFrame]],
     rest = small
 
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = list(decoded(left))
-        if not parts or not right.num_rows:
-            return pa.Table.from_batches([encoded(parts)])
-        bands, components = parts[0][1], [c for _, _, c in parts]
-        seen, region, core = placed(right, bands, None, halo)
-        total, n = weights_of(seen, core, region)
+        """The steps of several images: each goes by its own pixels and loss, their components are shaped together."""
+        parts, images = list(decoded(left)), {}
+        for image, bands, c in parts:
+            images.setdefault(image, (bands, []))[1].append(c)
+        numbers, counts = np.unique(right.column(IMAGE).to_numpy(), return_counts=True)
+        right = right.sort_by(IMAGE)
+        ends = np.cumsum(counts)
+        going = []
+        for image, n, end in zip(numbers.tolist(), counts.tolist(), ends.tolist(), strict=True):
+            if image in images:
+                bands, components = images[image]
+                seen, region, core = placed(right.slice(end - n, n), bands, None, halo)
+                total, positive = weights_of(seen, core, region)
+                going.append((components, seen, region, core, len(bands), total / max(positive, 1)))
         for _ in range(local):
-            if components[0].settled or components[0].it >= max_iter:
-                break
-            g, loss = B.gradient(components, seen, region, core, len(bands), how.plane_weights)
-            grads = [B.shares(c, g, region) for c in components]
-            components[0].losses.append(loss)
-            for c, (by_sed, by_morph) in zip(components, grads, strict=True):
-                B.advance(c, by_sed, by_morph, how, total / max(n, 1))
+            going = [g for g in going if not g[0][0].settled and g[0][0].it < max_iter]
+            steps, losses = [], []
+            for components, seen, region, core, n_bands, mean in going:
+                g, loss = B.gradient(components, seen, region, core, n_bands, how.plane_weights)
+                components[0].losses.append(loss)
+                losses += [loss] * len(components)
+                steps += [(c, *B.shares(c, g, region), mean) for c in components]
+            B.advance_all(steps, how)
+            for (c, *_), loss in zip(steps, losses, strict=True):
                 B.after_step(c, loss, how)
         return pa.Table.from_batches([encoded(parts)])
 
-    own = dealt(tiles, IMAGE)
-    while not rest.isEmpty():
-        after = cut(dealt(rest, IMAGE).groupBy(IMAGE).cogroup(own.groupBy(IMAGE)).applyInArrow(whole, STATE))
+    # Images of some 16,000 pixels together take their steps at once, if there are enough for all tasks.
+    narrow = frames.where(f"NOT ({wide})").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("bottom") - F.col("top")).cast("long") * (F.col("right") - F.col("left"))).alias("area")).first()
+    groups = max(1, min(narrow.n, max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), (narrow.area or 0) >> 14)))
+    grouped = lambda df: df.withColumn("images", F.pmod(F.xxhash64(IMAGE), F.lit(groups)))
+    own = dealt(grouped(tiles), "images").groupBy("images")
+    unfinished = not rest.isEmpty()
+    while unfinished:
+        shaped = dealt(grouped(rest), "images").groupBy("images").cogroup(own).applyInArrow(whole, STATE)
+        after = cut(shaped)
         over = F.col("settled") | (F.col("it") >= max_iter)
-        done, rest = done.unionByName(after.where(over)), after.where(~over)
+        ended, unfinished = after.agg(F.coalesce(F.bool_or(over), F.lit(False)), F.coalesce(F.bool_or(~over), F.lit(False))).first()
+        done, rest = done.unionByName(after.where(over)) if ended else done, after.where(~over)
     if large.isEmpty():
         return done
 

@@ -312,3 +312,44 @@ def test_splines_of_starlets_move_no_pixels(spark, sf_dir, monkeypatch):
                 assert other[at] is None if v is None else np.isclose(v, other[at], rtol=1e-9, atol=1e-9, equal_nan=True)
         monkeypatch.setattr(tiles, "SIDE", 16)
         monkeypatch.setattr(tiles, "LEAD", 4)
+
+
+def test_images_take_their_steps_together(monkeypatch):
+    """One sweep serves all boxes of a shape and centre, with the very numbers of each by itself."""
+    from pixelloom.functions import blend
+
+    def parts():
+        made, fresh = [], np.random.default_rng(10)
+        for i in range(12):
+            shape = (9, 9) if i % 3 else (11, 7)
+            c = blend.Component((i, 0), i, 2 * i, i + shape[0] // 2, 2 * i + shape[1] // 2, fresh.random(3), [np.zeros(3) for _ in range(3)], fresh.random(shape), [np.zeros(shape) for _ in range(3)], np.ones(3))
+            made.append((c, fresh.normal(size=3), fresh.normal(size=shape), 1.5))
+        return made
+
+    for how in (blend.How(), blend.How(scheme="fista"), blend.How(scheme="adam", bg_thresh=0.1, cut=True), blend.How(prox_iter=3)):
+        one, other, calls, sweeps = parts(), parts(), [], blend.rings
+        monkeypatch.setattr(blend, "rings", lambda *a: calls.append(a) or sweeps(*a))  # noqa: B023
+        for _ in range(3):
+            blend.advance_all(one, how)
+        assert how.prox_iter > 1 or len(calls) == 6
+        monkeypatch.setattr(blend, "rings", sweeps)
+        for _ in range(3):
+            for step in other:
+                blend.advance(*step[:3], how, step[3])
+        for (a, *_), (b, *_) in zip(one, other, strict=True):
+            assert np.array_equal(a.param, b.param) and np.array_equal(a.sed, b.sed) and a.t == b.t
+
+
+def test_rounds_in_which_no_image_ends_are_not_read_again(spark):
+    from pixelloom.operators import blocks, fit
+
+    images = spark.range(3).withColumnRenamed("id", "image_id")
+    pixels = images.selectExpr("image_id", "'r' AS band", "explode(sequence(0, 6)) AS y").selectExpr("*", "explode(sequence(0, 6)) AS x").selectExpr("*", "CAST(9 - y - x AS DOUBLE) AS value", "1.0D AS weight")
+    morphs = pixels.selectExpr("image_id", "1L AS source_id", "0 AS comp_id", "y", "x", "1.0D / (1 + abs(y - 3) + abs(x - 3)) AS m")
+    seds = images.selectExpr("image_id", "1L AS source_id", "0 AS comp_id", "'r' AS band", "2.0D AS sed")
+    kernel = images.selectExpr("image_id", "'r' AS band", "0 AS dy", "0 AS dx", "1.0D AS k")
+    begun = blocks.started(seds, morphs)
+    after = [fit.fit_state([(pixels, kernel)], begun, 6, resize=None, e_rel=0.0, local=k) for k in (6, 2)]
+    rows = [sorted((r.image_id, r.it, tuple(r.m), tuple(r.losses)) for r in df.collect()) for df in after]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+    assert after[1].rdd.getNumPartitions() == after[0].rdd.getNumPartitions()
