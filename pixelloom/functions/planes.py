@@ -109,3 +109,39 @@ def spread_by(c: np.ndarray, there: np.ndarray, known: np.ndarray, k: np.ndarray
 
     grown = reached(there)
     return y, x, summed(c, k), grown, grown if known is there or (known == there).all() else reached(known)
+
+
+def targets(m: tuple[float, ...], ys: tuple[int, int], xs: tuple[int, int], ny: int, nx: int) -> tuple[int, int, int, int]:
+    """First and last (exclusive) row and column of the target pixels that an affine mapping may take into ``ys`` x ``xs``; all of them if it can't be inverted."""
+    yy, yx, xy, xx, y0, x0 = m
+    det = yy * xx - yx * xy
+    if not np.isfinite(det) or abs(det) < 1e-9 * (abs(yy * xx) + abs(yx * xy)):
+        return 0, ny, 0, nx
+    corners = [(a - y0, b - x0) for a in ys for b in xs]
+    ty, tx = ([(xx * a - yx * b) / det for a, b in corners], [(yy * b - xy * a) / det for a, b in corners])
+    clipped = lambda v, n: int(min(max(np.floor(v), 0), n))
+    return clipped(min(ty) - 1, ny), clipped(max(ty) + 2, ny), clipped(min(tx) - 1, nx), clipped(max(tx) + 2, nx)
+
+
+def resampled_at(c: np.ndarray, there: np.ndarray, known: np.ndarray, ay: np.ndarray, ax: np.ndarray, y0: int, x0: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, place) sums by windowed sincs of the pixels within ``window`` of each place (ay, ax), which places any pixel is near, and which a known one.
+
+    The corner of ``c`` is at (y0, x0); places lie so far within that all pixels that count are in ``c``.
+    """
+    fy, fx = np.floor(ay).astype(np.int64), np.floor(ax).astype(np.int64)
+    total, met, full = np.zeros((len(c), len(ay))), np.zeros((len(c), len(ay)), bool), np.zeros((len(c), len(ay)), bool)
+
+    def sinc(t: np.ndarray) -> np.ndarray:
+        small = np.abs(t) < 1e-12
+        return np.where(small, 1.0, np.sin(np.pi * t) / np.where(small, 1.0, np.pi * t))
+
+    weights = [[(f + d, (a - (f + d)), sinc(a - (f + d)) * sinc((a - (f + d)) / window)) for d in range(1 - window, window + 1)] for a, f in ((ay, fy), (ax, fx))]
+    for y, ty, wy in weights[0]:
+        for x, tx, wx in weights[1]:
+            near = (np.abs(ty) < window) & (np.abs(tx) < window)
+            at = (slice(None), np.where(near, y - y0, 0), np.where(near, x - x0, 0))
+            total += np.where(near, c[at] * (wy * wx), 0.0)
+            met |= near & there[at]
+            if known is not there:
+                full |= near & known[at]
+    return total, met, met if known is there else full

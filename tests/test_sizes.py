@@ -353,3 +353,33 @@ def test_rounds_in_which_no_image_ends_are_not_read_again(spark):
     rows = [sorted((r.image_id, r.it, tuple(r.m), tuple(r.losses)) for r in df.collect()) for df in after]
     assert rows[0] == rows[1] and len(rows[0]) == 3
     assert after[1].rdd.getNumPartitions() == after[0].rdd.getNumPartitions()
+
+
+def test_rotated_grids_move_no_pixels(spark, sf_dir, monkeypatch):
+    """Rotated, coarser and finer grids, beyond the image too, and one that can't be inverted; nulls, gaps and nameless bands: the same as a join by weights, whole or over tiles' edges."""
+    from pixelloom.operators import stencil, tiles
+
+    plan = planned(registry.QUERIES["f18_resample_rotated"](spark, sf_dir))
+    assert not any("ty#" in line and "y#" in line.replace("ty#", "") for line in plan.splitlines() if "Exchange" in line)
+
+    rng = np.random.default_rng(11)
+    rows = [(i, b, y - 3, x, None if (y, x) == (4, 5) else float("nan") if (i, y, x) == (1, 20, 20) else float(rng.normal())) for i in (1, 2, 3, 4) for b, ny, nx in (("g", 26, 23), (None, 6, 9)) for y in range(ny) for x in range(nx) if (y * x) % 11 != 7] + [(1, "g", 30, 17, None), (1, "g", 44, 41, 2.0)]
+    df = spark.createDataFrame(rows, "image_id long, band string, y int, x int, value double")
+    maps = [(1, 40, 45, 0.8, -0.6, 0.6, 0.8, 3.5, -8.25), (2, 7, 9, 3.0, 1.0, -1.0, 3.0, -4.0, 3.0), (3, 30, 31, 0.25, 0.1, -0.1, 0.25, -1.0, 5.0), (4, 9, 9, 1.0, 1.0, 1.0, 1.0, 0.5, 0.25), (9, 3, 3, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    mapping = spark.createDataFrame(maps, "image_id long, ny int, nx int, m_yy double, m_yx double, m_xy double, m_xx double, m_y0 double, m_x0 double")
+
+    def found(made):
+        rows = made.collect()
+        out = {(r.image_id, r.band, r.y, r.x): r.value for r in rows}
+        assert len(out) == len(rows)
+        return out
+
+    want = found(stencil.resampled(df, stencil.resample_weights(mapping)))
+    assert any(v is None for v in want.values()) and {k[:2] for k in want} == {(i, b) for i in (1, 2, 3, 4) for b in ("g", None)}
+    for _ in range(2):
+        made = found(stencil.resample(df, mapping, aligned=False))
+        assert made.keys() == want.keys()
+        for at, v in made.items():
+            assert want[at] is None if v is None else np.isclose(v, want[at], rtol=1e-9, atol=1e-9, equal_nan=True)
+        monkeypatch.setattr(tiles, "SIDE", 16)
+        monkeypatch.setattr(tiles, "LEAD", 4)
