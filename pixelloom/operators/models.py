@@ -15,9 +15,12 @@ COMPONENT = [*SOURCE, "comp_id"]
 
 
 def component_model(seds: DataFrame, morphs: DataFrame) -> DataFrame:
-    """value = sed x m for every band and pixel of each component."""
+    """value = sed x m for every band and pixel of each component.
+
+    The hint, as Spark takes the pixels of exploded shapes for as few as their sources and would broadcast them.
+    """
     by = [c for c in COMPONENT if c in seds.columns and c in morphs.columns]
-    return seds.join(morphs, by).select(*by, "band", "y", "x", (F.col("sed") * F.col("m")).alias("value"))
+    return seds.join(morphs.hint("merge"), by).select(*by, "band", "y", "x", (F.col("sed") * F.col("m")).alias("value"))
 
 
 def cube_model(cubes: DataFrame, boxes: DataFrame) -> DataFrame:

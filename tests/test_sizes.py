@@ -383,3 +383,14 @@ def test_rotated_grids_move_no_pixels(spark, sf_dir, monkeypatch):
             assert want[at] is None if v is None else np.isclose(v, want[at], rtol=1e-9, atol=1e-9, equal_nan=True)
         monkeypatch.setattr(tiles, "SIDE", 16)
         monkeypatch.setattr(tiles, "LEAD", 4)
+
+
+@pytest.mark.parametrize("name", ["l2_grad_sed", "l2_grad_morph", "l1_likelihood_gradient", "i4_source_model"])
+def test_exploded_shapes_are_never_broadcast(spark, sf_dir, name):
+    """A catalogue may be sent to all executors by way of the driver, but not the pixels that it is exploded to."""
+    lines = planned(registry.QUERIES[name](spark, sf_dir)).splitlines()
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = next((i for i, other in enumerate(lines[n + 1 :]) if len(other) - len(other.lstrip(" :+-")) <= depth), len(lines))
+            assert not any("Generate" in other and "source_id" in other for other in lines[n + 1 : n + 1 + below])
